@@ -5,6 +5,9 @@ Python worker. Text is masked (strings and comments lose their content but keep
 with a stack of open blocks finds the extents, and the blocks are built from the extents.
 """
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -631,12 +634,23 @@ def blocks_of(text: Column, language: Column, languages=DEFAULT_LANGUAGES) -> Co
     return out
 
 
+@lru_cache(maxsize=64)
+def _file_blocks(content: str, path: str, languages: tuple[LanguageSpec, ...], gateway: int) -> Column:
+    """Blocks by column names; building the expression takes seconds, so one is kept per language table."""
+    return blocks_of(F.col(content), language_of(F.col(path), languages), languages)
+
+
+def file_blocks(content: str = "content", path: str = "filepath", languages=DEFAULT_LANGUAGES) -> Column:
+    """Array of blocks of the file in the row."""
+    return _file_blocks(content, path, tuple(languages), id(SparkContext._gateway))
+
+
 def extract_blocks(files: DataFrame, languages=DEFAULT_LANGUAGES, content: str = "content") -> DataFrame:
     """One row per block, in the order classes, functions, methods, global; other columns are carried."""
     carried = [c for c in files.columns if c not in (content, "language")]
     lang = language_of(F.col("filepath"), languages)
     found = files.select(
-        *carried, lang.alias("language"), blocks_of(F.col(content), lang, languages).alias("blocks")
+        *carried, lang.alias("language"), file_blocks(content, "filepath", languages).alias("blocks")
     )
     return found.select(*carried, "language", F.posexplode("blocks").alias("ordinal", "block")).select(
         *carried, "language", "ordinal", "block.*"
@@ -732,9 +746,7 @@ def summarize_files(
     """Outline per file; with ``requests(filepath)`` every asked path gets an outline or a message."""
     outlines = files.select(
         "filepath",
-        outline(blocks_of(F.col("content"), language_of(F.col("filepath"), languages), languages)).alias(
-            "outline"
-        ),
+        outline(file_blocks("content", "filepath", languages)).alias("outline"),
     )
     if requests is None:
         return outlines

@@ -1,5 +1,7 @@
 """File listings: pruning, trees, handlers, languages, lookups."""
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +116,7 @@ def assign_handler(files: DataFrame, path: str = "path", languages=DEFAULT_LANGU
     return files.withColumn("handler", handler).withColumn("note", F.when(F.col("handler").isNull(), note))
 
 
+@lru_cache(maxsize=1)
 def language_names() -> dict[str, str]:
     """Extension to display name, from the lexer catalogue when it is installed."""
     try:
@@ -121,16 +124,16 @@ def language_names() -> dict[str, str]:
         from pygments.util import ClassNotFound
     except ImportError:
         return dict(COMMON_LANGUAGE_NAMES)
-    endings = {
-        pattern[1:]
-        for _, _, patterns, _ in get_all_lexers()
-        for pattern in patterns
-        if pattern.startswith("*.") and pattern[2:].isalnum()
-    }
+    lexers: dict[str, list[str]] = {}
+    for name, _, patterns, _ in get_all_lexers():
+        for pattern in patterns:
+            if pattern.startswith("*.") and pattern[2:].isalnum():
+                lexers.setdefault(pattern[1:], []).append(name)
     names = {}
-    for ending in sorted(endings):
+    for ending, claims in sorted(lexers.items()):
         try:
-            names[ending] = get_lexer_for_filename("name" + ending).name
+            # only an ending that several lexers claim needs the catalogue's own choice
+            names[ending] = claims[0] if len(claims) == 1 else get_lexer_for_filename("name" + ending).name
         except ClassNotFound:
             continue
     return names
@@ -155,7 +158,7 @@ def detect_language(files: DataFrame, table: DataFrame, path: str = "path") -> D
 def requested_text(requests: DataFrame, texts: DataFrame, value: str) -> DataFrame:
     """Text per requested path, or the message for a missing path or a directory."""
     asked = requests.select("filepath").distinct()
-    known = texts.select("filepath", F.col(value).alias("_text"))
+    known = texts.select("filepath", F.coalesce(F.col(value), F.lit("")).alias("_text"))
     dirs = texts.select(F.explode(directory_prefixes(F.col("filepath"))).alias("filepath")).distinct()
     hit = asked.join(known, "filepath", "left").join(dirs.withColumn("_dir", F.lit(True)), "filepath", "left")
     return hit.select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.paths import compile_ignore_rules
 from corpusloom.operators import files as ops
 from corpusloom.operators import index as idx
-from corpusloom.operators.extract import blocks_of, extract_blocks
+from corpusloom.operators.extract import extract_blocks, file_blocks
 from corpusloom.operators.languages import language_of
 from corpusloom.plans.derived import (
     code_files,
@@ -245,7 +245,7 @@ def skip_reasons(spark, sf_dir):
         "filepath",
         "file_checksum",
         language.alias("handler"),
-        F.coalesce(F.size(blocks_of(F.col("content"), language)), F.lit(0)).alias("n_blocks"),
+        F.coalesce(F.size(file_blocks()), F.lit(0)).alias("n_blocks"),
     )
     changes = idx.detect_changes(counted, code_index_prev(spark, sf_dir))
     return idx.reason_counts(idx.skip_reason(changes.withColumn("error", F.lit(None).cast("string"))))
