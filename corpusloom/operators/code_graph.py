@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.paths import suffix
+from corpusloom.functions.rows import explode_once
 from corpusloom.functions.text import bind
 from corpusloom.operators.extract import mask
 from corpusloom.operators.languages import DEFAULT_LANGUAGES, language_of
@@ -35,11 +36,12 @@ def call_graph(blocks: DataFrame, scope: tuple[str, ...] = (), languages=DEFAULT
         names = F.array_distinct(F.regexp_extract_all(body, F.lit(r"([A-Za-z_$][\w$]*)\s*\("), F.lit(1)))
         return F.filter(names, lambda n: ~n.isin(*NOT_CALLS))
 
-    calls = functions.select(
-        *scope,
-        F.col("function_name").alias("src"),
-        F.explode(bind(_masked(F.col("code"), F.col("language"), languages), called)).alias("dst"),
-    ).distinct()
+    names = bind(_masked(F.col("code"), F.col("language"), languages), called)
+    calls = (
+        explode_once(functions, [*scope, F.col("function_name").alias("src")], names, "_at", "dst")
+        .drop("_at")
+        .distinct()
+    )
     known = functions.select(*scope, F.col("function_name").alias("dst")).distinct()
     return calls.join(known, [*scope, "dst"], "left_semi").select(*scope, "src", "dst")
 
@@ -106,12 +108,14 @@ def import_graph(
     """(src, dst) from a module to the modules it imports directly."""
     language = language_of(F.col("filepath"), languages)
     edges = (
-        files.filter(suffix(F.col("filepath")) != "")
-        .select(
-            *scope,
-            module_of(F.col("filepath")).alias("src"),
-            F.explode(imported_modules(F.col("content"), language, languages)).alias("dst"),
+        explode_once(
+            files.filter(suffix(F.col("filepath")) != ""),
+            [*scope, module_of(F.col("filepath")).alias("src")],
+            imported_modules(F.col("content"), language, languages),
+            "_at",
+            "dst",
         )
+        .drop("_at")
         .distinct()
     )
     if not known_only:

@@ -11,6 +11,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.rows import explode_once
 from corpusloom.functions.text import bind, null_if_empty, python_tuple, strip_space
 from corpusloom.operators.languages import DEFAULT_LANGUAGES, LanguageSpec, language_of
 from corpusloom.schemas import BLOCK
@@ -652,9 +653,8 @@ def extract_blocks(files: DataFrame, languages=DEFAULT_LANGUAGES, content: str =
     found = files.select(
         *carried, lang.alias("language"), file_blocks(content, "filepath", languages).alias("blocks")
     )
-    return found.select(*carried, "language", F.posexplode("blocks").alias("ordinal", "block")).select(
-        *carried, "language", "ordinal", "block.*"
-    )
+    rows = explode_once(found, [*carried, "language"], F.col("blocks"), "ordinal", "block")
+    return rows.select(*carried, "language", "ordinal", "block.*")
 
 
 def function_blocks(blocks: DataFrame) -> DataFrame:
@@ -777,9 +777,11 @@ def is_balanced(text: Column, language: Column, languages=DEFAULT_LANGUAGES) ->
         quotes = "[\"'`]" if "`" in spec.tokens else "[\"']"
         return (F.aggregate(signs, F.lit(""), step) == "") & ~masked.rlike(rf"{quotes}(?!\x01)")
 
+    def checker(spec: LanguageSpec):
+        return lambda masked: check(masked, spec)
+
     out = F.lit(None).cast("boolean")
     for spec in languages:
-        out = F.when(
-            language == spec.name, bind(mask(text, spec), lambda m, s=spec: check(m, s))
-        ).otherwise(out)
+        verdict = bind(mask(text, spec), checker(spec))
+        out = F.when(language == spec.name, verdict).otherwise(out)
     return out

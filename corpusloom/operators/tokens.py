@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.rows import explode_once
 from corpusloom.functions.text import bind, count_tokens, tokens
 
 CHUNK_TOKENS = 8191  # fixed value: tokens per embedding request
@@ -59,7 +60,7 @@ def token_chunks(docs: DataFrame, n: int = CHUNK_TOKENS, text: str = "text") ->
         )
         return F.transform(starts, lambda i: F.slice(toks, i + 1, F.lit(n)))
 
-    chunks = docs.select(*carried, F.posexplode(bind(tokens(F.col(text)), cut)).alias("chunk", "tokens"))
+    chunks = explode_once(docs, carried, bind(tokens(F.col(text)), cut), "chunk", "tokens")
     return chunks.withColumn("n_tokens", F.size("tokens"))
 
 

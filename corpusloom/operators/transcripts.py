@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.ranking import running_sum
+from corpusloom.functions.rows import explode_once
 from corpusloom.functions.text import strip_space
 from corpusloom.session import cut_lineage
 
@@ -80,7 +81,7 @@ def _scan_epochs(costs: DataFrame, threshold: int, base: int, summary: int, key:
             ).alias("out"),
         )
 
-    scanned = rows.select(key, F.explode(F.aggregate("m", zero, step, lambda acc: acc["out"])).alias("r"))
+    scanned = explode_once(rows, [key], F.aggregate("m", zero, step, lambda acc: acc["out"]), "_at", "r")
     return scanned.select(key, F.col("r.turn").alias(turn), "r.total", "r.epoch", "r.compressed")
 
 

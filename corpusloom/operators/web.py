@@ -5,6 +5,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.rows import explode_once
 from corpusloom.functions.text import bind, count_tokens, line_breaks_to_space
 from corpusloom.operators.graph import within_depth
 from corpusloom.operators.search import pack_context
@@ -44,7 +45,7 @@ def hyperlinks(html: Column) -> Column:
 def page_links(pages: DataFrame, html: str = "html") -> DataFrame:
     """W1 as rows: one per anchor."""
     carried = [c for c in pages.columns if c != html]
-    return pages.select(*carried, F.explode(hyperlinks(F.col(html))).alias("link"))
+    return explode_once(pages, carried, hyperlinks(F.col(html)), "_at", "link").drop("_at")
 
 
 def host_of(url: Column) -> Column:
@@ -181,7 +182,7 @@ def shorten(
     passages = F.when(
         count_tokens(F.col(text)) > max_tokens, sentence_chunks(F.col(text), max_tokens, strict)
     ).otherwise(F.array(text))
-    rows = docs.filter(F.col(text).isNotNull()).select(*carried, F.posexplode(passages).alias("chunk", text))
+    rows = explode_once(docs.filter(F.col(text).isNotNull()), carried, passages, "chunk", text)
     return rows.withColumn("n_tokens", count_tokens(F.col(text)))
 
 

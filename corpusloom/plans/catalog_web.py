@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions.rows import explode_once
 from corpusloom.operators import web as ops
 from corpusloom.plans.catalog_search import PACKED, ranked_documents
 from corpusloom.plans.derived import TOKEN_RE
@@ -91,7 +92,7 @@ _CHUNKED = f"""with recursive x as (select doc_id, string_split(text, '. ') as s
 @query(_CHUNKED + " select * from c")
 def sentence_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(ops.sentence_chunks(F.col("text"), MAX_TOKENS)).alias("chunk", "text"))
+    return explode_once(docs, ["doc_id"], ops.sentence_chunks(F.col("text"), MAX_TOKENS), "chunk", "text")
 
 
 @query(
@@ -108,7 +109,11 @@ def shorten(spark, sf_dir):
 _HEAD, _MIDDLE, _TAIL = ("'" + p.replace("'", "''") + "'" for p in ops.CONTEXT_PROMPT.split("%s"))
 
 
-@query(PACKED + f" select query_id, {_HEAD} || context || {_MIDDLE} || 'about ' || query_id || {_TAIL} as prompt from p")
+@query(
+    PACKED
+    + f""" select query_id, {_HEAD} || coalesce(context, '') || {_MIDDLE} || 'about ' || query_id || {_TAIL} as prompt
+    from (select distinct query_id from d) left join p using (query_id)"""
+)
 def context_prompt(spark, sf_dir):
     ranked = ranked_documents(spark, sf_dir)
     questions = ranked.select("query_id").distinct().withColumn("question", F.concat(F.lit("about "), "query_id"))
