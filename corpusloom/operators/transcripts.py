@@ -16,6 +16,7 @@ from corpusloom.session import cut_lineage
 MEMORY_TOKENS = 4000  # fixed value: budget that triggers a compression
 AGENT_STEPS = 10  # fixed value: steps an agent may take
 ATTEMPTS, WAIT_MIN, WAIT_MAX = 6, 0.2, 60.0  # fixed values: retries of a model call
+PART_PIECES = 1_000_000
 LONG_CONVERSATION = 4096  # turns above which a conversation is scanned by the distributed path
 
 
@@ -238,19 +239,17 @@ def assemble_deltas(
     key: str = "response_id",
     seq: str = "seq",
     delta: str = "delta",
-    part_pieces: int | None = None,
+    part_pieces: int = PART_PIECES,
 ) -> DataFrame:
-    """Non-empty pieces of each response joined in order of ``seq``.
+    """Non-empty pieces of each response joined in order of ``seq``, as (key, part, text).
 
-    With ``part_pieces`` a response comes in parts of that many sequence numbers, so that none has to fit in one
-    row; parts in order give the whole.
+    A part covers ``part_pieces`` sequence numbers, far more than a reply has; parts in order give the whole of
+    any longer stream, and no row grows without bound.
     """
-    filled = pieces.filter(F.col(delta).isNotNull() & (F.col(delta) != ""))
-    keys = [key]
-    if part_pieces is not None:
-        filled = filled.withColumn("part", F.floor(F.col(seq) / part_pieces).cast("long"))
-        keys.append("part")
-    return filled.groupBy(*keys).agg(
+    filled = pieces.filter(F.col(delta).isNotNull() & (F.col(delta) != "")).withColumn(
+        "part", F.floor(F.col(seq) / part_pieces).cast("long")
+    )
+    return filled.groupBy(key, "part").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct(seq, delta))), lambda r: r[delta]), ""
         ).alias("text")

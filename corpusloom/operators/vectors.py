@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,20 +22,21 @@ QUERY_BLOCK = 4096  # queries scored in one pass; bounds what is sent to every t
 class HashingModel:
     """Deterministic default model: one dimension per token hash bucket, counted."""
 
+    takes_arrow = True  # gets the chunks as an Arrow array of token lists instead of Python lists
+
     def __init__(self, dim: int = 64):
         self.dim = dim
 
-    def __call__(self, chunks: list[list[str]]) -> np.ndarray:
-        out = np.zeros((len(chunks), self.dim))
-        seen: dict[str, int] = {}
-        for row, chunk in enumerate(chunks):
-            for token in chunk:
-                slot = seen.get(token)
-                if slot is None:
-                    slot = int(hashlib.md5(token.encode()).hexdigest()[:6], 16) % self.dim
-                    seen[token] = slot
-                out[row, slot] += 1.0
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+    def __call__(self, chunks: pa.ListArray) -> np.ndarray:
+        words = chunks.flatten().dictionary_encode()
+        slots = np.array(
+            [int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % self.dim for w in words.dictionary.to_pylist()],
+            dtype=np.int64,
+        )
+        rows = np.repeat(np.arange(len(chunks)), np.asarray(chunks.value_lengths()))
+        cells = rows * self.dim + slots[np.asarray(words.indices)]
+        counts = np.bincount(cells, minlength=len(chunks) * self.dim).reshape(len(chunks), self.dim).astype(float)
+        return counts / np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-300)
 
 
 def _weighted_unit_mean(vectors: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -42,40 +44,63 @@ def _weighted_unit_mean(vectors: np.ndarray, sizes: np.ndarray, starts: np.ndarr
     return sums / np.linalg.norm(sums, axis=1, keepdims=True)
 
 
-def _embedder(model: Callable[[list[list[str]]], np.ndarray]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            per_row = batch.column(1).to_pylist()
-            filled = [i for i, chunks in enumerate(per_row) if chunks]
-            vectors: list = [None] * len(per_row)
-            if filled:
-                flat = [chunk for i in filled for chunk in per_row[i]]
-                starts = np.cumsum([0] + [len(per_row[i]) for i in filled[:-1]])
-                sizes = np.array([len(chunk) for chunk in flat], dtype=float)
-                means = _weighted_unit_mean(np.asarray(model(flat), dtype=float), sizes, starts)
-                for i, vector in zip(filled, means.astype(np.float32)):
-                    vectors[i] = vector
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(vectors, type=pa.list_(pa.float32()))], names=["_key", "_vector"]
-            )
-
-    return run
+def _embedder(model: Callable[..., np.ndarray]):
+    """Arrow function from the chunks of each text to its vector."""
+
+    def means(vectors: np.ndarray, sizes: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+        starts = np.concatenate([[0], np.cumsum(per_text)[:-1]]).astype(int)
+        return _weighted_unit_mean(np.asarray(vectors, dtype=float), sizes, starts).astype(np.float32)
+
+    def on_arrow(chunks: pa.ListArray) -> pa.Array:
+        per_row = np.asarray(pc.fill_null(chunks.value_lengths(), 0))
+        filled = np.flatnonzero(per_row)
+        if len(filled) == 0:
+            return pa.nulls(len(chunks), pa.list_(pa.float32()))
+        flat = chunks.flatten()
+        found = means(model(flat), np.asarray(flat.value_lengths(), dtype=float), per_row[filled])
+        place = np.full(len(chunks), -1)
+        place[filled] = np.arange(len(filled))
+        rows = pa.FixedSizeListArray.from_arrays(pa.array(found.reshape(-1)), found.shape[1])
+        picks = pa.array(place, mask=place < 0)
+        return rows.cast(pa.list_(pa.float32())).take(picks)
+
+    def on_lists(chunks: pa.ListArray) -> pa.Array:
+        place: dict[tuple, int] = {}  # equal texts of a batch are embedded once
+        texts: list[list[list[str]]] = []
+        slots: list[int | None] = []
+        for item in chunks.to_pylist():
+            mark = tuple(map(tuple, item)) if item else None
+            if mark is not None and mark not in place:
+                place[mark] = len(texts)
+                texts.append(item)
+            slots.append(None if mark is None else place[mark])
+        if not texts:
+            return pa.nulls(len(chunks), pa.list_(pa.float32()))
+        flat = [chunk for item in texts for chunk in item]
+        sizes = np.array([len(chunk) for chunk in flat], dtype=float)
+        found = means(model(flat), sizes, np.array([len(item) for item in texts]))
+        return pa.array([None if s is None else found[s] for s in slots], type=pa.list_(pa.float32()))
+
+    return on_arrow if getattr(model, "takes_arrow", False) else on_lists
 
 
 def embed(
     df: DataFrame,
     text: str = "code",
-    model: Callable[[list[list[str]]], np.ndarray] | None = None,
+    model: Callable[..., np.ndarray] | None = None,
     out: str = "code_embedding",
     chunk_tokens: int = CHUNK_TOKENS,
+    once_per_text: bool = False,
 ) -> DataFrame:
     """Unit vector per row; NULL where the text has no tokens.
 
-    Equal texts are embedded once and joined back. A text longer than one request is embedded chunk by chunk and
-    averaged in the same task.
+    ``model`` maps a list of token lists to a matrix with one row per list.
+
+    A text longer than one request is embedded chunk by chunk and averaged in the same task. By default this is one
+    pass without a shuffle, and only the chunks go to the Python workers. With ``once_per_text``, for models that cost
+    more than a shuffle, every distinct text of the table is embedded once and joined back; ``df`` is then read
+    twice, so it should be a stored table.
     """
-    keyed = df.withColumn("_key", F.md5(F.col(text)))
-    once = keyed.filter(F.col(text).isNotNull()).groupBy("_key").agg(F.any_value(F.col(text)).alias("_text"))
 
     def cut(toks: Column) -> Column:
         starts = F.filter(
@@ -84,11 +109,24 @@ def embed(
         )
         return F.transform(starts, lambda i: F.slice(toks, i + 1, F.lit(chunk_tokens)))
 
-    chunked = once.select("_key", bind(tokens(F.col("_text")), cut).alias("_chunks"))
-    vectors = chunked.mapInArrow(_embedder(model or HashingModel()), "_key string, _vector array<float>")
-    return (
-        keyed.join(vectors, "_key", "left").withColumn(out, F.col("_vector")).drop("_key", "_vector")
-    )
+    run = _embedder(model or HashingModel())
+    if not once_per_text:
+
+        def vectors_of(chunks: pa.Array) -> pa.Array:
+            return run(chunks)
+
+        embedder = F.arrow_udf(vectors_of, T.ArrayType(T.FloatType()))
+        return df.withColumn(out, embedder(bind(tokens(F.col(text)), cut)))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), run(batch.column(1))], names=["_key", out])
+
+    keyed = df.withColumn("_key", F.md5(F.col(text)))
+    once = keyed.filter(F.col(text).isNotNull()).groupBy("_key").agg(F.any_value(F.col(text)).alias("_text"))
+    chunks = once.select("_key", bind(tokens(F.col("_text")), cut).alias("_chunks"))
+    vectors = chunks.mapInArrow(rows, f"_key string, {out} array<float>")
+    return keyed.join(vectors, "_key", "left").drop("_key")
 
 
 def combine_chunk_embeddings(

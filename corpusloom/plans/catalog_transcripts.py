@@ -225,8 +225,8 @@ def render_prompts(spark, sf_dir):
 
 
 @query(
-    """select user_id as response_id, string_agg(event_type, '' order by event_id) as text from events
-    where event_type <> 'error' group by 1"""
+    """select user_id as response_id, event_id // 1000000 as part, string_agg(event_type, '' order by event_id) as text
+    from events where event_type <> 'error' group by 1, 2"""
 )
 def assemble_deltas(spark, sf_dir):
     pieces = table(spark, sf_dir, "events").select(

@@ -159,7 +159,7 @@ def _columns(columns: dict[str, str]) -> list[str]:
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr(*_columns(CODE_FILES))
+    return table(spark, sf_dir, "part", spread=True).selectExpr(*_columns(CODE_FILES))
 
 
 def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:

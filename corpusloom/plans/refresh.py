@@ -11,17 +11,26 @@ from corpusloom.operators.index import append, detect_changes, drop_deleted, dro
 from corpusloom.operators.languages import DEFAULT_LANGUAGES, language_of
 from corpusloom.operators.vectors import embed
 from corpusloom.schemas import INDEX
+from corpusloom.session import cut_lineage
 
 KEYS = ("repo_id", "filepath")
 
 
-def index_rows(files: DataFrame, model_name: str, model=None, languages=DEFAULT_LANGUAGES) -> DataFrame:
-    """Blocks of the files with keys, token counts and vectors, in the form of the index."""
+def index_rows(
+    files: DataFrame, model_name: str, model=None, languages=DEFAULT_LANGUAGES, once_per_text: bool = False
+) -> DataFrame:
+    """Blocks of the files with keys, token counts and vectors, in the form of the index.
+
+    With ``once_per_text`` the blocks are cut from their lineage first, because they are then read twice.
+    """
     blocks = extract_blocks(attach_file_keys(files), languages)
     keyed = blocks.withColumn(
         "block_id", F.md5(F.concat_ws("|", "repo_id", "filepath", F.col("ordinal").cast("string")))
     ).withColumn("n_tokens", count_tokens(F.col("code")))
-    vectors = embed(stamp_model(keyed, model_name), "code", model)
+    stamped = stamp_model(keyed, model_name)
+    vectors = embed(
+        cut_lineage(stamped) if once_per_text else stamped, "code", model, once_per_text=once_per_text
+    )
     return vectors.select(*[F.col(f.name).cast(f.dataType) for f in INDEX.fields])
 
 
@@ -33,6 +42,7 @@ def refresh_index(
     rules: list[IgnoreRule] = (),
     remove_deleted: bool = False,
     languages=DEFAULT_LANGUAGES,
+    once_per_text: bool = False,
 ) -> DataFrame:
     """The index after the files(repo_id, filepath, content) were taken in.
 
@@ -48,4 +58,4 @@ def refresh_index(
     kept = drop_outdated(index, stale, KEYS)
     if remove_deleted:
         kept = drop_deleted(kept, usable, KEYS)
-    return append(kept, index_rows(work, model_name, model, languages))
+    return append(kept, index_rows(work, model_name, model, languages, once_per_text))

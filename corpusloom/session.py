@@ -50,3 +50,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a plain scan out to all cores when it has fewer splits than there are cores.
+
+    For work that costs far more than the move. A scan with enough splits, as any large table has, is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
