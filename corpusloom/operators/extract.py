@@ -11,6 +11,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.folds import append_if, collecting_fold, record
 from corpusloom.functions.rows import explode_once
 from corpusloom.functions.text import bind, null_if_empty, python_tuple, strip_space
 from corpusloom.operators.languages import DEFAULT_LANGUAGES, LanguageSpec, language_of
@@ -19,8 +20,8 @@ from corpusloom.schemas import BLOCK
 FILLER = "\u0001"  # stands for a sign inside a string
 
 _EXTENT = (
-    "struct<start:int,stop:int,start_line:int,end_line:int,kind:string,level:int,parens:int,body:int,"
-    "owner_start:int,owner_kind:string>"
+    "struct<start:int,stop:int,start_line:int,end_line:int,col:int,kind:string,level:int,parens:int,body:int,"
+    "owner_start:int,owner_kind:string,class_start:int>"
 )
 _EXTENTS = f"array<{_EXTENT}>"
 _CUTS = "struct<pos:int,depth:int,cuts:array<int>,closed:boolean>"
@@ -41,10 +42,6 @@ def mask(text: Column, spec: LanguageSpec) -> Column:
     return F.array_join(F.transform(pieces, hide), "")
 
 
-def _record(current: Column, order: list[str], **changes) -> Column:
-    return F.struct(*[changes.get(n, current[n]).alias(n) for n in order])
-
-
 def _last(items: Column) -> Column:
     return F.get(items, F.size(items) - 1)
 
@@ -53,48 +50,51 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def _extent(start, stop, start_line, end_line, kind, level, parens, body, owner) -> Column:
+def _extent(start, stop, start_line, end_line, col, kind, level, parens, body, owner) -> Column:
     return F.struct(
         start.cast("int").alias("start"),
         stop.cast("int").alias("stop"),
         start_line.cast("int").alias("start_line"),
         end_line.cast("int").alias("end_line"),
+        col.cast("int").alias("col"),
         kind.alias("kind"),
         level.cast("int").alias("level"),
         parens.cast("int").alias("parens"),
         body.cast("int").alias("body"),
         F.coalesce(owner["start"], F.lit(-1)).alias("owner_start"),
         F.coalesce(owner["kind"], F.lit("")).alias("owner_kind"),
+        F.when(owner["kind"] == "class", owner["start"])
+        .otherwise(F.coalesce(owner["class_start"], F.lit(-1)))
+        .alias("class_start"),
     )
 
 
 def _close(item: Column, stop: Column, line: Column) -> Column:
     order = [part.split(":")[0] for part in _EXTENT[7:-1].split(",")]
-    return _record(item, order, stop=stop.cast("int"), end_line=line.cast("int"))
+    return record(item, order, stop=stop.cast("int"), end_line=line.cast("int"))
 
 
 def _with_body(item: Column, body: Column) -> Column:
     order = [part.split(":")[0] for part in _EXTENT[7:-1].split(",")]
-    return _record(item, order, body=body.cast("int"))
+    return record(item, order, body=body.cast("int"))
 
 
 def _indent_extents(masked: Column, spec: LanguageSpec) -> Column:
     """Blocks that end before the next statement indented no deeper than their header."""
     order = ["pos", "line", "depth", "joined", "stop", "end_line", "open", "done"]
-    zero = F.struct(
-        F.lit(0).alias("pos"),
-        F.lit(0).alias("line"),
-        F.lit(0).alias("depth"),
-        F.lit(False).alias("joined"),
-        F.lit(0).alias("stop"),
-        F.lit(0).alias("end_line"),
-        F.array().cast(_EXTENTS).alias("open"),
-        F.array().cast(_EXTENTS).alias("done"),
-    )
+    zero = {
+        "pos": F.lit(0),
+        "line": F.lit(0),
+        "depth": F.lit(0),
+        "joined": F.lit(False),
+        "stop": F.lit(0),
+        "end_line": F.lit(0),
+        "open": F.array().cast(_EXTENTS),
+    }
 
     def step(acc: Column, text: Column) -> Column:
         following = {"pos": acc["pos"] + F.length(text) + 1, "line": acc["line"] + 1}
-        blank = _record(acc, order, **following)
+        blank = record(acc, order, **following)
         return F.when(text.rlike(r"^\s*$"), blank).otherwise(
             bind(
                 F.struct(
@@ -105,7 +105,7 @@ def _indent_extents(masked: Column, spec: LanguageSpec) -> Column:
                 ),
                 lambda now: F.when(
                     (acc["depth"] > 0) | acc["joined"] | text.startswith(FILLER),
-                    _record(
+                    record(
                         acc,
                         order,
                         **following,
@@ -124,7 +124,7 @@ def _indent_extents(masked: Column, spec: LanguageSpec) -> Column:
                 ).otherwise(
                     bind(
                         F.filter(acc["open"], lambda o: o["level"] < now["indent"]),
-                        lambda kept: _record(
+                        lambda kept: record(
                             acc,
                             order,
                             **following,
@@ -142,6 +142,7 @@ def _indent_extents(masked: Column, spec: LanguageSpec) -> Column:
                                             F.lit(-1),
                                             acc["line"],
                                             F.lit(-1),
+                                            now["indent"],
                                             F.when(text.rlike(r"^\s*class\b"), F.lit("class")).otherwise(
                                                 F.lit("function")
                                             ),
@@ -155,14 +156,13 @@ def _indent_extents(masked: Column, spec: LanguageSpec) -> Column:
                                     ),
                                 ),
                             ).otherwise(kept),
-                            done=F.when(F.size(kept) == F.size(acc["open"]), acc["done"]).otherwise(
-                                F.concat(
-                                    acc["done"],
-                                    F.transform(
-                                        F.filter(acc["open"], lambda o: o["level"] >= now["indent"]),
-                                        lambda o: _close(o, acc["stop"], acc["end_line"]),
-                                    ),
-                                )
+                            **append_if(
+                                F.size(kept) < F.size(acc["open"]),
+                                acc,
+                                F.transform(
+                                    F.filter(acc["open"], lambda o: o["level"] >= now["indent"]),
+                                    lambda o: _close(o, acc["stop"], acc["end_line"]),
+                                ),
                             ),
                         ),
                     )
@@ -170,12 +170,11 @@ def _indent_extents(masked: Column, spec: LanguageSpec) -> Column:
             )
         )
 
-    def finish(acc: Column) -> Column:
-        return F.concat(
-            acc["done"], F.transform(acc["open"], lambda o: _close(o, acc["stop"], acc["end_line"]))
-        )
+    def finish(acc: Column, done: Column) -> Column:
+        return F.concat(done, F.transform(acc["open"], lambda o: _close(o, acc["stop"], acc["end_line"])))
 
-    return F.array_sort(F.aggregate(F.split(masked, "\n"), zero, step, finish))
+    lines = F.split(masked, "\n")
+    return bind(lines, lambda t: F.array_sort(collecting_fold(t, zero, _EXTENTS, step, finish)))
 
 
 def _brace_extents(masked: Column, spec: LanguageSpec) -> Column:
@@ -184,15 +183,9 @@ def _brace_extents(masked: Column, spec: LanguageSpec) -> Column:
     header = form.replace("@CALL@", "")
     ahead = form.replace("@CALL@", r"(?=\s*(?:<[^(){};]*>)?\s*\()")
     events = F.regexp_extract_all(masked, F.lit(rf"[\s\S]*?(?:{ahead}|[{{}}();]|\z)"), F.lit(0))
-    order = ["pos", "line", "depth", "parens", "open", "done"]
-    zero = F.struct(
-        F.lit(0).alias("pos"),
-        F.lit(0).alias("line"),
-        F.lit(0).alias("depth"),
-        F.lit(0).alias("parens"),
-        F.array().cast(_EXTENTS).alias("open"),
-        F.array().cast(_EXTENTS).alias("done"),
-    )
+    order = ["pos", "line", "line_pos", "depth", "parens", "open", "done"]
+    zero = {n: F.lit(0) for n in ("pos", "line", "line_pos", "depth", "parens")}
+    zero["open"] = F.array().cast(_EXTENTS)
 
     def without_pending(open_: Column) -> Column:
         return F.filter(open_, lambda o: o["body"] >= 0)
@@ -201,11 +194,14 @@ def _brace_extents(masked: Column, spec: LanguageSpec) -> Column:
         sign = F.right(text, F.lit(1))
         pos = acc["pos"] + F.length(text)
         line = acc["line"] + _count(text, r"\n")
-        moved = {"pos": pos, "line": line}
+        line_pos = F.when(F.contains(text, F.lit("\n")), pos - F.length(F.substring_index(text, "\n", -1))).otherwise(
+            acc["line_pos"]
+        )
+        moved = {"pos": pos, "line": line, "line_pos": line_pos}
         top = _last(acc["open"])
         waiting = (top["body"] < 0) & (top["parens"] == acc["parens"])
 
-        opened = _record(
+        opened = record(
             acc,
             order,
             **moved,
@@ -218,16 +214,14 @@ def _brace_extents(masked: Column, spec: LanguageSpec) -> Column:
 
         def closing(acc_open: Column) -> Column:
             ends = (_last(acc_open)["body"] >= 0) & (_last(acc_open)["level"] >= acc["depth"] - 1)
-            return _record(
+            return record(
                 acc,
                 order,
                 **moved,
                 depth=F.greatest(acc["depth"] - 1, F.lit(0)),
                 parens=F.when(ends, _last(acc_open)["parens"]).otherwise(acc["parens"]),
                 open=F.when(ends, F.slice(acc_open, F.lit(1), F.size(acc_open) - 1)).otherwise(acc_open),
-                done=F.when(
-                    ends, F.concat(acc["done"], F.array(_close(_last(acc_open), pos, line)))
-                ).otherwise(acc["done"]),
+                **append_if(ends, acc, F.array(_close(_last(acc_open), pos, line))),
             )
 
         still_open = F.filter(acc["open"], lambda o: (o["body"] >= 0) | (o["level"] < acc["depth"]))
@@ -236,16 +230,14 @@ def _brace_extents(masked: Column, spec: LanguageSpec) -> Column:
         keeps_declaration = F.lit(spec.bodiless_functions) & top["kind"].isin("function", "method")
         ended = F.when(
             waiting,
-            _record(
+            record(
                 acc,
                 order,
                 **moved,
                 open=without_pending(acc["open"]),
-                done=F.when(
-                    keeps_declaration, F.concat(acc["done"], F.array(_close(top, pos, line)))
-                ).otherwise(acc["done"]),
+                **append_if(keeps_declaration, acc, F.array(_close(top, pos, line))),
             ),
-        ).otherwise(_record(acc, order, **moved))
+        ).otherwise(record(acc, order, **moved))
 
         def begin(found: Column) -> Column:
             def push(open_: Column) -> Column:
@@ -270,11 +262,20 @@ def _brace_extents(masked: Column, spec: LanguageSpec) -> Column:
                     )
                     .when(inside, F.lit("method"))
                 )
+                # a header over several lines starts in the line it began in, so its column is counted from there
+                breaks = _count(found, r"\n")
+                before = F.substr(text, F.lit(1), F.length(text) - F.length(found))
+                col = F.when(breaks == 0, pos - F.length(found) - line_pos).otherwise(
+                    F.when(
+                        F.contains(before, F.lit("\n")), F.length(F.substring_index(before, "\n", -1))
+                    ).otherwise(acc["pos"] + F.length(before) - acc["line_pos"])
+                )
                 extent = _extent(
                     pos - F.length(found),
                     F.lit(-1),
-                    line - _count(found, r"\n"),
+                    line - breaks,
                     F.lit(-1),
+                    col,
                     kind,
                     acc["depth"],
                     acc["parens"],
@@ -282,28 +283,30 @@ def _brace_extents(masked: Column, spec: LanguageSpec) -> Column:
                     owner,
                 )
                 return F.when(
-                    kind.isNotNull(), _record(acc, order, **moved, open=F.concat(open_, F.array(extent)))
-                ).otherwise(_record(acc, order, **moved))
+                    kind.isNotNull(), record(acc, order, **moved, open=F.concat(open_, F.array(extent)))
+                ).otherwise(record(acc, order, **moved))
 
             return bind(without_pending(acc["open"]), push)
 
         return (
             F.when(sign == "{", opened)
             .when(sign == "}", closed)
-            .when(sign == "(", _record(acc, order, **moved, parens=acc["parens"] + 1))
-            .when(sign == ")", _record(acc, order, **moved, parens=F.greatest(acc["parens"] - 1, F.lit(0))))
+            .when(sign == "(", record(acc, order, **moved, parens=acc["parens"] + 1))
+            .when(sign == ")", record(acc, order, **moved, parens=F.greatest(acc["parens"] - 1, F.lit(0))))
             .when(sign == ";", ended)
             .when(
                 sign.rlike(r"[\w$]"),
                 bind(
                     F.regexp_replace(F.regexp_extract(text, f"({header})$", 1), r"^\s+", ""),
-                    lambda found: F.when(found != "", begin(found)).otherwise(_record(acc, order, **moved)),
+                    lambda found: F.when(found != "", begin(found)).otherwise(record(acc, order, **moved)),
                 ),
             )
-            .otherwise(_record(acc, order, **moved))
+            .otherwise(record(acc, order, **moved))
         )
 
-    return F.array_sort(F.aggregate(events, zero, step, lambda acc: acc["done"]))
+    return bind(
+        events, lambda e: F.array_sort(collecting_fold(e, zero, _EXTENTS, step, lambda _, done: done))
+    )
 
 
 def _signature_cuts(signature: Column, spec: LanguageSpec) -> Column:
@@ -350,7 +353,13 @@ def _argument_texts(signature: Column, cuts: Column) -> Column:
     return F.filter(texts, lambda t: t != "")
 
 
-def _describe(raw: Column, masked: Column, item: Column, spec: LanguageSpec) -> Column:
+def _lines_of(lines: Column, item: Column) -> Column:
+    """Text of the lines an extent covers, from its first column on; the rest of the file is not touched."""
+    covered = F.slice(lines, item["start_line"] + 1, item["end_line"] - item["start_line"] + 1)
+    return F.substr(F.array_join(covered, "\n"), item["col"] + 1, F.lit(2147483647))
+
+
+def _describe(raw_lines: Column, masked_lines: Column, item: Column, spec: LanguageSpec) -> Column:
     """Name, code, inputs, outputs and bases of one extent."""
     head_length = F.when(item["body"] >= 0, item["body"]).otherwise(item["stop"]) - item["start"]
 
@@ -369,7 +378,7 @@ def _describe(raw: Column, masked: Column, item: Column, spec: LanguageSpec) ->
                 ),
                 lambda p: F.struct(
                     item.alias("at"),
-                    F.substr(raw, item["start"] + 1, item["stop"] - item["start"]).alias("code"),
+                    s["sig"]["code"].alias("code"),
                     F.regexp_extract(s["sig"]["masked"], spec.name_after, 1).alias("name"),
                     (item["kind"] == "class").alias("is_class"),
                     F.when(item["kind"] == "class", _first_base(s["sig"], p["args"], spec))
@@ -381,12 +390,17 @@ def _describe(raw: Column, masked: Column, item: Column, spec: LanguageSpec) ->
             ),
         )
 
+    code = F.substr(_lines_of(raw_lines, item), F.lit(1), item["stop"] - item["start"])
     return bind(
-        F.struct(
-            F.substr(masked, item["start"] + 1, head_length).alias("masked"),
-            F.substr(raw, item["start"] + 1, head_length).alias("raw"),
+        code,
+        lambda text: bind(
+            F.struct(
+                text.alias("code"),
+                F.substr(_lines_of(masked_lines, item), F.lit(1), head_length).alias("masked"),
+                F.substr(text, F.lit(1), head_length).alias("raw"),
+            ),
+            from_signature,
         ),
-        from_signature,
     )
 
 
@@ -446,25 +460,22 @@ def _block(**values) -> Column:
 
 def _uncovered(lines: Column, extents: Column) -> Column:
     """Lines outside every extent, joined; NULL when only blanks are left."""
-    zero = F.struct(
-        F.lit(0).alias("next"), F.array().cast("array<struct<first:int,past:int>>").alias("kept")
-    )
-    gaps = F.aggregate(
+    gaps = collecting_fold(
         extents,
-        zero,
-        lambda acc, e: F.struct(
-            F.greatest(acc["next"], e["end_line"] + 1).alias("next"),
-            F.when(
+        {"next": F.lit(0)},
+        "array<struct<first:int,past:int>>",
+        lambda acc, e: record(
+            acc,
+            ["next", "done"],
+            next=F.greatest(acc["next"], e["end_line"] + 1),
+            **append_if(
                 e["start_line"] > acc["next"],
-                F.concat(
-                    acc["kept"], F.array(F.struct(acc["next"].alias("first"), e["start_line"].alias("past")))
-                ),
-            )
-            .otherwise(acc["kept"])
-            .alias("kept"),
+                acc,
+                F.array(F.struct(acc["next"].alias("first"), e["start_line"].alias("past"))),
+            ),
         ),
-        lambda acc: F.concat(
-            acc["kept"],
+        lambda acc, done: F.concat(
+            done,
             F.array(
                 F.struct(acc["next"].alias("first"), F.greatest(F.size(lines), acc["next"]).alias("past"))
             ),
@@ -489,9 +500,26 @@ def _structured_blocks(text: Column, spec: LanguageSpec) -> Column:
                 F.struct(
                     s.alias("s"),
                     F.transform(
-                        s["extents"], lambda e: _describe(s["src"]["raw"], s["src"]["masked"], e, spec)
+                        s["extents"],
+                        lambda e: _describe(s["src"]["raw_lines"], s["src"]["masked_lines"], e, spec),
                     ).alias("items"),
                 ),
+                with_classes,
+            ),
+        )
+
+    def with_classes(known: Column) -> Column:
+        classes = F.filter(known["items"], lambda i: i["is_class"])
+        return bind(
+            classes,
+            lambda found: bind(
+                F.struct(
+                    known["s"].alias("s"),
+                    known["items"].alias("items"),
+                    F.map_from_arrays(
+                        F.transform(found, lambda c: c["at"]["start"]), F.transform(found, lambda c: c["name"])
+                    ).alias("class_names"),
+                ),
                 build,
             ),
         )
@@ -502,15 +530,6 @@ def _structured_blocks(text: Column, spec: LanguageSpec) -> Column:
         def of_kind(kind: str) -> Column:
             return F.filter(items, lambda i: i["at"]["kind"] == kind)
 
-        def owner_class(item: Column) -> Column:
-            around = F.filter(
-                items,
-                lambda c: c["is_class"]
-                & (c["at"]["start"] < item["at"]["start"])
-                & (c["at"]["stop"] >= item["at"]["stop"]),
-            )
-            return _last(around)["name"]
-
         def class_block(item: Column) -> Column:
             methods = F.filter(
                 items, lambda m: ~m["is_class"] & (m["at"]["owner_start"] == item["at"]["start"])
@@ -535,10 +554,10 @@ def _structured_blocks(text: Column, spec: LanguageSpec) -> Column:
                 outputs=item["outputs"],
                 start_line=item["at"]["start_line"],
                 end_line=item["at"]["end_line"],
-                owner_class=owner_class(item),
+                owner_class=F.try_element_at(known["class_names"], item["at"]["class_start"]),
             )
 
-        rest = _uncovered(F.split(known["s"]["src"]["raw"], "\n"), known["s"]["extents"])
+        rest = _uncovered(known["s"]["src"]["raw_lines"], known["s"]["extents"])
         rest_block = F.filter(
             F.array(_block(code_type=F.lit("global"), code=rest)), lambda b: b["code"].isNotNull()
         )
@@ -549,7 +568,17 @@ def _structured_blocks(text: Column, spec: LanguageSpec) -> Column:
             rest_block,
         )
 
-    return bind(F.struct(text.alias("raw"), mask(text, spec).alias("masked")), from_mask)
+    def from_text(masked: Column) -> Column:
+        return bind(
+            F.struct(
+                masked.alias("masked"),
+                F.split(masked, "\n").alias("masked_lines"),
+                F.split(text, "\n").alias("raw_lines"),
+            ),
+            from_mask,
+        )
+
+    return bind(mask(text, spec), from_text)
 
 
 def statement_type(statement: Column) -> Column:
@@ -576,54 +605,59 @@ def statement_type(statement: Column) -> Column:
 
 
 def _statement_blocks(text: Column, spec: LanguageSpec) -> Column:
-    order_zero = F.struct(
-        F.lit(0).alias("pos"),
-        F.lit(0).alias("line"),
-        F.array().cast("array<struct<start:int,length:int,line:int,breaks:int,kind:string>>").alias("found"),
-    )
+    zero = {"line": F.lit(0), "col": F.lit(0)}
+    kind = "array<struct<col:int,length:int,line:int,breaks:int,kind:string>>"
+
+    def column_after(text: Column, col: Column) -> Column:
+        """Column behind a text that begins in column ``col``."""
+        tail = F.length(F.substring_index(text, "\n", -1))
+        return F.when(F.contains(text, F.lit("\n")), tail).otherwise(col + F.length(text))
 
     def step(acc: Column, piece: Column) -> Column:
         lead = F.regexp_extract(piece, r"^\s*", 0)
         body = F.regexp_replace(piece, r"^\s+|[\s;]+$", "")
         return bind(
             F.struct(lead.alias("lead"), body.alias("body"), statement_type(piece).alias("kind")),
-            lambda p: F.struct(
-                (acc["pos"] + F.length(piece)).alias("pos"),
-                (acc["line"] + _count(piece, r"\n")).alias("line"),
-                F.when(
+            lambda p: record(
+                acc,
+                ["line", "col", "done"],
+                line=acc["line"] + _count(piece, r"\n"),
+                col=column_after(piece, acc["col"]),
+                **append_if(
                     p["kind"].isNotNull(),
-                    F.concat(
-                        acc["found"],
-                        F.array(
-                            F.struct(
-                                (acc["pos"] + F.length(p["lead"])).alias("start"),
-                                F.length(p["body"]).alias("length"),
-                                (acc["line"] + _count(p["lead"], r"\n")).alias("line"),
-                                _count(p["body"], r"\n").alias("breaks"),
-                                p["kind"].alias("kind"),
-                            )
-                        ),
+                    acc,
+                    F.array(
+                        F.struct(
+                            column_after(p["lead"], acc["col"]).alias("col"),
+                            F.length(p["body"]).alias("length"),
+                            (acc["line"] + _count(p["lead"], r"\n")).alias("line"),
+                            _count(p["body"], r"\n").alias("breaks"),
+                            p["kind"].alias("kind"),
+                        )
                     ),
-                )
-                .otherwise(acc["found"])
-                .alias("found"),
+                ),
             ),
         )
 
     def from_mask(src: Column) -> Column:
         pieces = F.regexp_extract_all(src["masked"], F.lit(r"[^;]*+;|[^;]++"), F.lit(0))
-        found = F.aggregate(pieces, order_zero, step, lambda acc: acc["found"])
+        found = bind(pieces, lambda p: collecting_fold(p, zero, kind, step, lambda _, done: done))
+
+        def code(s: Column) -> Column:
+            covered = F.slice(src["lines"], s["line"] + 1, s["breaks"] + 1)
+            return F.substr(F.array_join(covered, "\n"), s["col"] + 1, s["length"])
+
         return F.transform(
             found,
             lambda s: _block(
                 code_type=s["kind"],
-                code=F.substr(src["raw"], s["start"] + 1, s["length"]),
+                code=code(s),
                 start_line=s["line"],
                 end_line=s["line"] + s["breaks"],
             ),
         )
 
-    return bind(F.struct(text.alias("raw"), mask(text, spec).alias("masked")), from_mask)
+    return bind(F.struct(F.split(text, "\n").alias("lines"), mask(text, spec).alias("masked")), from_mask)
 
 
 def blocks_of(text: Column, language: Column, languages=DEFAULT_LANGUAGES) -> Column:

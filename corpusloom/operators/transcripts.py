@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.folds import collecting_fold
 from corpusloom.functions.ranking import running_sum
 from corpusloom.functions.rows import explode_once
 from corpusloom.functions.text import strip_space
@@ -57,11 +58,8 @@ def _scan_epochs(costs: DataFrame, threshold: int, base: int, summary: int, key:
     rows = costs.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), F.col("_cost").alias("cost")))).alias("m")
     )
-    zero = F.struct(
-        F.lit(base).cast("long").alias("total"),
-        F.lit(0).alias("epoch"),
-        F.array().cast("array<struct<turn:bigint,total:bigint,epoch:int,compressed:boolean>>").alias("out"),
-    )
+    zero = {"total": F.lit(base).cast("long"), "epoch": F.lit(0)}
+    kind = "array<struct<turn:bigint,total:bigint,epoch:int,compressed:boolean>>"
 
     def step(acc: Column, m: Column) -> Column:
         total = acc["total"] + m["cost"]
@@ -70,7 +68,7 @@ def _scan_epochs(costs: DataFrame, threshold: int, base: int, summary: int, key:
             F.when(full, F.lit(base + summary).cast("long")).otherwise(total).alias("total"),
             (acc["epoch"] + full.cast("int")).alias("epoch"),
             F.concat(
-                acc["out"],
+                acc["done"],
                 F.array(
                     F.struct(
                         m["turn"].cast("long").alias("turn"),
@@ -79,10 +77,10 @@ def _scan_epochs(costs: DataFrame, threshold: int, base: int, summary: int, key:
                         full.alias("compressed"),
                     )
                 ),
-            ).alias("out"),
+            ).alias("done"),
         )
 
-    scanned = explode_once(rows, [key], F.aggregate("m", zero, step, lambda acc: acc["out"]), "_at", "r")
+    scanned = explode_once(rows, [key], collecting_fold(F.col("m"), zero, kind, step, lambda _, done: done), "_at", "r")
     return scanned.select(key, F.col("r.turn").alias(turn), "r.total", "r.epoch", "r.compressed")
 
 

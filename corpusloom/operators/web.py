@@ -5,6 +5,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.folds import append_if, collecting_fold
 from corpusloom.functions.rows import explode_once
 from corpusloom.functions.text import bind, count_tokens, line_breaks_to_space
 from corpusloom.operators.graph import within_depth
@@ -118,13 +119,7 @@ def sentence_chunks(text: Column, max_tokens: int = CHUNK_TOKENS, strict: bool =
     ``strict`` also loses the unfinished last passage and shows an empty one as a lone stop.
     """
     spans = "array<struct<first:int,n:int>>"
-    zero = F.struct(
-        F.lit(0).alias("i"),
-        F.lit(0).alias("first"),
-        F.lit(0).alias("n"),
-        F.lit(0).alias("used"),
-        F.array().cast(spans).alias("spans"),
-    )
+    zero = {n: F.lit(0) for n in ("i", "first", "n", "used")}
 
     def span(acc: Column) -> Column:
         return F.array(F.struct(acc["first"].alias("first"), acc["n"].alias("n")))
@@ -148,23 +143,17 @@ def sentence_chunks(text: Column, max_tokens: int = CHUNK_TOKENS, strict: bool =
                         F.when(over, F.lit(0)).otherwise(acc["used"])
                         + F.when(cost > max_tokens, F.lit(0)).otherwise(cost + 1)
                     ).alias("used"),
-                    F.when(
-                        over & (F.lit(strict) | (acc["n"] > 0)), F.concat(acc["spans"], span(acc))
-                    )
-                    .otherwise(acc["spans"])
-                    .alias("spans"),
+                    append_if(over & (F.lit(strict) | (acc["n"] > 0)), acc, span(acc))["done"].alias("done"),
                 ),
             ),
         )
 
-    def finish(acc: Column) -> Column:
-        if strict:
-            return acc["spans"]
-        return F.when(acc["n"] > 0, F.concat(acc["spans"], span(acc))).otherwise(acc["spans"])
+    def finish(acc: Column, done: Column) -> Column:
+        return done if strict else F.when(acc["n"] > 0, F.concat(done, span(acc))).otherwise(done)
 
     def build(sentences: Column) -> Column:
         texts = F.transform(
-            F.aggregate(sentences, zero, step, finish),
+            collecting_fold(sentences, zero, spans, step, finish),
             lambda s: F.array_join(F.slice(sentences, s["first"] + 1, s["n"]), ". "),
         )
         return F.transform(
