@@ -97,7 +97,7 @@ def embed(
     ``model`` maps a list of token lists to a matrix with one row per list.
 
     A text longer than one request is embedded chunk by chunk and averaged in the same task. By default this is one
-    pass without a shuffle, and only the chunks go to the Python workers. With ``once_per_text``, for models that cost
+    pass without a shuffle. With ``once_per_text``, for models that cost
     more than a shuffle, every distinct text of the table is embedded once and joined back; ``df`` is then read
     twice, so it should be a stored table.
     """
@@ -110,22 +110,26 @@ def embed(
         return F.transform(starts, lambda i: F.slice(toks, i + 1, F.lit(chunk_tokens)))
 
     run = _embedder(model or HashingModel())
-    if not once_per_text:
-
-        def vectors_of(chunks: pa.Array) -> pa.Array:
-            return run(chunks)
-
-        embedder = F.arrow_udf(vectors_of, T.ArrayType(T.FloatType()))
-        return df.withColumn(out, embedder(bind(tokens(F.col(text)), cut)))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the chunks come last and are replaced by the vectors; other columns pass through untouched
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), run(batch.column(1))], names=["_key", out])
+            kept = batch.num_columns - 1
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:kept], run(batch.column(kept))], names=[*batch.schema.names[:kept], out]
+            )
 
+    def with_vectors(rows: DataFrame, source: str) -> DataFrame:
+        chunked = rows.withColumn("_chunks", bind(tokens(F.col(source)), cut))
+        fields = [f for f in rows.schema.fields if f.name != out]
+        schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.FloatType()))])
+        return chunked.select(*[f.name for f in fields], "_chunks").mapInArrow(add_vectors, schema)
+
+    if not once_per_text:
+        return with_vectors(df, text)
     keyed = df.withColumn("_key", F.md5(F.col(text)))
     once = keyed.filter(F.col(text).isNotNull()).groupBy("_key").agg(F.any_value(F.col(text)).alias("_text"))
-    chunks = once.select("_key", bind(tokens(F.col("_text")), cut).alias("_chunks"))
-    vectors = chunks.mapInArrow(rows, f"_key string, {out} array<float>")
+    vectors = with_vectors(once, "_text").drop("_text")
     return keyed.join(vectors, "_key", "left").drop("_key")
 
 

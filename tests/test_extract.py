@@ -2,7 +2,6 @@
 
 from dataclasses import replace
 
-import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import extract as ops
@@ -183,6 +182,8 @@ def test_typescript_blocks(spark):
     assert "import { a }" in rest["code"] and "interface Opts" in rest["code"] and "Store" not in rest["code"]
 
 
+EDGES = {"empty": "", "blank": "  \n\n", "plain": "Only text, no code."}
+
 SQL = """
 -- all; of it
 WITH s AS (
@@ -223,13 +224,11 @@ def test_sql_statements(spark):
     ]
 
 
-@pytest.mark.parametrize("path", ["p.py", "p.php", "p.ts"])
-def test_edge_files(spark, path):
-    assert cut(spark, path, "") == []
-    assert cut(spark, path, "  \n\n") == []
-    plain = cut(spark, path, "Only text, no code.")
-    assert [(r["code_type"], r["code"]) for r in plain] == [("global", "Only text, no code.")]
-    assert cut(spark, "notes.md", "# x") == []
+def test_edge_files(spark):
+    rows = [(f"{case}.{end}", text) for end in ("py", "php", "ts") for case, text in EDGES.items()]
+    files = spark.createDataFrame([*rows, ("notes.md", "# x")], "filepath string, content string")
+    got = [(r["filepath"], r["code_type"], r["code"]) for r in ops.extract_blocks(files).collect()]
+    assert sorted(got) == sorted((f"plain.{e}", "global", EDGES["plain"]) for e in ("py", "php", "ts"))
 
 
 def test_decorated_and_blank_lines(spark):
@@ -250,7 +249,7 @@ def test_spans_agree_with_code(spark):
 
 def test_new_language_is_a_row(spark):
     script = replace(TYPESCRIPT, name="javascript", suffixes=(".js",))
-    languages = (*DEFAULT_LANGUAGES, script)
+    languages = (script,)
     assert brief(cut(spark, "a.js", "function f(a) {\n  return a;\n}\n", languages)) == [("function", "f", 0, 2)]
     assert cut(spark, "a.js", "function f(a) {}") == []
     assert language_specs(spark, languages).filter("language = 'javascript'").count() == 1
