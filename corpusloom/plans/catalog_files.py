@@ -22,7 +22,7 @@ from corpusloom.schemas import INDEX
 from corpusloom.session import scratch_path
 from corpusloom.sources.documents import read_documents_csv, write_documents_csv
 from corpusloom.sources.dot import read_dot_graph
-from corpusloom.sources.files import scan_files as scan
+from corpusloom.sources.files import list_files
 from corpusloom.sources.index_store import load_index, store_index
 
 MODEL = "current-model"
@@ -34,7 +34,7 @@ def repo_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def scan_files(spark, sf_dir):
-    return scan(spark, sf_dir, "*.parquet").select("path", "length")
+    return list_files(spark, sf_dir, "*.parquet").select("path", "length")
 
 
 @query(

@@ -1,39 +1,101 @@
 """Source trees as file tables."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.schemas import BINARY_FILE
+from corpusloom.session import cut_lineage
 
+BATCH_BYTES = 64 << 20  # content handed over per Arrow batch
+_ENTRY = pa.schema(
+    [("dir", pa.bool_()), ("path", pa.string()), ("length", pa.int64()), ("modified", pa.timestamp("us", tz="UTC"))]
+)
+_ENTRY_DDL = "dir boolean, path string, length bigint, modified timestamp"
 
-def relative_files(files: DataFrame, root: str) -> DataFrame:
-    """(path below the root, content, length, modified) of rows in binary-file form."""
-    plain = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.\-]*:/+", "/")
-    base = root.split(":", 1)[-1] if "://" in root or root.startswith("file:") else root
-    base = "/" + base.strip("/") + "/"
-    return files.select(
-        F.when(plain.startswith(base), F.substr(plain, F.lit(len(base) + 1), F.length(plain)))
-        .otherwise(plain)
-        .alias("path"),
-        "content",
-        "length",
-        F.col("modificationTime").alias("modified"),
-    )
+
+def _list_entries(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(root)
+        base = base.rstrip("/")
+        for batch in batches:
+            for below in batch.column(0).to_pylist():
+                found = system.get_file_info(fs.FileSelector(f"{base}/{below}" if below else base))
+                rows = [
+                    {
+                        "dir": item.type == fs.FileType.Directory,
+                        "path": item.path[len(base) :].lstrip("/"),
+                        "length": item.size,
+                        "modified": item.mtime,
+                    }
+                    for item in found
+                ]
+                yield pa.RecordBatch.from_pylist(rows, schema=_ENTRY)
+
+    return run
+
+
+def _read_contents(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            start, held, contents = 0, 0, []
+            for number, path in enumerate(batch.column(0).to_pylist()):
+                with system.open_input_file(f"{base.rstrip('/')}/{path}") as file:
+                    contents.append(file.read())
+                held += len(contents[-1])
+                if held >= BATCH_BYTES or number == batch.num_rows - 1:
+                    part = batch.slice(start, len(contents))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array(contents, pa.binary()), part.column(1), part.column(2)],
+                        names=["path", "content", "length", "modified"],
+                    )
+                    start, held, contents = number + 1, 0, []
+
+    return run
 
 
-def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """A1: every file below the root, hidden ones included, with raw content.
+def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(path below the root, length, modified) of every file, hidden ones included.
 
-    A glob limits the listing itself, so files without a handler are never read.
+    The engine's own file sources leave out names that begin with a dot or an underscore, ``__init__.py`` among them.
+    Here the tasks list one level of directories at a time, so a wide tree is listed by all executors.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return relative_files(reader.load(root), root)
+    level = spark.createDataFrame([("",)], "path string")
+    found = None
+    while True:
+        entries = cut_lineage(level.mapInArrow(_list_entries(root), _ENTRY_DDL))
+        files = entries.filter(~F.col("dir")).drop("dir")
+        found = files if found is None else found.unionByName(files)
+        below = entries.filter("dir").select("path")
+        if below.isEmpty():
+            break
+        level = below.repartition(spark.sparkContext.defaultParallelism, "path")
+    if glob == "*":
+        return found
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    pattern = "".join({"*": "[^/]*", "?": "[^/]"}.get(c, "\\" + c if not c.isalnum() else c) for c in glob)
+    return found.filter(name.rlike(f"^{pattern}$"))
+
+
+def scan_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """A1: (path, content, length, modified) of every file below the root; a glob keeps other files from being read."""
+    listed = list_files(spark, root, glob)
+    dealt = listed.select("path", "length", "modified").repartition(spark.sparkContext.defaultParallelism, "path")
+    return dealt.mapInArrow(
+        _read_contents(root), "path string, content binary, length bigint, modified timestamp"
+    )
 
 
 def stream_files(spark: SparkSession, root: str, glob: str | None = None, max_files: int = 10000) -> DataFrame:
-    """A1 as a stream of new and changed files, a bounded number per batch."""
+    """A1 as a stream of new and changed files, a bounded number per batch.
+
+    This is the engine's file stream, which leaves out names that begin with a dot or an underscore; a later
+    ``refresh_index`` over ``scan_files`` takes those in.
+    """
     reader = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE)
@@ -42,7 +104,12 @@ def stream_files(spark: SparkSession, root: str, glob: str | None = None, max_fi
     )
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return relative_files(reader.load(root), root)
+    plain = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.\-]*:/+", "/")
+    base = "/" + fs.FileSystem.from_uri(root)[1].strip("/") + "/"
+    below = F.when(plain.startswith(base), F.substr(plain, F.lit(len(base) + 1), F.length(plain))).otherwise(plain)
+    return reader.load(root).select(
+        below.alias("path"), "content", "length", F.col("modificationTime").alias("modified")
+    )
 
 
 def as_text(files: DataFrame, repo_id: str) -> DataFrame:

@@ -71,9 +71,11 @@ def test_scan_reads_hidden_files(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "a.py").write_text("x = 'é'\n")
     (tmp_path / ".env").write_bytes(b"\x00\xff")
+    (tmp_path / "src" / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "src" / "deep" / "er" / "__init__.py").write_text("")
     found = scan_files(spark, str(tmp_path)).withColumn("sum", ops.file_checksum(F.col("content")))
-    assert {r["path"]: r["length"] for r in found.collect()} == {"src/a.py": 9, ".env": 2}
-    text = as_text(scan_files(spark, str(tmp_path), "*.py"), "r").collect()
+    assert {r["path"]: r["length"] for r in found.collect()} == {"src/a.py": 9, ".env": 2, "src/deep/er/__init__.py": 0}
+    text = as_text(scan_files(spark, f"file://{tmp_path}", "a*.py"), "r").collect()
     assert [(r["repo_id"], r["filepath"], r["content"]) for r in text] == [("r", "src/a.py", "x = 'é'\n")]
 
 
