@@ -1,4 +1,4 @@
 """All registered queries of this subpackage."""
 
-from corpusloom.llm import byte_pairs, packing, substrings, suffixes, token_counts  # noqa: F401
+from corpusloom.llm import byte_pairs, fingerprints, neighbours, packing, substrings, suffixes, token_counts, urls  # noqa: F401
 from corpusloom.llm.registry import ORACLES, QUERIES  # noqa: F401

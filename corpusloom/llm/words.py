@@ -20,7 +20,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """First n powers of the base of rolling hashes, modulo 2**64, or of its inverse."""
     key = "inverse" if inverse else "base"
-    if len(_POWERS.get(key, ())) < n:
+    if len(_POWERS.get(key, ())) < max(n, 1):
         row = np.full(max(n, 1 << 16), _INVERSE if inverse else _BASE)
         row[0] = 1
         _POWERS[key] = np.cumprod(row, dtype=np.uint64)
