@@ -104,7 +104,7 @@ def train(
 
 def chance(grams_: Column, weights: list[float], buckets: int) -> Column:
     """Probability of block under the weights, a constant array in the plan."""
-    held = F.expr(f"array({', '.join(f'{w!r}D' for w in weights)})")  # folded to one literal
+    held = F.split(F.lit(" ".join(map(repr, weights))), " ").cast("array<double>")  # folded to one literal
     total = F.aggregate(
         grams_, F.element_at(held, buckets + 1), lambda sum_, gram: sum_ + F.element_at(held, gram + 1)
     )

@@ -33,7 +33,7 @@ def test_odd_urls(spark):
         [(f"http://bad.net/casino/{n}", 1) for n in range(30)] + [(f"http://fine.net/news/{n}", 0) for n in range(30)]
         + [(None, 1), ("http://fine.net/x", None)], "url string, label int",
     )
-    got = judge_urls(pages, RULES, labelled).collect()
+    got = judge_urls(pages, RULES, labelled, rounds=8).collect()
     assert len(got) == len(rows)
     for r in got:
         if r.page_id is None:
@@ -42,7 +42,7 @@ def test_odd_urls(spark):
         assert (r.host, r.path) == split(url)
         name, verdict = rule(r.host, r.path)
         assert r.rule == name and r.verdict == (verdict or ("block" if r.score > 0.5 else "allow"))
-    assert judge_urls(pages.where("page_id = 99"), RULES, labelled).collect() == []
+    assert judge_urls(pages.where("page_id = 99"), RULES, labelled, rounds=1).collect() == []
     nothing = judge_urls(pages, RULES, labelled.where("label = 7")).collect()
     assert {r.score for r in nothing} == {0.5} and all(r.verdict == "allow" for r in nothing if r.rule is None)
     new = spark.createDataFrame([(1, "http://bad.net/casino/x"), (2, "http://fine.net/news/y")], "page_id long, url string")
