@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.registry import query, table, texts
 from corpusloom.llm.runs import Runs
-from corpusloom.llm.substrings import _parts
-from corpusloom.llm.words import mix, run_starts, runs_of_words, words_of
+from corpusloom.llm.words import mix, parts_of, run_starts, runs_of_words, words_of
 from corpusloom.session import scratch_path
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -144,7 +143,7 @@ class _Bags:
             here = np.isin(rows.column("row").to_numpy(), asked.column("row").to_numpy())
             rows = rows.filter(pa.array(here))
             found = []
-            for _, part in _parts(rows.column("text")) if rows.num_rows else ():
+            for _, part in parts_of(rows.column("text")) if rows.num_rows else ():
                 found += [x.astype("<u8").tobytes() for x in units(*bags(part, shingle), len(part))]
             return pa.table([rows.column("run"), rows.column("row"), pa.array(found, pa.binary())], names=names)
 
@@ -205,8 +204,10 @@ def near_duplicates(
     rows: int = 5,
     doc_id: str = "doc_id",
     text: str = "text",
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """One row per input row: doc_id, class_id, kept, n_shingles, text.
+    """One row per input row: doc_id, class_id, kept, n_shingles, text; with ``carry`` also ``rest``, a struct of those
+    columns.
 
     Two texts are linked if the weighted Jaccard similarity of the multisets of their shingles is at least ``threshold``;
     a class is a connected component. ``class_id`` is the least doc_id of the class, and ``kept`` marks its row, of
@@ -220,11 +221,11 @@ def near_duplicates(
     some rounds only those outside the bucket's largest class are compared with the others. Multisets travel once for
     each hub and run.
     """
-    runs = Runs(texts(docs, doc_id, text), "near_duplicates")
+    runs = Runs(texts(docs, doc_id, text, carry), "near_duplicates")
 
     def sign(found: pa.Table, _) -> pa.Table:
         digests, sizes, keys = [], [], []
-        for _, part in _parts(found.column("text")):
+        for _, part in parts_of(found.column("text")):
             of, hashes, weights = bags(part, shingle)
             edges = np.searchsorted(of, np.arange(len(part) + 1))
             for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -293,10 +294,8 @@ def near_duplicates(
         ),
         "decisions",
     )
-    return (
-        runs.texts.join(decided, ["run", "row"])
-        .select("doc_id", "class_id", "kept", "n_shingles", "text", "row")
-    )
+    columns = ["doc_id", "class_id", "kept", "n_shingles", "text", "row"] + ["rest"] * (carry is not None)
+    return runs.stored.join(decided, ["run", "row"]).select(*columns)
 
 
 def _pairs_with_hubs(own: DataFrame, turn: int) -> DataFrame:

@@ -19,26 +19,30 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import scratch_path
 
-#: Bytes of text in a bucket; also sets the number of shares.
-RUN_BYTES = 24 << 20
+#: Bytes of text in a run, about; also sets the number of buckets and of shares.
+RUN_BYTES = 12 << 20
 ASK = "share long, run long, kind int, items binary"
 ANSWER = "run long, kind int, share long, answer binary"
 
 
 class Runs:
-    """Texts (run, row, doc_id, text) by run. ``row`` is unique, so repeated and null ids do no harm."""
+    """Texts (run, row, doc_id, text) by run. ``row`` is unique, so repeated and null ids do no harm.
+
+    ``stored`` also has the column ``rest`` if the rows do.
+    """
 
     def __init__(self, rows: DataFrame, name: str):
         spark = rows.sparkSession
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        size, count = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
         self.shares = max(4, -(-size // RUN_BYTES))
+        together = max(1, count * RUN_BYTES // max(1, size))  # rows of a run
         table = f"{name}_{uuid.uuid4().hex}"
         (
-            rows.select(
-                F.spark_partition_id().cast("long").alias("run"),
-                F.monotonically_increasing_id().alias("row"),
-                "doc_id",
-                "text",
+            rows.select(F.monotonically_increasing_id().alias("row"), *rows.columns)
+            .select(
+                (F.shiftright("row", 33) * (1 << 33) + F.floor(F.col("row").bitwiseAND((1 << 33) - 1) / together)).alias("run"),
+                "row",
+                *rows.columns,
             )
             .write.format("parquet")
             .option("path", scratch_path(spark, name))
@@ -47,7 +51,8 @@ class Runs:
             .sortBy("run")
             .saveAsTable(table)
         )
-        self.texts = spark.table(table)
+        self.stored = spark.table(table)
+        self.texts = self.stored.select("run", "row", "doc_id", "text")
 
     def ask(self, question: Callable[[pa.Table, dict[int, dict[int, bytes]]], Iterable], kind: int, answers=None):
         """Rows of ASK: ``question`` yields (share, items) for a run, given earlier answers by kind and share."""

@@ -15,25 +15,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.registry import query, table, texts
 from corpusloom.llm.runs import Runs, cut_by_share, judged, kept_answers, pack_hashes, shares_of, unpack_hashes
-from corpusloom.llm.words import as_binary, join_kept, run_starts, runs_of_words, words_of
+from corpusloom.llm.words import as_binary, join_kept, parts_of, run_starts, runs_of_words, words_of
 
 #: Lowest bits of a block's hash that are not sent: 48 remain, and a chance hit only costs a needless comparison.
 DROPPED = 16
 BLOCKS, WINDOWS = 1, 2
 WINDOW = np.dtype([("high", "<u8"), ("low", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4")])
-PART_BYTES = 4 << 20
-
-
-def _parts(column: pa.Array):
-    """The texts in parts of some MB, to bound what numpy holds at once."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    sizes = np.cumsum(np.asarray(pa.compute.binary_length(column)).astype(np.int64))
-    at = 0
-    while at < len(column):
-        upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART_BYTES, "right")))
-        yield at, column.slice(at, upto - at)
-        at = upto
 
 
 class _Run:
@@ -42,7 +29,7 @@ class _Run:
     def __init__(self, rows: pa.Table, block: int, window: int, shares: int):
         self.block, self.window, self.shares = block, window, shares
         hashes, counts = [], []
-        for _, part in _parts(rows.column("text")):
+        for _, part in parts_of(rows.column("text")):
             words = words_of(part)
             hashes.append(words.hash)
             counts.append(np.diff(words.first))
@@ -128,14 +115,15 @@ def _judge_windows(asked: list) -> list[bytes]:
 
 
 def drop_repeated_passages(
-    docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None
 ) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, spans of removed words, and the kept words as ``kept``.
+    """One row per input row: doc_id, n_words, n_removed, spans of removed words, and the kept words as ``kept``; with
+    ``carry`` also ``rest``, a struct of those columns.
 
     A word goes if it lies in a window of ``window`` words (2 at least) of its text whose sequence of words starts
     earlier: in a text of smaller id, or earlier in the same text. Windows are judged on the input. ``spans`` are
     (start, length) in words of the maximal removed runs, ``kept`` is the UTF-8 of the kept words joined by one space,
-    ``whole`` the input text.
+    ``text`` the input text.
 
     A null or empty text, or one of separators only, has no words. Rows with null ids come before all others; rows with
     equal ids are told apart by their place in the table, so a repeated row is a later copy. An empty table gives no
@@ -145,7 +133,7 @@ def drop_repeated_passages(
     costs one item for each run and window, not for each occurrence.
     """
     block = (window + 1) // 2  # the longest of which every window holds an aligned one
-    runs = Runs(texts(docs, doc_id, text), "passages")
+    runs = Runs(texts(docs, doc_id, text, carry), "passages")
     shares = runs.shares
 
     def ask_blocks(rows, _):
@@ -183,7 +171,7 @@ def drop_repeated_passages(
             ),
         )
         kept = []
-        for at, part in _parts(rows.column("text")):
+        for at, part in parts_of(rows.column("text")):
             a, b = run.first[at], run.first[at + len(part)]
             kept.append(as_binary(*join_kept(words_of(part), ~removed[a:b])))
         counts = np.concatenate([[0], np.cumsum(removed)])
@@ -194,18 +182,21 @@ def drop_repeated_passages(
                 pa.array(np.diff(counts[run.first]), pa.int64()),
                 spans,
                 pa.chunked_array(kept, pa.large_binary()).cast(pa.binary()),
-                rows.column("text"),
+                rows.column("run"),
                 rows.column("row"),
             ],
-            names=["doc_id", "n_words", "n_removed", "spans", "kept", "whole", "row"],
+            names=["doc_id", "n_words", "n_removed", "spans", "kept", "run", "row"],
         )
 
-    return runs.each(
+    result = runs.each(
         drop,
         "doc_id long, n_words long, n_removed long, spans array<struct<start:long,length:long>>, kept binary, "
-        "whole string, row long",
+        "run long, row long",
         live.unionByName(first),
     )
+    if carry is None:
+        return result.drop("run")
+    return result.join(runs.stored.select("run", "row", "text", "rest"), ["run", "row"]).drop("run")
 
 
 @query()

@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.registry import query, table, texts
 from corpusloom.llm.runs import Runs, cut_by_share, judged, kept_answers, pack_hashes, shares_of, unpack_hashes
-from corpusloom.llm.substrings import _parts
-from corpusloom.llm.words import as_binary, buffer_of, mix, powers, prefix_sums
+from corpusloom.llm.words import as_binary, buffer_of, mix, parts_of, powers, prefix_sums
 
 SEEDS, SUFFIXES = 1, 2
 #: Lowest bits of a seed's hash that are not sent; a chance hit only sorts a suffix in vain.
@@ -73,7 +72,7 @@ class _Run:
     def __init__(self, rows: pa.Table, length: int, seed: int, shares: int):
         self.length, self.seed, self.shares = length, seed, shares
         self.parts, hashes = [], []
-        for at, part in _parts(rows.column("text")):
+        for at, part in parts_of(rows.column("text")):
             data, offsets = buffer_of(part)
             places, values = elected(data, offsets, length, seed)
             self.parts.append((at, data, offsets, places))

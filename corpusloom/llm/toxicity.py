@@ -255,6 +255,23 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     return texts(docs, doc_id, text).mapInArrow(run, "doc_id long, score double")
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores below ``threshold``."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        shares, weights = _shares(model.features), model.weights.tolist()
+        least = np.log(threshold / (1 - threshold))
+        for batch in batches:
+            sums = [
+                model.constant + sum(weights[k] * v for k, v in shares(t or "").items())
+                for t in batch.column(text).to_pylist()
+            ]
+            yield batch.filter(pa.array([s < least for s in sums], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2
 

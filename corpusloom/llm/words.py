@@ -74,6 +74,22 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+#: Bytes of text that numpy works on at a time; its arrays take some dozens of times as much.
+PART_BYTES = 1 << 20
+
+
+def parts_of(column: pa.Array):
+    """(place of the first, texts): the texts in parts of about PART_BYTES."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = np.diff(buffer_of(column)[1]).cumsum()
+    at = 0
+    while at < len(column):
+        upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART_BYTES, "right")))
+        yield at, column.slice(at, upto - at)
+        at = upto
+
+
 def words_of(column: pa.Array) -> Words:
     data, offsets = buffer_of(column)
     inside = ~_SEPARATOR[data]
