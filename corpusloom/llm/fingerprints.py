@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.registry import query, small_batches, table, texts
-from corpusloom.llm.words import mix, run_starts, runs_of_words, words_of
+from corpusloom.llm.words import mix, parts_of, run_starts, runs_of_words, words_of
 from corpusloom.session import scratch_path
 
 #: Bytes of text that one task pairs with their neighbours at a time.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 
 
 def sketches(column: pa.Array, k: int, shingle: int) -> list[np.ndarray]:
@@ -25,6 +25,10 @@ def sketches(column: pa.Array, k: int, shingle: int) -> list[np.ndarray]:
 
     A text with fewer words has one shingle, all its words; one without words has an empty sketch.
     """
+    return [x for _, part in parts_of(column) for x in _sketches(part, k, shingle)]
+
+
+def _sketches(column: pa.Array, k: int, shingle: int) -> list[np.ndarray]:
     words = words_of(column)
     counts = np.diff(words.first)
     starts = run_starts(words.first, shingle)
