@@ -3,6 +3,7 @@
 import json
 import os
 import statistics
+import tempfile
 import time
 
 import pyspark
@@ -39,7 +40,7 @@ def main() -> None:
     spark = build_session(
         "bench",
         f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g"},
+        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.checkpoint.dir": tempfile.mkdtemp()},
     )
     spark.sparkContext.setLogLevel("ERROR")
     times = {}

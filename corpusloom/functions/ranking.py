@@ -11,10 +11,11 @@ def top_k_per_group(
 ) -> DataFrame:
     """First k rows of each group with their rank.
 
-    A group is first cut by a hash of ``spread`` and limited to k rows per cut, so the last step sees at most
-    k x SALTS rows of any group, however large the group is.
+    A group is first cut by the task its rows come from and limited to k rows per cut. So a task sends at most k rows
+    of a group, and the last step sees at most k x SALTS rows of any group, however large the group is. ``order`` must
+    settle all ties; ``spread`` names the columns that do.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
     few = salted.withColumn("_rank", F.row_number().over(inner)).filter(F.col("_rank") <= k)
     outer = Window.partitionBy(*keys).orderBy(*order)

@@ -1,8 +1,6 @@
 """File listings: pruning, trees, handlers, languages, lookups."""
 
-from functools import lru_cache
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.paths import (
@@ -20,29 +18,82 @@ NOT_FOUND = "File not found: "
 IS_DIRECTORY = "This is not a file, but a directory, pass a filepath instead: "
 UNKNOWN_LANGUAGE = "Unknown language for file extension: "
 
-# fixed values: display names used when the lexer catalogue is not installed
-COMMON_LANGUAGE_NAMES = {
+# fixed values: display names of languages by full file name and by ending
+LANGUAGE_BY_NAME = {
+    "CMakeLists.txt": "CMake",
+    "Dockerfile": "Docker",
+    "GNUmakefile": "Makefile",
+    "Gemfile": "Ruby",
+    "Jenkinsfile": "Groovy",
+    "Makefile": "Makefile",
+    "Rakefile": "Ruby",
+    "Vagrantfile": "Ruby",
+    "makefile": "Makefile",
+}
+LANGUAGE_BY_ENDING = {
+    ".bash": "Bash",
+    ".bat": "Batchfile",
     ".c": "C",
+    ".cc": "C++",
+    ".clj": "Clojure",
+    ".cmake": "CMake",
     ".cpp": "C++",
     ".cs": "C#",
     ".css": "CSS",
+    ".dart": "Dart",
+    ".diff": "Diff",
+    ".ex": "Elixir",
+    ".exs": "Elixir",
+    ".fs": "FSharp",
     ".go": "Go",
+    ".gradle": "Groovy",
+    ".graphql": "GraphQL",
+    ".groovy": "Groovy",
+    ".h": "C",
+    ".h++": "C++",
+    ".hpp": "C++",
+    ".hs": "Haskell",
+    ".htm": "HTML",
     ".html": "HTML",
+    ".ini": "INI",
     ".java": "Java",
+    ".jl": "Julia",
     ".js": "JavaScript",
     ".json": "JSON",
     ".kt": "Kotlin",
+    ".less": "LessCss",
+    ".lua": "Lua",
+    ".m": "Objective-C",
+    ".markdown": "Markdown",
     ".md": "Markdown",
+    ".mjs": "JavaScript",
+    ".ml": "OCaml",
+    ".nix": "Nix",
+    ".patch": "Diff",
     ".php": "PHP",
+    ".pl": "Perl",
+    ".proto": "Protocol Buffer",
+    ".ps1": "PowerShell",
     ".py": "Python",
+    ".pyi": "Python",
+    ".r": "S",
     ".rb": "Ruby",
     ".rs": "Rust",
+    ".rst": "reStructuredText",
+    ".sass": "Sass",
     ".scala": "Scala",
+    ".scss": "SCSS",
     ".sh": "Bash",
     ".sql": "Transact-SQL",
+    ".swift": "Swift",
+    ".tex": "TeX",
+    ".tf": "Terraform",
+    ".toml": "TOML",
     ".ts": "TypeScript",
     ".tsx": "TypeScript",
     ".txt": "Text only",
+    ".vue": "Vue",
+    ".xml": "XML",
     ".yaml": "YAML",
     ".yml": "YAML",
 }
@@ -107,7 +158,7 @@ def file_checksum(content: Column) -> Column:
 
 
 def assign_handler(files: DataFrame, path: str = "path", languages=DEFAULT_LANGUAGES) -> DataFrame:
-    """B1: handler by exact suffix, with a note where there is none."""
+    """B1: handler by exact suffix, with a note where there is none. The note's wording is a fixed value."""
     p = F.col(path)
     handler = language_of(p, languages)
     note = F.concat(
@@ -116,43 +167,24 @@ def assign_handler(files: DataFrame, path: str = "path", languages=DEFAULT_LANGU
     return files.withColumn("handler", handler).withColumn("note", F.when(F.col("handler").isNull(), note))
 
 
-@lru_cache(maxsize=1)
-def language_names() -> dict[str, str]:
-    """Extension to display name, from the lexer catalogue when it is installed."""
-    try:
-        from pygments.lexers import get_all_lexers, get_lexer_for_filename
-        from pygments.util import ClassNotFound
-    except ImportError:
-        return dict(COMMON_LANGUAGE_NAMES)
-    lexers: dict[str, list[str]] = {}
-    for name, _, patterns, _ in get_all_lexers():
-        for pattern in patterns:
-            if pattern.startswith("*.") and pattern[2:].isalnum():
-                lexers.setdefault(pattern[1:], []).append(name)
-    names = {}
-    for ending, claims in sorted(lexers.items()):
-        try:
-            # only an ending that several lexers claim needs the catalogue's own choice
-            names[ending] = claims[0] if len(claims) == 1 else get_lexer_for_filename("name" + ending).name
-        except ClassNotFound:
-            continue
-    return names
-
-
-def language_table(spark: SparkSession, names: dict[str, str] | None = None) -> DataFrame:
-    rows = sorted((names or language_names()).items())
-    return spark.createDataFrame(rows, "suffix string, language_name string")
-
-
-def detect_language(files: DataFrame, table: DataFrame, path: str = "path") -> DataFrame:
-    """B2: display name of the language, or a message naming the unknown extension.
-
-    The table has one row per extension, a few hundred in all.
-    """
+def detect_language(
+    files: DataFrame,
+    path: str = "path",
+    by_name: dict[str, str] = LANGUAGE_BY_NAME,
+    by_ending: dict[str, str] = LANGUAGE_BY_ENDING,
+) -> DataFrame:
+    """B2: display name of the language by the full file name, else by its ending, or a message naming the unknown
+    ending. The two tables ship with the package, so the answer is the same on every machine."""
     ending = suffix(F.col(path))
-    joined = files.withColumn("suffix", ending).join(F.broadcast(table), "suffix", "left")
-    message = F.concat(F.lit(UNKNOWN_LANGUAGE), F.col("suffix"))
-    return joined.withColumn("language_name", F.coalesce("language_name", message)).drop("suffix")
+
+    def named(table: dict[str, str], key: Column) -> Column:
+        pairs = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
+        return F.try_element_at(pairs, key)
+
+    message = F.concat(F.lit(UNKNOWN_LANGUAGE), ending)
+    return files.withColumn(
+        "language_name", F.coalesce(named(by_name, base_name(F.col(path))), named(by_ending, ending), message)
+    )
 
 
 def requested_text(requests: DataFrame, texts: DataFrame, value: str) -> DataFrame:

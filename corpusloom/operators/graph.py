@@ -110,7 +110,7 @@ def fuzzy_nodes(
 
 
 def _expand_paths(
-    edges: DataFrame, starts: DataFrame, levels: int | None, direction: str, fail_at: int | None = None
+    edges: DataFrame, starts: DataFrame, levels: int | None, direction: str
 ) -> DataFrame:
     """(root, path, node, depth, direction, is_cycle): every walk from a root until a node repeats on it.
 
@@ -122,8 +122,7 @@ def _expand_paths(
     )
     out = None
     depth = 0
-    limit = levels if levels is not None else fail_at
-    while limit is None or depth < limit:
+    while levels is None or depth < levels:
         depth += 1
         grown = cut_lineage(
             walk.join(steps, walk["node"] == steps["src"]).select(
@@ -139,8 +138,6 @@ def _expand_paths(
             return out if out is not None else grown
         out = grown if out is None else out.unionByName(grown)
         walk = grown.filter(~F.col("is_cycle")).select("root", "path", "node")
-    if levels is None and not walk.join(steps, walk["node"] == steps["src"]).isEmpty():
-        raise ValueError(f"hierarchy is deeper than max_depth={fail_at}")
     if out is None:
         out = walk.limit(0).select(
             "root",
@@ -180,9 +177,9 @@ def drop_node(nodes: DataFrame, edges: DataFrame, name: str) -> tuple[DataFrame,
     return nodes.filter(F.col("name") != name), kept
 
 
-def hierarchy_from_roots(nodes: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """Full expansion from every root; raises when the walks are longer than ``max_depth``."""
-    return _expand_paths(edges, roots(nodes, edges), None, "children", fail_at=max_depth)
+def hierarchy_from_roots(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Full expansion from every root, to ``max_depth`` levels if one is given. Walks end at a repeated node."""
+    return _expand_paths(edges, roots(nodes, edges), max_depth, "children")
 
 
 def quotient_nodes(nodes: DataFrame, attribute: str) -> DataFrame:

@@ -5,13 +5,6 @@ from pyspark.sql import functions as F
 
 # fixed values: file states and skip reasons
 NEW, CHANGED, UNMODIFIED, DELETED = "new", "changed", "unmodified", "deleted"
-REASONS = {
-    "unmodified": "Skipping -- file unmodified",
-    "no_parser": "Skipping -- no file parser",
-    "error": "Skipping -- error extracting code",
-    "no_blocks": "Skipping -- no functions or classes found",
-    "extracted": "Extracted blocks",
-}
 
 
 def index_keys(index: DataFrame, keys=("filepath",)) -> DataFrame:

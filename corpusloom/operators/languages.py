@@ -37,7 +37,8 @@ PYTHON = LanguageSpec(
     name="python",
     suffixes=(".py",),
     layout="indent",
-    tokens=r'("""[\s\S]*?(?<!\\)"""|' + r"'''[\s\S]*?(?<!\\)'''"
+    tokens=r'("""[^"\\]*+(?:(?:\\[\s\S]|"(?!""))[^"\\]*+)*+"""'
+    r"|'''[^'\\]*+(?:(?:\\[\s\S]|'(?!''))[^'\\]*+)*+'''"
     r'|"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"' + r"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
     r"""|#[^\n]*+|[^"'#]++|["'])""",
     string_lead=r"""^["'][\s\S]""",
@@ -53,8 +54,9 @@ PHP = LanguageSpec(
     name="php",
     suffixes=(".php",),
     layout="braces",
-    tokens="(" + _C_STRINGS + r"""|/\*[\s\S]*?\*/|//[^\n]*+|#[^\n]*+|[^"'#/]++|["'#/])""",
-    string_lead=r"""^["'][\s\S]""",
+    tokens="(" + _C_STRINGS + r"""|<<<[ \t]*+["']?(\w++)["']?[ \t\r]*+\n(?:[\s\S]*?\n)??[ \t]*+\2\b"""
+    r"""|/\*[\s\S]*?\*/|//[^\n]*+|#[^\n]*+|[^"'#/<]++|["'#/<])""",
+    string_lead=r"""^(?:["'][\s\S]|<<<)""",
     comment_lead=r"^(?:#|//|/\*)",
     header=r"(?<![\w$:>\\])(?:(?:public|protected|private|static|final|abstract|readonly)\s+)*+"
     r"(?:function\s+&?\s*[^\s(&]+@CALL@|(?:class|interface|trait|enum)\s+(?!extends\b|implements\b)\w+)",
@@ -71,8 +73,14 @@ TYPESCRIPT = LanguageSpec(
     suffixes=(".ts", ".tsx"),
     layout="braces",
     tokens=r'("[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"' + r"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
-    r"""|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`|/\*[\s\S]*?\*/|//[^\n]*+|[^"'`/]++|["'`/])""",
-    string_lead=r"""^["'`][\s\S]""",
+    # a template with templates in its slots, or a plain one
+    r"|`[^`\\$]*+(?:(?:\\[\s\S]|\$(?!\{)|\$\{(?:[^`{}]++|`[^`]*+`|\{[^{}]*+\})*+\})[^`\\$]*+)*+`"
+    r"|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`|/\*[\s\S]*?\*/|//[^\n]*+"
+    # a regular expression: a slash where a value may begin
+    r"|(?<=(?:[(,=:\[!&|?{;+\-*%~^\n]|\breturn|\btypeof|\bcase)[ \t]{0,20})"
+    r"/(?![*/])(?:[^/\\\n\[]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[a-z]*+"
+    r"""|[^"'`/]++|["'`/])""",
+    string_lead=r"""^(?:["'`][\s\S]|/[^/*])""",
     comment_lead=r"^(?://|/\*)",
     header=r"(?<![\w$.])(?<![=(,:?&|]\s{0,20})(?<!\b(?:return|async)\s{1,20})"
     r"(?:(?:async\s+)?function\s+[\w$]+@CALL@|(?:abstract\s+)?class\s+(?!extends\b|implements\b)[\w$]+)",

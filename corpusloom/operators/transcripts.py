@@ -8,17 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.folds import collecting_fold
 from corpusloom.functions.ranking import running_sum
-from corpusloom.functions.rows import explode_once
 from corpusloom.functions.text import strip_space
 from corpusloom.session import cut_lineage
 
 MEMORY_TOKENS = 4000  # fixed value: budget that triggers a compression
 AGENT_STEPS = 10  # fixed value: steps an agent may take
 ATTEMPTS, WAIT_MIN, WAIT_MAX = 6, 0.2, 60.0  # fixed values: retries of a model call
-PART_PIECES = 1_000_000
-LONG_CONVERSATION = 4096  # turns above which a conversation is scanned by the distributed path
 
 
 # --- memory epochs (H1) ---------------------------------------------------------------------------------------
@@ -32,137 +28,87 @@ def memory_epochs(
     cost: str = "cost",
     key: str = "conv_id",
     turn: str = "turn",
-    long_from: int = LONG_CONVERSATION,
 ) -> DataFrame:
     """H1: (key, turn, total, epoch, compressed) per added message.
 
     ``total`` is the memory size when the message has been added. A message that brings it to the threshold
-    compresses the memory to ``base_tokens + summary_tokens``. Costs are positive integers, turns unique
-    integers within a conversation.
+    compresses the memory to ``base_tokens + summary_tokens``. Costs are integers of 0 or more, a NULL cost is 0;
+    turns are unique integers within a conversation.
 
-    Conversations up to ``long_from`` turns are scanned in one row each; longer ones are never gathered, their
-    compression points come from a chain of next-point pointers instead.
-    """
-    costs = messages.select(key, turn, F.col(cost).cast("long").alias("_cost"))
-    sizes = costs.groupBy(key).agg(F.count("*").alias("_n"))
-    long_keys = sizes.filter(F.col("_n") > long_from).select(key)
-    short = costs.join(long_keys, key, "left_anti")
-    out = _scan_epochs(short, threshold, base_tokens, summary_tokens, key, turn)
-    if long_keys.isEmpty():
-        return out
-    long_rows = costs.join(long_keys, key, "left_semi")
-    return out.unionByName(_chain_epochs(long_rows, threshold, base_tokens, summary_tokens, key, turn))
-
-
-def _scan_epochs(costs: DataFrame, threshold: int, base: int, summary: int, key: str, turn: str) -> DataFrame:
-    rows = costs.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), F.col("_cost").alias("cost")))).alias("m")
-    )
-    zero = {"total": F.lit(base).cast("long"), "epoch": F.lit(0)}
-    kind = "array<struct<turn:bigint,total:bigint,epoch:int,compressed:boolean>>"
-
-    def step(acc: Column, m: Column) -> Column:
-        total = acc["total"] + m["cost"]
-        full = total >= threshold
-        return F.struct(
-            F.when(full, F.lit(base + summary).cast("long")).otherwise(total).alias("total"),
-            (acc["epoch"] + full.cast("int")).alias("epoch"),
-            F.concat(
-                acc["done"],
-                F.array(
-                    F.struct(
-                        m["turn"].cast("long").alias("turn"),
-                        total.alias("total"),
-                        acc["epoch"].alias("epoch"),
-                        full.alias("compressed"),
-                    )
-                ),
-            ).alias("done"),
-        )
-
-    scanned = explode_once(rows, [key], collecting_fold(F.col("m"), zero, kind, step, lambda _, done: done), "_at", "r")
-    return scanned.select(key, F.col("r.turn").alias(turn), "r.total", "r.epoch", "r.compressed")
-
-
-def _chain_epochs(costs: DataFrame, threshold: int, base: int, summary: int, key: str, turn: str) -> DataFrame:
-    """Epochs without gathering a conversation.
-
-    Running totals are strictly increasing, so the compression after one at turn i is the first turn whose total
-    reaches ``total(i) + threshold - base - summary``. These pointers are found per bucket of totals; following
-    them from the first compression, with pointers of doubled length each round, marks all compressions in
-    logarithmically many joins.
+    No conversation is gathered. Running totals never fall, so the compression after one at turn i is the first
+    turn whose total reaches ``total(i) + threshold - base - summary``. These pointers are found per bucket of
+    totals; following them from the first compression, with pointers of doubled length each round, marks all
+    compressions in logarithmically many joins.
     """
+    costs = messages.select(key, turn, F.coalesce(F.col(cost).cast("long"), F.lit(0)).alias("_cost"))
     points = cut_lineage(
-        running_sum(costs, key, turn, "_cost", "_sum").select(key, F.col(turn).alias("_turn"), "_sum")
+        running_sum(costs, key, turn, "_cost", "_sum").select(key, F.col(turn).cast("long").alias("_turn"), "_sum")
     )
-    reach = max(threshold - base - summary, 1)
-    width = max(threshold, 1)
-    wanted = points.select(key, F.col("_turn").alias("_from"), (F.col("_sum") + reach).alias("_at"))
-    first = points.select(key).distinct().select(
-        key, F.lit(None).cast("long").alias("_from"), F.lit(threshold - base).cast("long").alias("_at")
-    )
-    asks = wanted.unionByName(first).select(
-        key, "_from", "_at", F.lit(None).cast("long").alias("_turn"), F.lit(0).alias("_kind")
-    )
-    marks = points.select(
-        key, F.lit(None).cast("long").alias("_from"), F.col("_sum").alias("_at"), F.col("_turn").cast("long"), F.lit(1).alias("_kind")
-    )
-    both = asks.unionByName(marks).withColumn("_bucket", F.floor(F.col("_at") / width))
-    ahead = (
-        Window.partitionBy(key, "_bucket").orderBy("_at", "_kind").rowsBetween(0, Window.unboundedFollowing)
+    reach = threshold - base_tokens - summary_tokens
+    found = _compressions(points, key, threshold - base_tokens, reach, max(threshold, 1))
+    flagged = points.join(found.withColumn("_hit", F.lit(1)), [key, "_turn"], "left").withColumn(
+        "_hit", F.coalesce("_hit", F.lit(0))
     )
-    inside = both.withColumn("_next", F.min("_turn").over(ahead)).filter(F.col("_kind") == 0)
-    firsts = both.groupBy(key, "_bucket").agg(F.min("_turn").alias("_first"))
-    later = Window.partitionBy(key).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
-    fallback = firsts.select(key, "_bucket", F.min("_first").over(later).alias("_later"))
-    pointers = cut_lineage(
-        inside.join(fallback, [key, "_bucket"])
-        .select(key, "_from", F.coalesce("_next", "_later").alias("_to"))
-        .filter(F.col("_to").isNotNull())
-    )
-    found = pointers.filter(F.col("_from").isNull()).select(key, F.col("_to").alias("_at"))
-    jumps = pointers.filter(F.col("_from").isNotNull())
-    while True:
-        ahead_of = found.join(jumps, (found[key] == jumps[key]) & (found["_at"] == jumps["_from"])).select(
-            found[key], F.col("_to").alias("_at")
-        )
-        fresh = cut_lineage(ahead_of)
-        if fresh.isEmpty():
-            break
-        found = cut_lineage(found.unionByName(fresh))
-        left, right = jumps.alias("l"), jumps.alias("r")
-        jumps = cut_lineage(
-            left.join(
-                right, (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l._to") == F.col("r._from"))
-            ).select(F.col(f"l.{key}"), F.col("l._from"), F.col("r._to"))
-        )
-    flagged = points.join(
-        found.distinct().select(key, F.col("_at").alias("_turn"), F.lit(1).alias("_hit")), [key, "_turn"], "left"
-    ).withColumn("_hit", F.coalesce("_hit", F.lit(0)))
     counted = running_sum(flagged, key, "_turn", "_hit", "_count")
     starts = counted.filter(F.col("_hit") == 1).select(
         key, F.col("_count").alias("_epoch"), F.col("_sum").alias("_start")
     )
     placed = counted.withColumn("_epoch", F.col("_count") - F.col("_hit")).join(starts, [key, "_epoch"], "left")
-    total = F.when(F.col("_start").isNull(), F.col("_sum") + base).otherwise(
-        F.col("_sum") - F.col("_start") + base + summary
+    total = F.when(F.col("_start").isNull(), F.col("_sum") + base_tokens).otherwise(
+        F.col("_sum") - F.col("_start") + base_tokens + summary_tokens
     )
     return placed.select(
         key,
-        F.col("_turn").cast("long").alias(turn),
+        F.col("_turn").alias(turn),
         total.cast("long").alias("total"),
         F.col("_epoch").cast("int").alias("epoch"),
         (F.col("_hit") == 1).alias("compressed"),
     )
 
 
+def _compressions(points: DataFrame, key: str, first_at: int, reach: int, width: int) -> DataFrame:
+    """(key, _turn) of the compressing turns of the running totals ``points`` (key, _turn, _sum)."""
+    first = points.filter(F.col("_sum") >= first_at).groupBy(key).agg(F.min("_turn").alias("_first"))
+    if reach <= 0:
+        # A compressed memory is at the threshold already, so every message after the first compression compresses.
+        return points.join(first, key).filter(F.col("_turn") >= F.col("_first")).select(key, "_turn")
+    nothing = F.lit(None).cast("long")
+    asks = points.select(
+        key, F.col("_turn").alias("_from"), (F.col("_sum") + reach).alias("_at"), nothing.alias("_turn"), F.lit(0).alias("_kind")
+    )
+    marks = points.select(key, nothing.alias("_from"), F.col("_sum").alias("_at"), "_turn", F.lit(1).alias("_kind"))
+    both = asks.unionByName(marks).withColumn("_bucket", F.floor(F.col("_at") / width))
+    ahead = (
+        Window.partitionBy(key, "_bucket").orderBy("_at", "_kind").rowsBetween(0, Window.unboundedFollowing)
+    )
+    inside = both.withColumn("_next", F.min("_turn").over(ahead)).filter(F.col("_kind") == 0)
+    firsts = both.groupBy(key, "_bucket").agg(F.min("_turn").alias("_first"))
+    later = Window.partitionBy(key).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
+    fallback = firsts.select(key, "_bucket", F.min("_first").over(later).alias("_later"))
+    jumps = inside.join(fallback, [key, "_bucket"]).select(key, "_from", F.coalesce("_next", "_later").alias("_to"))
+    state = cut_lineage(
+        jumps.filter(F.col("_to").isNotNull()).unionByName(
+            first.select(key, nothing.alias("_from"), F.col("_first").alias("_to"))
+        )
+    )
+    while True:
+        # Rows without _from are compressions found so far; each round follows all pointers and doubles them.
+        pointers = state.filter(F.col("_from").isNotNull())
+        further = pointers.select(key, F.col("_from").alias("_to"), F.col("_to").alias("_next"))
+        moved = cut_lineage(state.join(further, [key, "_to"]).select(key, "_from", F.col("_next").alias("_to")))
+        known = state.filter(F.col("_from").isNull())
+        if moved.filter(F.col("_from").isNull()).isEmpty():
+            return known.select(key, F.col("_to").alias("_turn")).distinct()
+        state = known.unionByName(moved)
+
+
 # --- transcripts (H2, H3, H7, H11) ----------------------------------------------------------------------------
 
 
 def transcript_line(
     role: Column, content: Column, name: Column, call_name: Column, call_arguments: Column
 ) -> Column:
-    """One message as a line: a call, a result of a call, or a plain message."""
+    """One message as a line: a call, a result of a call, or a plain message. The forms are fixed values."""
     return (
         F.when(
             call_name.isNotNull(),
@@ -176,19 +122,36 @@ def transcript_line(
     )
 
 
-def format_transcript(
-    messages: DataFrame, line: Column, key: str = "conv_id", turn: str = "turn", part_turns: int = LONG_CONVERSATION
-) -> DataFrame:
-    """H2: lines of a conversation joined by newline as (key, part, transcript).
+def format_transcript(messages: DataFrame, line: Column, key: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """H2: the lines of each conversation in order of turn, joined by newline, as (key, transcript).
 
-    A part covers ``part_turns`` turns, so no row grows without bound; a conversation shorter than that is one
-    part, and parts joined by newline in order give the whole.
+    One row for a conversation, whatever its turns are; turns are unique. The text itself is the result, so a row
+    is as large as its conversation.
     """
-    cut = messages.select(key, F.floor(F.col(turn) / part_turns).cast("long").alias("part"), F.col(turn), line.alias("_line"))
-    return cut.groupBy(key, "part").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct(turn, "_line"))), lambda r: r["_line"]), "\n"
-        ).alias("transcript")
+    lines = messages.select(key, F.struct(F.col(turn), line.alias("_line")).alias("_at"))
+    ordered = F.array_sort(F.collect_list("_at"))
+    return lines.groupBy(key).agg(F.array_join(F.transform(ordered, lambda r: r["_line"]), "\n").alias("transcript"))
+
+
+def epoch_transcripts(
+    messages: DataFrame,
+    line: Column,
+    threshold: int = MEMORY_TOKENS,
+    base_tokens: int = 0,
+    summary_tokens: int = 0,
+    cost: str = "cost",
+    key: str = "conv_id",
+    turn: str = "turn",
+) -> DataFrame:
+    """H1 with H2: (key, epoch, transcript) of what each compression summarizes: the lines of all messages of the
+    epoch, the compressing one included. An epoch that no message completes gives no row."""
+    epochs = memory_epochs(messages, threshold, base_tokens, summary_tokens, cost, key, turn)
+    done = epochs.filter("compressed").select(key, "epoch")
+    lines = messages.select(key, F.col(turn).cast("long").alias(turn), line.alias("_line"))
+    placed = lines.join(epochs.select(key, turn, "epoch"), [key, turn]).join(done, [key, "epoch"], "left_semi")
+    ordered = F.array_sort(F.collect_list(F.struct(turn, "_line")))
+    return placed.groupBy(key, "epoch").agg(
+        F.array_join(F.transform(ordered, lambda r: r["_line"]), "\n").alias("transcript")
     )
 
 
@@ -233,25 +196,12 @@ def termination(
 
 
 def assemble_deltas(
-    pieces: DataFrame,
-    key: str = "response_id",
-    seq: str = "seq",
-    delta: str = "delta",
-    part_pieces: int = PART_PIECES,
+    pieces: DataFrame, key: str = "response_id", seq: str = "seq", delta: str = "delta"
 ) -> DataFrame:
-    """Non-empty pieces of each response joined in order of ``seq``, as (key, part, text).
-
-    A part covers ``part_pieces`` sequence numbers, far more than a reply has; parts in order give the whole of
-    any longer stream, and no row grows without bound.
-    """
-    filled = pieces.filter(F.col(delta).isNotNull() & (F.col(delta) != "")).withColumn(
-        "part", F.floor(F.col(seq) / part_pieces).cast("long")
-    )
-    return filled.groupBy(key, "part").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct(seq, delta))), lambda r: r[delta]), ""
-        ).alias("text")
-    )
+    """Non-empty pieces of each response joined in order of ``seq``, as (key, text), one row for a response."""
+    filled = pieces.filter(F.col(delta).isNotNull() & (F.col(delta) != ""))
+    ordered = F.array_sort(F.collect_list(F.struct(seq, delta)))
+    return filled.groupBy(key).agg(F.array_join(F.transform(ordered, lambda r: r[delta]), "").alias("text"))
 
 
 # --- replies (H4, H5, H6, H8, H9) -----------------------------------------------------------------------------
@@ -318,15 +268,19 @@ def needs_elaboration(plan: Column, wanted: int = 7) -> Column:
 
 # %s slots are filled from the columns in PROMPT_COLUMNS, in order
 PROMPTS = {
-    "explain": "Explain what this %s function does.\n\n```%s\n%s\n```",
-    "refactor": "Refactor this %s function.%s\n\n```%s\n%s\n```",
-    "question": "Answer the question from the code. Say \"I don't know.\" if the code does not tell.\n```\n%s\n```\nQuestion: %s",
-    "code_question": "Answer the question from the code. Say \"I don't know.\" if the code does not tell.\n```\n%s\n```\nQuestion: %s\nReply in markdown.",
-    "explain_in_depth": "Explain this %s function element by element and why each is there, as a bulleted list.\n\n```%s\n%s\n```",
-    "scenario_plan": "List the scenarios a `%s` suite for the function above should cover, with examples as sub-bullets.",
-    "unit_tests": "Write a `%s` suite in %s for the scenarios above. Reply only with code.\n\n```%s\n# function to test\n%s\n```",
-    "validate_answer": "Check this answer.\nQ:%s\nA:%s\nReply with:\nANSWER:<True or False or Unsure>\nEXPLANATION: <why>",
-    "retry_answer": "%s\nThe last answer was wrong:\n%s\nbecause:\n%s\nReply with:\nANSWER:<answer>",
+    "explain": "In plain words, what is this %s function for and how does it work?\n\n```%s\n%s\n```",
+    "refactor": "Improve the structure of the %s function below without changing its results.%s\n\n```%s\n%s\n```",
+    "question": "Using nothing but this code, answer the question; if the code leaves it open, say so.\n```\n%s\n```\nQuestion: %s",
+    "code_question": "Using nothing but this code, answer the question; if the code leaves it open, say so.\n```\n%s\n```\nQuestion: %s\nFormat: markdown.",
+    "explain_in_depth": "Go through this %s function part by part; one bullet for each part and its reason.\n\n```%s\n%s\n```",
+    "scenario_plan": "Which cases should a `%s` suite for this function cover? One bullet a case, examples below it.",
+    "elaborate": "The plan is short. Add at least one unusual case for the `%s` suite in the same bullet form.",
+    "unit_tests": "Turn these cases into a `%s` suite in %s; code only.\n\n```%s\n# under test\n%s\n```",
+    "summarize": "Condense this conversation so that the task can go on from the summary alone.\n%s",
+    "validate_answer": "Does the reply settle the question?\nQuestion: %s\nReply: %s\nUse the two lines\nANSWER: True, False or Unsure\nEXPLANATION: your reason",
+    "retry_answer": "%s\nAn earlier reply did not hold:\n%s\nReason:\n%s\nGive a new one after the word ANSWER:",
+    "system_explain": "You teach %s to people who read code for the first time.",
+    "system_refactor": "You review %s code and suggest small, safe changes.",
 }
 PROMPT_COLUMNS = {
     "explain": ("language", "language", "code"),
@@ -335,9 +289,13 @@ PROMPT_COLUMNS = {
     "code_question": ("code", "question"),
     "explain_in_depth": ("language", "language", "code"),
     "scenario_plan": ("package",),
+    "elaborate": ("package",),
     "unit_tests": ("package", "language", "language", "code"),
+    "summarize": ("transcript",),
     "validate_answer": ("question", "answer"),
     "retry_answer": ("question", "answer", "explanation"),
+    "system_explain": ("language",),
+    "system_refactor": ("language",),
 }
 
 
@@ -347,7 +305,7 @@ def render_prompt(kind: str, templates: dict[str, str] = PROMPTS) -> Column:
     for column in PROMPT_COLUMNS[kind]:
         value = F.coalesce(F.col(column), F.lit(""))
         if column == "instructions":
-            value = F.when(value != "", F.concat(F.lit(" Additional instructions: "), value)).otherwise(F.lit(""))
+            value = F.when(value != "", F.concat(F.lit(" Wishes: "), value)).otherwise(F.lit(""))
         values.append(value)
     return F.format_string(templates[kind], *values)
 

@@ -35,10 +35,15 @@ def unescape(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.array_join(decoded, "")).otherwise(text)
 
 
+def _visible(html: Column) -> Column:
+    """Markup without comments, scripts and styles."""
+    return F.regexp_replace(F.regexp_replace(html, r"<!--[\s\S]*?-->", ""), r"(?i)<(script|style)\b[\s\S]*?</\1\s*>", "")
+
+
 def hyperlinks(html: Column) -> Column:
-    """Array of the href of every anchor."""
+    """Array of the href of every anchor outside comments, scripts and styles."""
     found = F.regexp_extract_all(
-        html, F.lit(r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""), F.lit(1)
+        _visible(html), F.lit(r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""), F.lit(1)
     )
     return F.transform(found, lambda h: unescape(F.regexp_replace(h, r"""^["']|["']$""", "")))
 
@@ -87,9 +92,7 @@ def reachable_pages(links: DataFrame, starts: DataFrame) -> DataFrame:
 
 def html_to_text(html: Column) -> Column:
     """Text without comments, scripts, styles and tags, character references resolved."""
-    text = F.regexp_replace(html, r"<!--[\s\S]*?-->", "")
-    text = F.regexp_replace(text, r"(?i)<(script|style)\b[\s\S]*?</\1\s*>", "")
-    return bind(F.regexp_replace(text, r"<[^>]*>", ""), unescape)
+    return bind(F.regexp_replace(_visible(html), r"<[^>]*>", ""), unescape)
 
 
 def needs_javascript(text: Column) -> Column:

@@ -137,7 +137,7 @@ _OUTLINE = """, asked as (select path as filepath from code_files union select '
 
 @query(with_views(_OUTLINE, "code_files"))
 def summarize_files(spark, sf_dir):
-    files = repo_files(spark, sf_dir).withColumn("content", F.when(~F.col("filepath").endswith(".md"), F.col("content")).otherwise(""))
+    files = repo_files(spark, sf_dir)
     asked = files.select("filepath").union(
         table(spark, sf_dir, "part").select(F.concat(F.lit("missing/"), "p_name"))
     )
@@ -146,13 +146,13 @@ def summarize_files(spark, sf_dir):
 
 @query(
     with_views(
-        "select path as filepath, variant, variant = 'whole' as balanced from code_files, "
-        "(select unnest(['whole', 'bracket', 'quote']) as variant) v where path not like '%.md'",
+        "select path as filepath, variant, case when path not like '%.md' then variant = 'whole' end as balanced "
+        "from code_files, (select unnest(['whole', 'bracket', 'quote']) as variant) v",
         "code_files",
     )
 )
 def is_balanced(spark, sf_dir):
-    files = code_files(spark, sf_dir).filter(~F.col("path").endswith(".md"))
+    files = code_files(spark, sf_dir)
     variants = F.array(
         F.struct(F.lit("whole").alias("variant"), F.col("content").alias("text")),
         F.struct(F.lit("bracket").alias("variant"), F.concat("content", F.lit("(")).alias("text")),

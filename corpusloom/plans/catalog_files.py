@@ -208,7 +208,9 @@ def assign_handler(spark, sf_dir):
     """select p_partkey, p_name || '.' || lower(p_type) as name,
     'Unknown language for file extension: .' || lower(p_type) as language_name from part
     union all select p_partkey, 'a/' || p_name || case p_partkey % 3 when 0 then '.py' when 1 then '.ts' else '.sql' end,
-    case p_partkey % 3 when 0 then 'Python' when 1 then 'TypeScript' else 'Transact-SQL' end from part"""
+    case p_partkey % 3 when 0 then 'Python' when 1 then 'TypeScript' else 'Transact-SQL' end from part
+    union all select p_partkey, p_name || '/' || case p_partkey % 3 when 0 then 'Dockerfile' when 1 then 'Makefile' else 'x.h++' end,
+    case p_partkey % 3 when 0 then 'Docker' when 1 then 'Makefile' else 'C++' end from part"""
 )
 def detect_language(spark, sf_dir):
     part = table(spark, sf_dir, "part")
@@ -217,8 +219,13 @@ def detect_language(spark, sf_dir):
             "p_partkey",
             "'a/' || p_name || case p_partkey % 3 when 0 then '.py' when 1 then '.ts' else '.sql' end as name",
         )
+    ).union(
+        part.selectExpr(
+            "p_partkey",
+            "p_name || '/' || case p_partkey % 3 when 0 then 'Dockerfile' when 1 then 'Makefile' else 'x.h++' end as name",
+        )
     )
-    return ops.detect_language(names, ops.language_table(spark), "name").select("p_partkey", "name", "language_name")
+    return ops.detect_language(names, "name").select("p_partkey", "name", "language_name")
 
 
 _STATUS = """, known as (select filepath, max(file_checksum) as stored from code_index_prev group by 1),

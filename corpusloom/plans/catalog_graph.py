@@ -69,11 +69,11 @@ def fuzzy_nodes(spark, sf_dir):
     return ops.fuzzy_nodes(graph_nodes(spark, sf_dir), "ECONOMIC", ("file_name", "class_name"))
 
 
-def _walks(a: str, b: str, direction: str, levels: int, start: str) -> str:
+def _walks(a: str, b: str, direction: str, levels: int | None, start: str) -> str:
     return f"""select name as root, [name, e.{b}] as path, e.{b} as node, 1 as depth, '{direction}' as direction,
         e.{b} = name as is_cycle from ({start}) s join graph_edges e on e.{a} = s.name
         union all select w.root, list_append(w.path, e.{b}), e.{b}, w.depth + 1, w.direction, list_contains(w.path, e.{b})
-        from {{w}} w join graph_edges e on e.{a} = w.node where w.depth < {levels} and not w.is_cycle"""
+        from {{w}} w join graph_edges e on e.{a} = w.node where {f"w.depth < {levels} and" if levels else ""} not w.is_cycle"""
 
 
 _WALK_COLUMNS = "root, array_to_string(path, '>') as path, node, depth, direction, is_cycle"
@@ -103,7 +103,7 @@ def node_hierarchy(spark, sf_dir):
     with_views(
         ", d as ("
         + _walks(
-            "src", "dst", "children", 64, "select name from graph_nodes where name not in (select dst from graph_edges)"
+            "src", "dst", "children", None, "select name from graph_nodes where name not in (select dst from graph_edges)"
         ).format(w="d")
         + f") select {_WALK_COLUMNS} from d",
         "graph_nodes",
@@ -112,7 +112,7 @@ def node_hierarchy(spark, sf_dir):
     )
 )
 def hierarchy_from_roots(spark, sf_dir):
-    return _flat(ops.hierarchy_from_roots(graph_nodes(spark, sf_dir), graph_edges(spark, sf_dir), 64))
+    return _flat(ops.hierarchy_from_roots(graph_nodes(spark, sf_dir), graph_edges(spark, sf_dir)))
 
 
 @query(

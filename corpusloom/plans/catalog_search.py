@@ -16,7 +16,7 @@ _COUNT = f"len(regexp_extract_all(text, '{TOKEN_RE}'))"
 
 @query(f"select doc_id, {_COUNT}::int as n_tokens from documents")
 def n_tokens(spark, sf_dir):
-    return tok.n_tokens(table(spark, sf_dir, "documents", spread=True)).select("doc_id", "n_tokens")
+    return tok.n_tokens(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
 
 
 CHUNK = 256
@@ -29,7 +29,7 @@ CHUNK = 256
     len(toks[i + 1 : i + {CHUNK}])::int as n_tokens from c"""
 )
 def token_chunks(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tok.token_chunks(docs, CHUNK).withColumn("tokens", F.array_join("tokens", " "))
 
 
@@ -54,7 +54,7 @@ def combine_chunk_embeddings(spark, sf_dir):
     select doc_id, dim, round((n / len)::float::double, 4) as value from b join s using (doc_id)"""
 )
 def embed_documents(spark, sf_dir):
-    docs = vec.embed(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"), "text", out="embedding", once_per_text=True)
+    docs = vec.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", out="embedding", once_per_text=True)
     return (
         explode_once(docs, ["doc_id"], F.col("embedding"), "dim", "x")
         .filter(F.col("x") != 0)
@@ -77,7 +77,7 @@ def chat_tokens(spark, sf_dir):
     max(t.n)::int as high from t, l group by 1"""
 )
 def token_histogram(spark, sf_dir):
-    return tok.token_histogram(tok.n_tokens(table(spark, sf_dir, "documents", spread=True)))
+    return tok.token_histogram(tok.n_tokens(table(spark, sf_dir, "documents")))
 
 
 def _first_vector(spark, sf_dir):
@@ -217,7 +217,7 @@ def qa_context(spark, sf_dir):
 
 def ranked_documents(spark, sf_dir):
     """Documents ranked per source by a distance that stands in for a query's."""
-    docs = tok.n_tokens(table(spark, sf_dir, "documents", spread=True))
+    docs = tok.n_tokens(table(spark, sf_dir, "documents"))
     distance = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 6), 16, 10).cast("long")
     return docs.select(F.col("source").alias("query_id"), "doc_id", "text", "n_tokens", distance.alias("distances"))
 

@@ -16,18 +16,25 @@ from corpusloom.streaming.refresh import stream_refresh_index as stream_refresh
 
 THRESHOLD, BASE, SUMMARY = 500, 20, 50
 
-_EPOCHS = f"""with recursive m as (select conv_id, turn, {MESSAGE_COST} as cost,
+SMALL = 60
+
+
+def _epochs(threshold: int, summary: int) -> str:
+    return f"""with recursive m as (select conv_id, turn, {MESSAGE_COST} as cost,
       row_number() over (partition by conv_id order by turn) as rn from conversations),
     s(conv_id, turn, rn, total, epoch, compressed) as (
-      select conv_id, turn, rn, {BASE} + cost, 0, {BASE} + cost >= {THRESHOLD} from m where rn = 1
+      select conv_id, turn, rn, {BASE} + cost, 0, {BASE} + cost >= {threshold} from m where rn = 1
       union all
-      select m.conv_id, m.turn, m.rn, (case when s.compressed then {BASE + SUMMARY} else s.total end) + m.cost,
+      select m.conv_id, m.turn, m.rn, (case when s.compressed then {BASE + summary} else s.total end) + m.cost,
         s.epoch + s.compressed::int,
-        (case when s.compressed then {BASE + SUMMARY} else s.total end) + m.cost >= {THRESHOLD}
+        (case when s.compressed then {BASE + summary} else s.total end) + m.cost >= {threshold}
       from s join m on m.conv_id = s.conv_id and m.rn = s.rn + 1)
     select conv_id, turn, total::bigint as total, epoch::int as epoch, compressed from s"""
 
 
+_EPOCHS = _epochs(THRESHOLD, SUMMARY)
+
+
 def _costs(messages):
     return messages.withColumn("cost", message_tokens([F.col("role"), F.col("text")]))
 
@@ -37,10 +44,10 @@ def memory_epochs(spark, sf_dir):
     return ops.memory_epochs(_costs(table(spark, sf_dir, "conversations")), THRESHOLD, BASE, SUMMARY)
 
 
-@query(_EPOCHS)
+@query(_epochs(SMALL, 0))
 def memory_epochs_distributed(spark, sf_dir):
-    costs = _costs(table(spark, sf_dir, "conversations"))
-    return ops.memory_epochs(costs, THRESHOLD, BASE, SUMMARY, long_from=0)
+    """As above with a budget that nearly every message exhausts: long chains of compressions."""
+    return ops.memory_epochs(_costs(table(spark, sf_dir, "conversations")), SMALL, BASE, 0)
 
 
 @query(_EPOCHS)
@@ -70,6 +77,18 @@ def stream_refresh_index(spark, sf_dir):
     return load_index(spark, path, MODEL).select("filepath", "ordinal", "code")
 
 
+@query(
+    f"""with recursive e as ({_EPOCHS.replace("with recursive m as", "with recursive m as")})
+    select e.conv_id, e.epoch, string_agg(c.role || ': ' || c.text, chr(10) order by e.turn) as transcript
+    from e join conversations c using (conv_id, turn)
+    where (e.conv_id, e.epoch) in (select conv_id, epoch from e where compressed) group by 1, 2"""
+)
+def epoch_transcripts(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    line = ops.transcript_line(F.col("role"), F.col("text"), none, none, none)
+    return ops.epoch_transcripts(_costs(table(spark, sf_dir, "conversations")), line, THRESHOLD, BASE, SUMMARY)
+
+
 _LINE = """case when function_call_name is not null
       then 'calling function ' || function_call_name || '({"turn": ' || turn || '})'
     when turn % 4 = 3 then 'function tool returned: ' || content else role || ': ' || content end"""
@@ -77,7 +96,7 @@ _LINE = """case when function_call_name is not null
 
 @query(
     with_views(
-        f"select conv_id, 0::bigint as part, string_agg({_LINE}, chr(10) order by turn) as transcript from agent_replies group by 1",
+        f"select conv_id, string_agg({_LINE}, chr(10) order by turn) as transcript from agent_replies group by 1",
         "agent_replies",
     )
 )
@@ -137,7 +156,7 @@ def extract_verdict(spark, sf_dir):
 )
 def validate_tool_calls(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    arguments = F.when(F.col("event_type") == "view", F.substring("props", 1, 5)).otherwise(F.col("props"))
+    arguments = F.when(F.col("event_type") == "view", F.concat("props", F.lit("}"))).otherwise(F.col("props"))
     calls = events.select("event_id", F.col("event_type").alias("name"), arguments.alias("arguments"))
     accepted = F.when(F.col("name") == "click", F.array(F.lit("k"), F.lit("n"))).otherwise(F.array(F.lit("n")))
     tools = calls.select("name").distinct().filter(F.col("name") != "error").withColumn("accepted", accepted)
@@ -192,10 +211,11 @@ def _prompt_sql() -> str:
         "language": "'python'",
         "code": "content",
         "question": "role",
-        "instructions": "' Additional instructions: ' || role",
+        "instructions": "' Wishes: ' || role",
         "package": "'pytest'",
         "answer": "content",
         "explanation": "role",
+        "transcript": "content",
     }
     parts = []
     for kind, template in ops.PROMPTS.items():
@@ -219,14 +239,15 @@ def render_prompts(spark, sf_dir):
         F.col("role").alias("question"),
         F.col("role").alias("instructions"),
         F.col("role").alias("explanation"),
+        F.col("content").alias("transcript"),
     )
     kinds = [F.struct(F.lit(k).alias("kind"), ops.render_prompt(k).alias("prompt")) for k in ops.PROMPTS]
     return rows.select("conv_id", "turn", F.explode(F.array(*kinds)).alias("p")).select("conv_id", "turn", "p.*")
 
 
 @query(
-    """select user_id as response_id, event_id // 1000000 as part, string_agg(event_type, '' order by event_id) as text
-    from events where event_type <> 'error' group by 1, 2"""
+    """select user_id as response_id, string_agg(event_type, '' order by event_id) as text
+    from events where event_type <> 'error' group by 1"""
 )
 def assemble_deltas(spark, sf_dir):
     pieces = table(spark, sf_dir, "events").select(

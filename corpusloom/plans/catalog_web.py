@@ -9,12 +9,16 @@ from corpusloom.plans.derived import TOKEN_RE
 from corpusloom.plans.registry import query, table
 
 MAX_TOKENS = 60
-_LINKS = """select url, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) as link from pages"""
+# Every page also gets anchors that a reader never sees.
+_UNSEEN = ("<!-- <a href=\"/unseen\">x</a> -->", "<script>var a = '<a href=\"/unseen\">x</a>';</script>")
+_LINKS = r"""select url, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '<!--[\s\S]*?-->', '', 'g'),
+    '<script[\s\S]*?</script>|<style[\s\S]*?</style>', '', 'g'), '<a[^>]*href="([^"]*)"', 1)) as link from pages"""
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 
 
 def _links(spark, sf_dir):
-    return ops.page_links(table(spark, sf_dir, "pages", spread=True).select("url", "html"))
+    html = F.concat(F.lit(_UNSEEN[0]), "html", F.lit(_UNSEEN[1])).alias("html")
+    return ops.page_links(table(spark, sf_dir, "pages").select("url", html))
 
 
 @query(_LINKS)
@@ -49,7 +53,7 @@ _TEXT = r"""replace(replace(replace(replace(regexp_replace(regexp_replace(regexp
 @query(f"select page_id, {_TEXT} as text, contains(html, 'You need to enable JavaScript to run this app.') as needs_script from pages")
 def html_to_text(spark, sf_dir):
     text = ops.html_to_text(F.col("html"))
-    rows = table(spark, sf_dir, "pages", spread=True).select("page_id", text.alias("text"))
+    rows = table(spark, sf_dir, "pages").select("page_id", text.alias("text"))
     return rows.withColumn("needs_script", ops.needs_javascript(F.col("text")))
 
 
@@ -69,7 +73,7 @@ def clean_newlines(spark, sf_dir):
 )
 def page_titles(spark, sf_dir):
     name = F.concat(F.translate(F.expr("substr(url, 9)"), "/", "_"), F.lit("#update.txt"))
-    rows = table(spark, sf_dir, "pages", spread=True).select("page_id", name.alias("name"), ops.html_to_text(F.col("html")).alias("text"))
+    rows = table(spark, sf_dir, "pages").select("page_id", name.alias("name"), ops.html_to_text(F.col("html")).alias("text"))
     return rows.select(
         "page_id", ops.title_from_name(F.col("name")).alias("title"), ops.titled_text(F.col("name"), F.col("text")).alias("text")
     )
@@ -91,7 +95,7 @@ _CHUNKED = f"""with recursive x as (select doc_id, string_split(text, '. ') as s
 
 @query(_CHUNKED + " select * from c")
 def sentence_chunks(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", spread=True)
+    docs = table(spark, sf_dir, "documents")
     return explode_once(docs, ["doc_id"], ops.sentence_chunks(F.col("text"), MAX_TOKENS), "chunk", "text")
 
 
@@ -103,7 +107,7 @@ def sentence_chunks(spark, sf_dir):
     select doc_id, chunk, text, {_COUNT.format('text')}::int as n_tokens from o"""
 )
 def shorten(spark, sf_dir):
-    return ops.shorten(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"), MAX_TOKENS)
+    return ops.shorten(table(spark, sf_dir, "documents").select("doc_id", "text"), MAX_TOKENS)
 
 
 _HEAD, _MIDDLE, _TAIL = ("'" + p.replace("'", "''") + "'" for p in ops.CONTEXT_PROMPT.split("%s"))

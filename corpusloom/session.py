@@ -1,6 +1,5 @@
 """Session settings and the shared folder used to cut lineage."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +23,7 @@ def build_session(app: str = "corpusloom", master: str | None = None, **conf) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it; a temporary one only in local mode."""
+    """Folder every executor can reach, as ``spark.checkpoint.dir`` or the session's checkpoint folder names it."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
@@ -34,11 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if current:
         return current
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="corpusloom-")
-    context.setCheckpointDir(folder)
-    return folder
+    raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -50,12 +45,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread_scan(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a plain scan out to all cores when it has fewer splits than there are cores.
-
-    For work that costs far more than the move. A scan with enough splits, as any large table has, is left alone.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

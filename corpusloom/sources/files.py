@@ -7,7 +7,6 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.schemas import BINARY_FILE
 from corpusloom.session import cut_lineage
 
 BATCH_BYTES = 64 << 20  # content handed over per Arrow batch
@@ -90,26 +89,25 @@ def scan_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     )
 
 
-def stream_files(spark: SparkSession, root: str, glob: str | None = None, max_files: int = 10000) -> DataFrame:
-    """A1 as a stream of new and changed files, a bounded number per batch.
+def announce_files(spark: SparkSession, root: str, arrivals: str, glob: str = "*") -> None:
+    """Append to the folder ``arrivals`` a row (path, length, modified) for every file that is new or has changed since
+    the last call. Hidden names, which the engine's own file stream leaves out, are announced like any other."""
+    kind = "path string, length bigint, modified timestamp"
+    spark.createDataFrame([], kind).write.mode("ignore").parquet(arrivals)
+    known = spark.read.schema(kind).parquet(arrivals)
+    fresh = cut_lineage(list_files(spark, root, glob).join(known, ["path", "length", "modified"], "left_anti"))
+    fresh.select("path", "length", "modified").write.mode("append").parquet(arrivals)
 
-    This is the engine's file stream, which leaves out names that begin with a dot or an underscore; a later
-    ``refresh_index`` over ``scan_files`` takes those in.
-    """
-    reader = (
-        spark.readStream.format("binaryFile")
-        .schema(BINARY_FILE)
-        .option("recursiveFileLookup", True)
+
+def stream_files(spark: SparkSession, root: str, arrivals: str, max_files: int = 1) -> DataFrame:
+    """A1 as a stream: files announced in ``arrivals``, read by the same reader as the batch form; ``max_files`` files of
+    announcements in a batch."""
+    paths = (
+        spark.readStream.schema("path string, length bigint, modified timestamp")
         .option("maxFilesPerTrigger", max_files)
+        .parquet(arrivals)
     )
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    plain = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.\-]*:/+", "/")
-    base = "/" + fs.FileSystem.from_uri(root)[1].strip("/") + "/"
-    below = F.when(plain.startswith(base), F.substr(plain, F.lit(len(base) + 1), F.length(plain))).otherwise(plain)
-    return reader.load(root).select(
-        below.alias("path"), "content", "length", F.col("modificationTime").alias("modified")
-    )
+    return paths.mapInArrow(_read_contents(root), "path string, content binary, length bigint, modified timestamp")
 
 
 def as_text(files: DataFrame, repo_id: str) -> DataFrame:

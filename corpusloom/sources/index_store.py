@@ -1,4 +1,4 @@
-"""The block index on disk: version folders and a pointer to the current one."""
+"""The block index on disk: version folders and numbered pointers, of which the newest counts."""
 
 import logging
 import uuid
@@ -10,7 +10,7 @@ from corpusloom.operators.index import model_gate
 from corpusloom.schemas import INDEX
 
 logger = logging.getLogger(__name__)
-POINTER = "CURRENT"
+POINTER = "current"
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -19,38 +19,62 @@ def _file_system(spark: SparkSession, path: str):
     return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
-def current_version(spark: SparkSession, path: str) -> str | None:
-    """Folder of the current version, None when nothing was stored."""
+def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Numbers and names of the pointers, newest first."""
+    fs, new_path = _file_system(spark, path)
+    if not fs.exists(new_path(path)):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(new_path(path))]
+    return sorted(((int(n.split("-")[1]), n) for n in names if n.startswith(f"{POINTER}-")), reverse=True)
+
+
+def _read_pointer(spark: SparkSession, path: str, name: str) -> str:
     fs, new_path = _file_system(spark, path)
-    pointer = new_path(f"{path}/{POINTER}")
-    if not fs.exists(pointer):
-        return None
-    stream = fs.open(pointer)
+    stream = fs.open(new_path(f"{path}/{name}"))
     try:
-        return f"{path}/{stream.readLine()}"
+        return stream.readLine()
     finally:
         stream.close()
 
 
-def store_index(index: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> str:
-    """Write a new version, then point to it. The version being read is never overwritten, and a job that
-    dies half-way leaves the old version current. Earlier versions stay for readers that hold them."""
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the current version, that of the pointer with the highest number; None when nothing was stored."""
+    pointers = _pointers(spark, path)
+    return f"{path}/{_read_pointer(spark, path, pointers[0][1])}" if pointers else None
+
+
+def store_index(index: DataFrame, path: str, partition_by: tuple[str, ...] = (), keep: int = 3) -> str:
+    """Write a new version, then a pointer to it.
+
+    Pointers are numbered and never replaced: a new one appears by a single rename, and the highest number wins. So a
+    reader always finds a complete version, and a job that dies before the rename leaves the old one current. Of two
+    writers with the same number one fails. The ``keep`` newest versions stay for readers that hold them; older
+    ones are removed with their pointers.
+    """
     spark = index.sparkSession
     version = f"version-{uuid.uuid4().hex}"
     writer = index.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{path}/{version}")
+    _point_to(spark, path, version)
+    fs, new_path = _file_system(spark, path)
+    for _, name in _pointers(spark, path)[max(1, keep) :]:
+        fs.delete(new_path(f"{path}/{_read_pointer(spark, path, name)}"), True)
+        fs.delete(new_path(f"{path}/{name}"), False)
+    return f"{path}/{version}"
+
+
+def _point_to(spark: SparkSession, path: str, version: str) -> None:
     fs, new_path = _file_system(spark, path)
     draft = new_path(f"{path}/.{version}")
     out = fs.create(draft, True)
     out.writeBytes(version)
     out.close()
-    pointer = new_path(f"{path}/{POINTER}")
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    fs.rename(draft, pointer)
-    return f"{path}/{version}"
+    pointers = _pointers(spark, path)
+    number = pointers[0][0] + 1 if pointers else 1
+    if not fs.rename(draft, new_path(f"{path}/{POINTER}-{number:012d}")):
+        raise RuntimeError(f"another writer has stored version {number} of {path}")
 
 
 def load_index(spark: SparkSession, path: str, model: str, schema=INDEX) -> DataFrame:

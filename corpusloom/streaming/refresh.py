@@ -9,9 +9,12 @@ from corpusloom.sources.index_store import load_index, store_index
 
 
 def latest_per_file(files: DataFrame, modified: str = "modified") -> DataFrame:
-    """One row per file, the newest; texts stay out of the aggregation."""
-    newest = files.groupBy(*KEYS).agg(F.max(modified).alias(modified))
-    return files.join(newest, [*KEYS, modified], "left_semi").dropDuplicates(list(KEYS))
+    """One row per file, the newest, and of several at one time that of the greatest checksum; texts stay out of the
+    aggregation."""
+    marked = files.withColumn("_sum", F.md5("content"))
+    newest = marked.groupBy(*KEYS).agg(F.max(F.struct(modified, "_sum")).alias("_newest"))
+    newest = newest.select(*KEYS, F.col("_newest")[modified].alias(modified), F.col("_newest._sum").alias("_sum"))
+    return marked.join(newest, [*KEYS, modified, "_sum"], "left_semi").dropDuplicates([*KEYS]).drop("_sum")
 
 
 def stream_refresh_index(

@@ -278,3 +278,28 @@ def test_outline(spark):
 def test_large_file_stays_linear(spark):
     text = "".join(f"def f_{i}(a, b):\n    '''doc {i}'''\n    return a\n\n" for i in range(3000))
     assert len(cut(spark, "big.py", text)) == 3000
+
+
+def test_docstring_that_ends_in_a_backslash(spark):
+    text = 'def a():\n    """Path: C:\\\\"""\n    return 1\n\ndef b():\n    """two"""\n    return 2\n\ndef c():\n    return 3\n'
+    assert brief(cut(spark, "x.py", text))[:3] == [("function", "a", 0, 2), ("function", "b", 4, 6), ("function", "c", 8, 9)]
+
+
+def test_regular_expressions_and_nested_templates(spark):
+    text = (
+        "class A {\n  m(x: string) {\n    const r = x.replace(/[{]'/g, '');\n    return r / 2 / 1;\n  }\n}\n"
+        "function f(a: string[]) {\n  return `<${a.map(x => `{${x}`).join('}')}>`;\n}\nfunction g() {\n  return 1;\n}\n"
+    )
+    found = brief(cut(spark, "x.ts", text))
+    assert ("class", "A", 0, 5) in found and ("function", "f", 6, 8) in found and ("function", "g", 9, 11) in found
+
+
+def test_heredoc_with_quotes_and_braces(spark):
+    text = (
+        "<?php\nfunction f() {\n    $t = <<<EOT\n    it's {a\n    EOT;\n    return $t;\n}\n"
+        "function g() {\n    return <<<'X'\nit's }\nX;\n}\nfunction h() { return 1 << 2; }\n"
+    )
+    found = brief(cut(spark, "x.php", text))
+    assert [b for b in found if b[0] == "function"] == [
+        ("function", "f", 1, 6), ("function", "g", 7, 11), ("function", "h", 12, 12)
+    ]

@@ -13,7 +13,7 @@ from corpusloom.plans.refresh import refresh_index
 from corpusloom.schemas import INDEX
 from corpusloom.session import scratch_path
 from corpusloom.sources.dot import read_dot_graph
-from corpusloom.sources.files import as_text, scan_files, stream_files
+from corpusloom.sources.files import announce_files, as_text, scan_files, stream_files
 from corpusloom.sources.index_store import current_version, load_index, store_index
 from corpusloom.streaming.refresh import stream_refresh_index
 
@@ -80,11 +80,14 @@ def test_scan_reads_hidden_files(spark, tmp_path):
 
 
 def test_names_fall_back(spark):
-    rows = ops.detect_language(paths(spark, "a.py", "a.zzz", "Make"), ops.language_table(spark, ops.COMMON_LANGUAGE_NAMES))
+    rows = ops.detect_language(paths(spark, "a.py", "a.zzz", "Make", "d/Dockerfile", "CMakeLists.txt", "x.h++"))
     assert {r["path"]: r["language_name"] for r in rows.collect()} == {
         "a.py": "Python",
         "a.zzz": "Unknown language for file extension: .zzz",
         "Make": "Unknown language for file extension: ",
+        "d/Dockerfile": "Docker",
+        "CMakeLists.txt": "CMake",
+        "x.h++": "C++",
     }
 
 
@@ -163,14 +166,34 @@ def test_reasons(spark):
 
 def test_stream_refresh_is_repeatable(spark, tmp_path):
     root, path, state = tmp_path / "repo", str(tmp_path / "index"), str(tmp_path / "state")
+    arrivals = str(tmp_path / "arrivals")
     root.mkdir()
     (root / "a.py").write_text("def f():\n    return 1\n")
 
     def run():
-        files = as_text(stream_files(spark, str(root), "*.py"), "r")
+        announce_files(spark, str(root), arrivals, "*.py")
+        files = as_text(stream_files(spark, str(root), arrivals), "r")
         stream_refresh_index(files, path, "m", state).awaitTermination()
         return sorted((r["filepath"], r["function_name"]) for r in load_index(spark, path, "m").collect())
 
     assert run() == run() == [("a.py", "f")]
     (root / "b.py").write_text("def g():\n    return 1\n")
-    assert run() == [("a.py", "f"), ("b.py", "g")]
+    (root / "__init__.py").write_text("def h():\n    return 1\n")
+    assert run() == [("__init__.py", "h"), ("a.py", "f"), ("b.py", "g")]
+
+
+def test_store_survives_a_failure_before_the_pointer(spark, monkeypatch):
+    from corpusloom.sources import index_store
+
+    path = scratch_path(spark, "store")
+    rows = spark.createDataFrame([("a", "m")], "filepath string, embedding_model string")
+    first = store_index(rows, path)
+    with monkeypatch.context() as patch:
+        patch.setattr(index_store, "_point_to", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            store_index(rows.union(rows), path)
+    assert current_version(spark, path) == first
+    kept = [store_index(rows, path, keep=2) for _ in range(4)][-2:]
+    assert current_version(spark, path) == kept[-1]
+    assert len(index_store._pointers(spark, path)) == 2
+    assert spark.read.parquet(kept[0]).count() == 1

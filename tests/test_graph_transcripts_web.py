@@ -44,8 +44,8 @@ def test_hierarchy(spark):
     nodes = names(spark, "a", "b", "c", "d", "e")
     full = g.hierarchy_from_roots(nodes, e, 10)
     assert full.filter("is_cycle").count() == 1 and full.count() == 5
-    with pytest.raises(ValueError):
-        g.hierarchy_from_roots(nodes, e, 3)
+    assert g.hierarchy_from_roots(nodes, e).count() == 5
+    assert g.hierarchy_from_roots(nodes, e, 2).agg(F.max("depth")).first()[0] == 2
 
 
 def test_fuzzy_keeps_slots_apart(spark):
@@ -59,20 +59,19 @@ def test_fuzzy_keeps_slots_apart(spark):
 @pytest.mark.parametrize("threshold, base, summary", [(100, 10, 20), (30, 40, 5), (60, 0, 59), (1000000, 0, 0)])
 def test_epochs_by_both_paths(spark, threshold, base, summary):
     rng = random.Random(threshold)
-    rows = [(c, i, rng.randint(1, 40)) for c, n in ((1, 400), (2, 3), (3, 60)) for i in range(n)]
+    rows = [(c, i, rng.choice([0, None, 1, 5, 20, 40])) for c, n in ((1, 400), (2, 3), (3, 60)) for i in range(4000, 4000 + n)]
     costs = spark.createDataFrame(rows, "conv_id long, turn long, cost long")
     want = []
     for conv in (1, 2, 3):
         total, epoch = base, 0
         for c, turn, cost in rows:
             if c == conv:
-                total += cost
+                total += cost or 0
                 want.append((c, turn, total, epoch, total >= threshold))
                 if total >= threshold:
                     total, epoch = base + summary, epoch + 1
-    for limit in (10**6, 50, 0):
-        got = t.memory_epochs(costs, threshold, base, summary, long_from=limit)
-        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    got = t.memory_epochs(costs, threshold, base, summary)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
 def test_stream_epochs_over_batches(spark):
@@ -95,13 +94,37 @@ def test_stream_epochs_over_batches(spark):
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, batch.collect()))
 
 
-def test_transcript_parts_join_to_the_whole(spark):
-    rows = [(1, i, "user", f"m{i}") for i in range(10)]
+def test_transcripts_are_whole(spark):
+    rows = [(1, i, "user", f"m{i}") for i in range(4090, 4100)]
     messages = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
     line = t.transcript_line(F.col("role"), F.col("text"), F.lit(None), F.lit(None), F.lit(None))
-    parts = t.format_transcript(messages, line, part_turns=4).orderBy("part").collect()
-    assert len(parts) == 3
-    assert "\n".join(r["transcript"] for r in parts) == "\n".join(f"user: m{i}" for i in range(10))
+    (whole,) = t.format_transcript(messages, line).collect()
+    assert whole["transcript"] == "\n".join(f"user: m{i}" for i in range(4090, 4100))
+    priced = messages.withColumn("cost", F.lit(10))
+    done = {r["epoch"]: r["transcript"] for r in t.epoch_transcripts(priced, line, 40, 0, 10).collect()}
+    assert done == {
+        0: "\n".join(f"user: m{i}" for i in range(4090, 4094)),
+        1: "\n".join(f"user: m{i}" for i in range(4094, 4097)),
+        2: "\n".join(f"user: m{i}" for i in range(4097, 4100)),
+    }
+
+
+def test_replies_are_whole(spark):
+    pieces = spark.createDataFrame([(1, 999_999, "a"), (1, 1_000_000, "b"), (1, 5, "")], "response_id int, seq long, delta string")
+    assert [tuple(r) for r in t.assemble_deltas(pieces).collect()] == [(1, "ab")]
+
+
+def test_links_outside_comments_and_scripts(spark):
+    html = """<!-- <a href="/no">x</a> --><a href="/yes">y</a><script>s = '<a href="/no">z</a>';</script>
+    <STYLE>a { content: '<a href="/no">' }</STYLE ><a href=/also>w</a>"""
+    rows = w.page_links(spark.createDataFrame([(1, html)], "page_id int, html string")).collect()
+    assert [r["link"] for r in rows] == ["/yes", "/also"]
+
+
+def test_hierarchy_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(80)], "src string, dst string")
+    nodes = spark.createDataFrame([(f"n{k}",) for k in range(81)], "name string")
+    assert g.hierarchy_from_roots(nodes, edges).count() == 80
 
 
 def test_system_first_over_segments(spark):
