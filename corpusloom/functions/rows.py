@@ -1,8 +1,10 @@
-"""One row per array element."""
+"""Exploding arrays, and joining wide rows with short lists of keys."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import cut_lineage
+
 
 def explode_once(df: DataFrame, carried: list, items: Column, position: str, value: str) -> DataFrame:
     """Inner explode that evaluates ``items`` once.
@@ -13,3 +15,17 @@ def explode_once(df: DataFrame, carried: list, items: Column, position: str, val
     """
     rows = df.select(*carried, F.posexplode_outer(items).alias(position, value))
     return rows.filter(F.col(position).isNotNull())
+
+
+#: Rows of keys that a broadcast may hold; more are joined by a shuffle.
+FEW_ROWS = 200_000
+
+
+def join_few(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join of wide rows with a list of keys and small values that is mostly short.
+
+    The list is computed once, written to the shared folder and counted. Up to FEW_ROWS it is broadcast, so the wide rows
+    stay where they are; a longer list is joined by the engine's own choice. The rows are the same either way.
+    """
+    listed = cut_lineage(keys)
+    return rows.join(F.broadcast(listed) if listed.count() <= FEW_ROWS else listed, on, how)

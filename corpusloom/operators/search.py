@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.ranking import top_k_per_group
+from corpusloom.functions.rows import join_few
 from corpusloom.operators.files import to_search_json
 
 CONTEXT_TOKENS = 1800  # fixed value: token budget of a context
@@ -103,7 +104,7 @@ def best_match_code(index: DataFrame, function_name: str, class_name: str | None
 def view_function_code(index: DataFrame, requests: DataFrame, k: int = 3, key: str = "block_id") -> DataFrame:
     """JSON records of the code of the closest rows per asked name, or a message when there are none."""
     hits = find_function_match_batch(index, requests, k, key)
-    coded = hits.join(index.select(key, "code"), key)
+    coded = join_few(index.select(key, "code"), hits, [key])
     records = to_search_json(coded, ("code",), keep=("asked", "rank"))
     packed = records.groupBy("asked").agg(
         F.concat(
@@ -126,7 +127,7 @@ def qa_context(
     hits: DataFrame, index: DataFrame, key: str = "block_id", query_key: str = "query_id", text: str = "code"
 ) -> DataFrame:
     """the codes of each question's hits, best first, joined by newline."""
-    coded = hits.select(query_key, "rank", key).join(index.select(key, text), key)
+    coded = join_few(index.select(key, text), hits.select(query_key, "rank", key), [key])
     return coded.groupBy(query_key).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", text))), lambda r: r[text]), "\n"
@@ -154,7 +155,7 @@ def pack_context(
     upto = Window.partitionBy(query_key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     kept = few.withColumn("cur_len", F.sum("_cost").over(upto)).filter(F.col("cur_len") <= max_len)
     texts = ranked.select(query_key, key, text)
-    return kept.join(texts, [query_key, key]).groupBy(query_key).agg(
+    return join_few(texts, kept.select(query_key, key, "rank", "cur_len"), [query_key, key]).groupBy(query_key).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", text))), lambda r: r[text]),
             CONTEXT_SEPARATOR,

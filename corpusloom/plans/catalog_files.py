@@ -4,9 +4,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.paths import compile_ignore_rules
+from corpusloom.functions.rows import join_few
 from corpusloom.operators import files as ops
 from corpusloom.operators import index as idx
-from corpusloom.operators.extract import extract_blocks, file_blocks
+from corpusloom.operators.extract import extract_blocks, file_blocks, is_balanced
 from corpusloom.operators.languages import language_of
 from corpusloom.plans.derived import (
     code_files,
@@ -234,28 +235,48 @@ _STATUS = """, known as (select filepath, max(file_checksum) as stored from code
       from code_files f full join known k on k.filepath = f.path)"""
 
 
+# Files that cannot be cut and files with nothing to cut, beside the others.
+_ODD_FILES = {
+    "broken": ("p_partkey % 10 = 0", "'broken/b_' || cast(p_partkey as string) || '.py'", "'def broken(:' || chr(10)"),
+    "empty": ("p_partkey % 10 = 1", "'empty/e_' || cast(p_partkey as string) || '.py'", "''"),
+}
+
+
 @query(
     with_views(
-        _STATUS
-        + """ select case when c.status = 'unmodified' then 'unmodified' when c.filepath like '%.md' then 'no_parser'
-        else 'extracted' end as reason, count(*) as n_files, sum(case when c.filepath like '%.md' then 0
-          when c.filepath like '%.py' or c.filepath like '%.php' then 4 else 2 end)::bigint as n_blocks
-        from changes c where status <> 'deleted' group by 1""",
+        _STATUS.replace("from code_files f full", "from files f full").replace(
+            ", known as",
+            ", files as (select path, content from code_files"
+            + "".join(f" union all select {path}, {text} from part where {where}" for where, path, text in _ODD_FILES.values())
+            + "), known as",
+        )
+        + """, r as (select case when status = 'unmodified' then 'unmodified' when filepath like '%.md' then 'no_parser'
+        when filepath like 'broken/%' then 'error' when filepath like 'empty/%' then 'no_blocks' else 'extracted' end as reason,
+        filepath from changes where status <> 'deleted')
+        select reason, count(*) as n_files, sum(case when reason <> 'extracted' then 0
+          when filepath like '%.py' or filepath like '%.php' then 4 else 2 end)::bigint as n_blocks from r group by 1""",
         "code_files",
         "code_index_prev",
     )
 )
 def skip_reasons(spark, sf_dir):
+    """Changes are tested first; only files that are new or changed, and sound, are cut."""
     files = repo_files(spark, sf_dir)
+    for where, path, text in _ODD_FILES.values():
+        odd = table(spark, sf_dir, "part").where(where)
+        files = files.unionByName(odd.selectExpr("'repo' as repo_id", f"{path} as filepath", f"{text} as content"))
     language = language_of(F.col("filepath"))
-    counted = ops.attach_file_keys(files).select(
+    keyed = ops.attach_file_keys(files).select("filepath", "file_checksum", language.alias("handler"))
+    changes = idx.detect_changes(keyed, code_index_prev(spark, sf_dir))
+    todo = changes.filter((F.col("status") != "unmodified") & F.col("handler").isNotNull()).select("filepath")
+    work = join_few(files.select("filepath", "content"), todo, ["filepath"], "left_semi")
+    sound = work.select("filepath", "content", F.coalesce(is_balanced(F.col("content"), language), F.lit(True)).alias("sound"))
+    cut = sound.select(
         "filepath",
-        "file_checksum",
-        language.alias("handler"),
-        F.coalesce(F.size(file_blocks()), F.lit(0)).alias("n_blocks"),
+        F.when(~F.col("sound"), F.lit("cannot be parsed")).alias("error"),
+        F.when(F.col("sound"), F.coalesce(F.size(file_blocks()), F.lit(0))).alias("n_blocks"),
     )
-    changes = idx.detect_changes(counted, code_index_prev(spark, sf_dir))
-    return idx.reason_counts(idx.skip_reason(changes.withColumn("error", F.lit(None).cast("string"))))
+    return idx.reason_counts(idx.skip_reason(changes.join(cut, "filepath", "left")))
 
 
 @query("select doc_id, text from documents where regexp_matches(text, '[Tt]he [a-z]+ing\\b')")

@@ -156,7 +156,7 @@ def extract_verdict(spark, sf_dir):
 )
 def validate_tool_calls(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    arguments = F.when(F.col("event_type") == "view", F.concat("props", F.lit("}"))).otherwise(F.col("props"))
+    arguments = F.when(F.col("event_type") == "view", F.concat(F.lit("["), "props")).otherwise(F.col("props"))
     calls = events.select("event_id", F.col("event_type").alias("name"), arguments.alias("arguments"))
     accepted = F.when(F.col("name") == "click", F.array(F.lit("k"), F.lit("n"))).otherwise(F.array(F.lit("n")))
     tools = calls.select("name").distinct().filter(F.col("name") != "error").withColumn("accepted", accepted)

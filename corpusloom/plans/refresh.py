@@ -4,8 +4,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.paths import IgnoreRule
+from corpusloom.functions.rows import join_few
 from corpusloom.functions.text import count_tokens
-from corpusloom.operators.extract import extract_blocks
+from corpusloom.operators.extract import extract_blocks, is_balanced
 from corpusloom.operators.files import attach_file_keys, prune_dirs, stamp_model
 from corpusloom.operators.index import append, detect_changes, drop_deleted, drop_outdated
 from corpusloom.operators.languages import DEFAULT_LANGUAGES, language_of
@@ -46,16 +47,18 @@ def refresh_index(
 ) -> DataFrame:
     """The index after the files(repo_id, filepath, content) were taken in.
 
-    Only (key, checksum) rows meet the index, so file texts are not shuffled to find the changes; texts are joined
-    with the list of files to do, which is broadcast by the engine while it is small.
+    Only (key, checksum) rows meet the index, so file texts are not shuffled to find the changes. The list of files to do
+    is computed once and, while it is short, broadcast to the texts. A file to do whose brackets or quotes don't close is
+    in error: it keeps its old rows and gets no new ones, and being unchanged in the index it is tried again next time.
     """
     usable = prune_dirs(files, rules, "filepath").filter(language_of(F.col("filepath"), languages).isNotNull())
     current = attach_file_keys(usable).select(*KEYS, "file_checksum")
     changes = detect_changes(current, index, KEYS)
-    todo = changes.filter(F.col("status").isin("new", "changed")).select(*KEYS, "status")
-    work = usable.select(*KEYS, "content").join(todo.select(*KEYS), list(KEYS), "left_semi")
-    stale = todo.filter(F.col("status") == "changed")
+    todo = cut_lineage(changes.filter(F.col("status").isin("new", "changed")).select(*KEYS, "status"))
+    work = join_few(usable.select(*KEYS, "content"), todo.select(*KEYS), list(KEYS), "left_semi")
+    sound = F.coalesce(is_balanced(F.col("content"), language_of(F.col("filepath"), languages), languages), F.lit(True))
+    stale = join_few(work.filter(sound).select(*KEYS), todo.filter(F.col("status") == "changed"), list(KEYS), "left_semi")
     kept = drop_outdated(index, stale, KEYS)
     if remove_deleted:
         kept = drop_deleted(kept, usable, KEYS)
-    return append(kept, index_rows(work, model_name, model, languages, once_per_text))
+    return append(kept, index_rows(work.filter(sound), model_name, model, languages, once_per_text))
