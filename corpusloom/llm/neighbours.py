@@ -21,10 +21,11 @@ from corpusloom.session import scratch_path
 #: Vectors the lists are fitted on, at most; also bounds what the driver and the tasks hold of the index.
 SAMPLE = 16_384
 #: Rows every query is compared with first.
-KNOWN = 2048
-#: Lists, at most; vectors a task scans at a time, in one block of a list.
-MOST_LISTS, BLOCK_ROWS = 4096, 8192
-COLUMNS = 8
+KNOWN = 8192
+#: Vectors of a list, on average; lists, at most; vectors of a list that a task scans, at most.
+LIST_ROWS, MOST_LISTS, BLOCK_ROWS = 2048, 4096, 8192
+#: Columns of a block; pairs of a query and a candidate that are begun at a time.
+COLUMNS, PAIRS = 8, 1 << 20
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -124,42 +125,41 @@ def _centres(placed: np.ndarray, lists: int, rng) -> np.ndarray:
     return centres
 
 
-def adaptive_scan(columns: np.ndarray, point: np.ndarray, threshold: float, k: int, strictness: float) -> np.ndarray:
-    """Numbers of the candidates that were not abandoned, for one query; ``columns`` is (dimensions, candidates).
+def adaptive_scan(
+    columns: np.ndarray, points: np.ndarray, thresholds: np.ndarray, strictness: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, candidates) of the pairs that were not abandoned, by query; ``columns`` is (dimensions, candidates).
 
-    After d of D dimensions the distance is estimated as D / d times the partial one. It is further than the threshold,
-    except with small chance, if it exceeds it by the factor (1 + strictness / sqrt(d)) squared. The last block needs no
-    test but the distance itself. The threshold falls to the k-th distance of the first candidates once these are known.
+    After d of D dimensions the distance is estimated as D / d times the partial one. It is further than the query's
+    threshold, except with small chance, if it exceeds it by the factor (1 + strictness / sqrt(d)) squared. The last
+    block needs no test but the distance itself. Each block is read only for the pairs that are left.
     """
-    dim, n = columns.shape
-    first = min(n, 4 * k)
-    if n > first:
-        far = ((columns[:, :first] - point[:, None]) ** 2).sum(axis=0)
-        if first > k:
-            threshold = min(threshold, float(np.partition(far, k)[k]))
-    left, partial = np.arange(n), np.zeros(n)
-    for at in range(0, dim, COLUMNS):
+    dim = len(columns)
+
+    def allowed(upto: int) -> np.ndarray:
+        part = 1.0 if upto == dim else (1 + strictness / math.sqrt(upto)) ** 2 * upto / dim
+        return thresholds * (1 + 1e-9) * part + 1e-12
+
+    upto = min(dim, COLUMNS)
+    partial = _distances(points[:, :upto], columns[:upto].T)
+    of, which = np.nonzero(partial <= allowed(upto)[:, None] + 1e-9)
+    partial = partial[of, which]
+    for at in range(upto, dim, COLUMNS):
         upto = min(dim, at + COLUMNS)
-        block = columns[at:upto, left] if len(left) < n else columns[at:upto]
-        partial = partial + ((block - point[at:upto, None]) ** 2).sum(axis=0)
-        allowed = threshold * (1 + 1e-9)
-        if upto < dim:
-            allowed *= (1 + strictness / math.sqrt(upto)) ** 2 * upto / dim
-        stay = partial <= allowed + 1e-12
-        left, partial = left[stay], partial[stay]
-    return left
-
-
-def exact_scores(vectors: np.ndarray, point: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed in the order of the components."""
-    total = np.zeros(len(vectors))
-    for j in range(len(point)):
-        total = total + vectors[:, j] * point[j]
-    return total
+        for j in range(at, upto):
+            step = columns[j, which] - points[of, j]
+            partial = partial + step * step
+        stay = partial <= allowed(upto)[of] + (1e-9 if upto == dim else 0)
+        of, which, partial = of[stay], which[stay], partial[stay]
+    return of, which
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+def exact_scores(vectors: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Inner products of rows in double precision, summed in the order of the components."""
+    total = np.zeros(len(vectors))
+    for j in range(vectors.shape[1]):
+        total = total + vectors[:, j] * points[..., j]
+    return total
 
 
 def nearest(
@@ -198,7 +198,7 @@ def nearest(
     stats = rows.where(sized).agg(
         F.count("*").alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v)).alias("square")
     ).first()
-    lists = lists or max(1, min(MOST_LISTS, SAMPLE // 64, round(math.sqrt(stats.n))))
+    lists = lists or max(1, min(MOST_LISTS, SAMPLE // 64, -(-stats.n // LIST_ROWS)))
     kept = np.array(sample[sample.map(len) == dim].tolist())
     index = Index(kept, math.sqrt(stats.square) * (1 + 1e-12), lists, probes, k, recall, seed)
     shipped = spark.sparkContext.broadcast(index)
@@ -260,18 +260,22 @@ def nearest(
         columns = np.ascontiguousarray(index.place(own).T)
         targets = floats(points.column("vector").combine_chunks())
         placed = index.place_query(targets)
+        query_ids = points.column("query_id").to_numpy()
+        thresholds = points.column("threshold").to_numpy()
         out = [[], [], [], []]
-        for n, (query_id, threshold) in enumerate(
-            zip(points.column("query_id").to_pylist(), points.column("threshold").to_pylist(), strict=True)
-        ):
-            left = adaptive_scan(columns, placed[n], threshold, k, strictness)
-            left = left[ids[left] != query_id]
-            scores = exact_scores(own[left], targets[n])
-            top = best(scores, ids[left], k)
-            out[0].append(np.full(len(top), query_id, np.int64))
-            out[1].append(places[left][top])
-            out[2].append(ids[left][top])
-            out[3].append(scores[top])
+        step = max(1, PAIRS // len(ids))
+        for a in range(0, len(placed), step):
+            of, which = adaptive_scan(columns, placed[a : a + step], thresholds[a : a + step], strictness)
+            of = of + a
+            other = ids[which] != query_ids[of]
+            of, which = of[other], which[other]
+            scores = exact_scores(own[which], targets[of])
+            order = np.lexsort((ids[which], -scores, of))
+            of, which, scores = of[order], which[order], scores[order]
+            rank = np.arange(len(of)) - np.searchsorted(of, of)
+            top = rank < k
+            for column, values in zip(out, (query_ids[of], places[which], ids[which], scores), strict=True):
+                column.append(values[top])
         return pa.table([pa.array(np.concatenate(x)) for x in out], names=names)
 
     found = (

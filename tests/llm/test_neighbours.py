@@ -64,10 +64,11 @@ def test_odd_vectors(spark):
 
 def test_scan_abandons_most_and_keeps_the_nearest():
     rng = np.random.default_rng(2)
-    columns = rng.standard_normal((64, 4000))
-    point = rng.standard_normal(64)
-    far = ((columns - point[:, None]) ** 2).sum(axis=0)
-    left = adaptive_scan(columns, point, np.inf, 20, 2.1)
-    near = set(np.argsort(far)[:20].tolist())
-    assert len(near & set(left.tolist())) >= 19
-    assert len(left) < 1200
+    columns, points = rng.standard_normal((64, 4000)), rng.standard_normal((5, 64))
+    far = ((columns.T[None] - points[:, None]) ** 2).sum(axis=2)
+    of, which = adaptive_scan(columns, points, np.sort(far, axis=1)[:, 40], 2.1)
+    for q in range(5):
+        near = set(np.argsort(far[q])[:20].tolist())
+        assert len(near & set(which[of == q].tolist())) >= 19
+    assert len(of) <= 5 * 41
+    assert len(adaptive_scan(columns, points, np.full(5, np.inf), 2.1)[0]) == 5 * 4000
