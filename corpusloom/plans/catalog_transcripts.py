@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from corpusloom.operators import transcripts as ops
+from corpusloom.operators.files import lookup_file_contents
+from corpusloom.operators.graph import children
 from corpusloom.operators.tokens import message_tokens
 from corpusloom.plans.catalog_files import MODEL
 from corpusloom.plans.catalog_search import MESSAGE_COST
-from corpusloom.plans.derived import agent_replies, repo_files, with_views
+from corpusloom.plans.derived import agent_replies, code_files, graph_edges, graph_nodes, repo_files, with_views
 from corpusloom.plans.registry import query, table
 from corpusloom.schemas import CODE_FILE, MESSAGE
 from corpusloom.session import scratch_path
@@ -262,3 +264,37 @@ def assemble_deltas(spark, sf_dir):
 def bulk_generate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ops.bulk_generate(docs, "text", lambda prompt: str(len(prompt)), "doc_id")
+
+
+@query(
+    with_views(
+        """, calls as (select file_id as call_id, case file_id % 3 when 0 then 'view_file' when 1 then 'callees' else 'fly' end
+          as name, case file_id % 3 when 0 then path else 'f_' || file_id end as argument from code_files),
+        below as (select src, string_agg(dst, ',' order by dst) as dsts from graph_edges group by 1)
+        select call_id, name, argument, case name when 'view_file' then content when 'callees' then dsts
+          else 'Unknown tool' end as answer
+        from calls left join code_files on path = argument left join below on src = argument""",
+        "code_files",
+        "graph_edges",
+    )
+)
+def dispatch_tool_calls(spark, sf_dir):
+    files, edges, nodes = code_files(spark, sf_dir), graph_edges(spark, sf_dir), graph_nodes(spark, sf_dir)
+
+    def view_file(asked):
+        found = lookup_file_contents(asked.select(F.col("argument").alias("filepath")), files)
+        return found.select(F.col("filepath").alias("argument"), F.col("content").alias("answer"))
+
+    def callees(asked):
+        found = children(edges, asked.select(F.col("argument").alias("name")), nodes)
+        return found.groupBy(F.col("name").alias("argument")).agg(
+            F.array_join(F.array_sort(F.collect_list("child")), ",").alias("answer")
+        )
+
+    kind = F.col("file_id") % 3
+    calls = files.select(
+        F.col("file_id").alias("call_id"),
+        F.when(kind == 0, "view_file").when(kind == 1, "callees").otherwise("fly").alias("name"),
+        F.when(kind == 0, F.col("path")).otherwise(F.concat(F.lit("f_"), "file_id")).alias("argument"),
+    )
+    return ops.dispatch_tool_calls(calls, {"view_file": view_file, "callees": callees})

@@ -36,12 +36,13 @@ def domain_links(spark, sf_dir):
 
 
 @query(
-    f"""with recursive l as ({_DOMAIN}), r(source, url) as (select url, url from pages union
+    f"""with recursive l as ({_DOMAIN}), r(source, url) as (select min(url), min(url) from pages group by {_HOST} union
     select r.source, l.link from r join l on l.url = r.url) select source, url from r"""
 )
 def reachable_pages(spark, sf_dir):
     links = ops.domain_links(_links(spark, sf_dir), ops.host_of(F.col("url")), ("url",))
-    starts = table(spark, sf_dir, "pages").select(F.col("url").alias("source"))
+    pages = table(spark, sf_dir, "pages")
+    starts = pages.groupBy(ops.host_of(F.col("url"))).agg(F.min("url").alias("source")).select("source")
     return ops.reachable_pages(links.select(F.col("url").alias("src"), F.col("link").alias("dst")), starts)
 
 
