@@ -335,36 +335,41 @@ def render_prompt(kind: str, templates: dict[str, str] = PROMPTS) -> Column:
 def bulk_generate(
     df: DataFrame,
     prompt: str,
-    generate: Callable[[str], str],
+    generate: Callable[[list[str]], list[str | Exception]],
     key: str,
     attempts: int = ATTEMPTS,
     wait_min: float = WAIT_MIN,
     wait_max: float = WAIT_MAX,
+    together: int = 64,
 ) -> DataFrame:
-    """(key, reply, attempts, error): the caller's model per row with random exponential waits between
-    attempts; a row that keeps failing carries its error instead of failing the job."""
+    """(key, reply, attempts, error): replies of the caller's model, which takes up to ``together`` prompts at once
+    and gives a reply or an exception for each. Only failed rows are asked again, after random exponential waits; one that
+    keeps failing carries its error instead of failing the job. A task has one call open at a time."""
 
-    def call(text: str) -> tuple[str | None, int, str | None]:
+    def call(texts: list[str]) -> list[tuple[str | None, int, str | None]]:
+        out: list = [None] * len(texts)
+        left = list(range(len(texts)))
         for number in range(1, attempts + 1):
             try:
-                return generate(text), number, None
+                replies = generate([texts[i] for i in left])
             except Exception as problem:  # any failure of the caller's model is retried
-                error = f"{type(problem).__name__}: {problem}"
-                if number < attempts:
-                    time.sleep(max(wait_min, random.uniform(0, min(wait_max, 2.0**number))) if wait_max else 0)
-        return None, attempts, error
+                replies = [problem] * len(left)
+            for i, reply in zip(left, replies, strict=True):
+                bad = isinstance(reply, Exception)
+                out[i] = (None, number, f"{type(reply).__name__}: {reply}") if bad else (reply, number, None)
+            left = [i for i in left if out[i][2] is not None]
+            if not left:
+                break
+            if number < attempts and wait_max:
+                time.sleep(max(wait_min, random.uniform(0, min(wait_max, 2.0**number))))
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            replies = [call(text) for text in batch[prompt]]
-            yield pd.DataFrame(
-                {
-                    key: batch[key],
-                    "reply": [r[0] for r in replies],
-                    "attempts": [r[1] for r in replies],
-                    "error": [r[2] for r in replies],
-                }
-            )
+            texts = batch[prompt].tolist()
+            replies = [r for at in range(0, len(texts), together) for r in call(texts[at : at + together])]
+            columns = zip(*replies, strict=True) if replies else ([], [], [])
+            yield pd.DataFrame({key: batch[key]} | {n: list(c) for n, c in zip(("reply", "attempts", "error"), columns)})
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, prompt).mapInPandas(run, f"{key} {kind}, reply string, attempts int, error string")

@@ -263,7 +263,7 @@ def assemble_deltas(spark, sf_dir):
 @query("select doc_id, length(text)::varchar as reply, 1 as attempts, null::varchar as error from documents")
 def bulk_generate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ops.bulk_generate(docs, "text", lambda prompt: str(len(prompt)), "doc_id")
+    return ops.bulk_generate(docs, "text", lambda prompts: [str(len(p)) for p in prompts], "doc_id")
 
 
 @query(

@@ -76,8 +76,10 @@ def test_epochs_by_both_paths(spark, threshold, base, summary):
 
 def test_stream_epochs_over_batches(spark):
     path = scratch_path(spark, "messages")
-    rows = [(c, i, 10 + i) for i in range(12) for c in (1, 2)]
-    for part in (rows[:8], rows[8:]):
+    rows = [(c, i, 10 + i if i != 7 else None) for i in range(12) for c in (1, 2)]
+    late, *rest = rows[4:] + rows[:2]  # turn 2 of the first conversation comes last, turn 0 after turn 3
+    rest += rows[2:4]
+    for part in (rest[:8], rest[8:], [late, rows[0]]):
         spark.createDataFrame(part, "conv_id long, turn long, cost long").coalesce(1).write.mode("append").parquet(path)
     source = spark.readStream.schema("conv_id long, turn long, cost long").option("maxFilesPerTrigger", 1).parquet(path)
     out = scratch_path(spark, "out")
@@ -163,10 +165,8 @@ def test_replies(spark):
 
 
 def test_bulk_generate_retries_and_reports(spark):
-    def model(text):
-        if text == "bad":
-            raise ValueError("no")
-        return text.upper()
+    def model(texts):
+        return [ValueError("no") if text == "bad" else text.upper() for text in texts]
 
     rows = spark.createDataFrame([(1, "ok"), (2, "bad")], "id int, p string")
     got = {r["id"]: tuple(r) for r in t.bulk_generate(rows, "p", model, "id", attempts=3, wait_min=0, wait_max=0).collect()}
