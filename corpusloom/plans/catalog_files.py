@@ -23,7 +23,7 @@ from corpusloom.schemas import INDEX
 from corpusloom.session import scratch_path
 from corpusloom.sources.documents import read_documents_csv, write_documents_csv
 from corpusloom.sources.dot import read_dot_graph
-from corpusloom.sources.files import list_files
+from corpusloom.sources.files import scan_files as scan_tree
 from corpusloom.sources.index_store import load_index, store_index
 
 MODEL = "current-model"
@@ -33,9 +33,19 @@ def repo_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_blocks(ops.attach_file_keys(repo_files(spark, sf_dir)))
 
 
-@query()
+@query("select lang, doc_id, text from documents")
 def scan_files(spark, sf_dir):
-    return list_files(spark, sf_dir, "*.parquet").select("path", "length")
+    """Files made of the documents, a line for each, found and read again with their contents."""
+    path = scratch_path(spark, "tree")
+    lines = table(spark, sf_dir, "documents").select("lang", F.to_json(F.struct("doc_id", "text")).alias("value"))
+    lines.write.partitionBy("lang").text(path)
+    files = scan_tree(spark, path, "part-*.txt")
+    found = files.select(
+        F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang"),
+        F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line"),
+    ).where("line <> ''")
+    document = F.from_json("line", "doc_id bigint, text string").alias("d")
+    return found.select("lang", document).select("lang", "d.doc_id", "d.text")
 
 
 @query(
