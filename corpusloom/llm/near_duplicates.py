@@ -6,8 +6,9 @@ level is at most w, so two texts share exactly the points below both weights. Ev
 which keeps the least. A process is followed only until it passes the greatest value of its text's signature.
 
 Texts that agree in a band are compared by the exact overlap of their multisets. Not all pairs of a bucket are: each
-member is compared with a hub, and pairs that links have already joined need no comparison. In the end every pair of
-texts that shares a bucket is in one class or was compared.
+member is compared with a hub, and pairs that links have already joined need no comparison. What remains are strays,
+members outside the largest class of a bucket; each goes once to every run that holds members of its buckets and is
+compared there. In the end every pair of texts that shares a bucket is in one class or was compared.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from corpusloom.llm.words import mix, parts_of, run_starts, runs_of_words, words
 from corpusloom.session import scratch_path
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Rounds of comparisons with one hub for each bucket, before the rest is compared in full.
+#: Rounds of comparisons with one hub for each bucket, before the strays are compared in full.
 HUB_ROUNDS = 3
 
 
@@ -183,18 +184,80 @@ class _Bags:
                     members.setdefault(hub, []).append(row)
             alike: list[tuple[int, int]] = []
             for hub, rows_ in members.items():
-                all_ = np.frombuffer(b"".join(own[r] for r in rows_), "<u8")
-                sizes = np.array([len(own[r]) // 8 for r in rows_])
-                place = np.minimum(np.searchsorted(hubs[hub], all_), len(hubs[hub]) - 1)
-                hits = np.concatenate([[0], np.cumsum(hubs[hub][place] == all_)])
-                ends = np.cumsum(sizes)
-                common = hits[ends] - hits[ends - sizes]
-                near = common >= threshold * (sizes + len(hubs[hub]) - common) - 1e-9
-                alike += [(r, hub) for r, ok in zip(rows_, near.tolist()) if ok]
+                near = _alike(hubs[hub], [own[r] for r in rows_], threshold)
+                alike += [(r, hub) for r, ok in zip(rows_, near.tolist(), strict=True) if ok]
             return pa.table([pa.array([p[k] for p in alike], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         return self.rows.groupBy("run").cogroup(given.groupBy("run")).applyInArrow(judge, "a long, b long")
 
+    def compare_strays(self, own: DataFrame, threshold: float) -> DataFrame:
+        """Links (a, b) between classes, of buckets (key, row, run, label) that hold several.
+
+        No pairs are listed: a stray travels with its buckets to each run, which knows its own members of them. Of a
+        stray's links to one class of a run, one is returned for each part of the run's members.
+        """
+        sizes = own.groupBy("key", "label").agg(F.count("*").alias("size"))
+        largest = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("most"))
+        runs_of = own.groupBy("key").agg(F.collect_set("run").alias("targets"))
+        strays = (
+            own.join(largest, "key")
+            .where(F.col("label") != F.col("most.label"))
+            .join(runs_of, "key")
+            .groupBy("row", "run", "label")
+            .agg(F.array_distinct(F.flatten(F.collect_list("targets"))).alias("targets"), F.collect_set("key").alias("keys"))
+        )
+        asked = strays.select("row", "run", "label", "keys", F.explode("targets").alias("target"))
+
+        def send(rows: pa.Table, asked: pa.Table) -> pa.Table:
+            order = {r: n for n, r in enumerate(rows.column("row").to_pylist())}
+            at = [order[r] for r in asked.column("row").to_pylist()]
+            return pa.table(
+                [
+                    *(asked.column(c) for c in ("target", "row", "label")),
+                    asked.column("keys").cast(pa.list_(pa.int64())),
+                    rows.column("bag").take(pa.array(at, pa.int64())),
+                ],
+                names=["run", "row", "label", "keys", "bag"],
+            )
+
+        sent = self.rows.groupBy("run").cogroup(asked.groupBy("run")).applyInArrow(
+            send, "run long, row long, label long, keys array<long>, bag binary"
+        )
+        here = own.select("run", "row", "label", F.array("key").alias("keys"), F.lit(None).cast("binary").alias("bag"))
+
+        def judge(rows: pa.Table, given: pa.Table) -> pa.Table:
+            bag_of = dict(zip(rows.column("row").to_pylist(), rows.column("bag").to_pylist(), strict=True))
+            members: dict[int, list] = {}
+            strays = []
+            columns = (given.column(c).to_pylist() for c in ("row", "label", "keys", "bag"))
+            for row, label, keys, bag in zip(*columns, strict=True):
+                if bag is None:
+                    members.setdefault(keys[0], []).append((row, label))
+                else:
+                    strays.append((row, label, keys, bag))
+            links = []
+            for stray, label, keys, bag in strays:
+                others = sorted({m for key in keys for m in members.get(key, ()) if m[1] != label})
+                for at in range(0, len(others), 512):
+                    part = others[at : at + 512]
+                    near = _alike(np.frombuffer(bag, "<u8"), [bag_of[r] for r, _ in part], threshold)
+                    links += {other: (stray, r) for (r, other), ok in zip(part, near.tolist(), strict=True) if ok}.values()
+            return pa.table([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        given = sent.unionByName(here)
+        return self.rows.groupBy("run").cogroup(given.groupBy("run")).applyInArrow(judge, "a long, b long")
+
+
+def _alike(hub: np.ndarray, bags_: list[bytes], threshold: float) -> np.ndarray:
+    """Whether each of some multisets, as sorted unit hashes, has the similarity with the hub's."""
+    units_ = np.frombuffer(b"".join(bags_), "<u8")
+    sizes = np.array([len(b) // 8 for b in bags_])
+    place = np.minimum(np.searchsorted(hub, units_), len(hub) - 1)
+    hits = np.concatenate([[0], np.cumsum(hub[place] == units_)])
+    ends = np.cumsum(sizes)
+    common = hits[ends] - hits[ends - sizes]
+    return common >= threshold * (sizes + len(hub) - common) - 1e-9
+
 
 def near_duplicates(
     docs: DataFrame,
@@ -218,8 +281,8 @@ def near_duplicates(
     other. Repeated rows are copies. An empty table gives no rows. Other columns are ignored.
 
     Texts of equal multisets are one node. Nothing lists the pairs of a bucket: members meet one hub at a time, and after
-    some rounds only those outside the bucket's largest class are compared with the others. Multisets travel once for
-    each hub and run.
+    some rounds only strays, outside the bucket's largest class, are compared with the others. Multisets of hubs and
+    strays travel once to each run.
     """
     runs = Runs(texts(docs, doc_id, text, carry), "near_duplicates")
 
@@ -255,7 +318,7 @@ def near_duplicates(
     members = _write(exploded.join(shared, "key"), "bucket-members")
     compared = _Bags(runs, members.select("row", "run").distinct(), shingle)
 
-    labels, links, tested = None, None, None
+    labels, links = None, None
     for turn in range(HUB_ROUNDS + 1):
         own = members.withColumn("label", F.col("row"))
         if labels is not None:
@@ -263,17 +326,14 @@ def near_duplicates(
                 "label", F.coalesce("label", "row")
             )
             mixed = own.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-            own = own.join(mixed, "key")
-        pairs = _pairs_with_hubs(own, turn) if turn < HUB_ROUNDS else _pairs_left(own)
-        pairs = pairs.select("row", "run", "hub", "hub_run").distinct()
-        if tested is not None:
-            done = tested.select("row", "hub").union(tested.select("hub", "row"))
-            pairs = pairs.join(done, ["row", "hub"], "left_anti")
-        pairs = _write(pairs, "pairs")
-        if pairs.isEmpty():
+            own = _write(own.join(mixed, "key"), "mixed-buckets")
+        if own.isEmpty():
             break
-        tested = pairs if tested is None else tested.union(pairs)
-        found = _write(compared.compare(pairs, threshold), "links")
+        if turn < HUB_ROUNDS:
+            pairs = _write(_pairs_with_hubs(own, turn).select("row", "run", "hub", "hub_run").distinct(), "pairs")
+            found = _write(compared.compare(pairs, threshold), "links")
+        else:
+            found = _write(compared.compare_strays(own, threshold), "links")
         links = found if links is None else links.union(found)
         labels = components(links)
 
@@ -309,21 +369,6 @@ def _pairs_with_hubs(own: DataFrame, turn: int) -> DataFrame:
     )
 
 
-def _pairs_left(own: DataFrame) -> DataFrame:
-    """All pairs of different classes in a bucket; one of each pair is outside the bucket's largest class."""
-    sizes = own.groupBy("key", "label").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("most")).select("key", F.col("most.label").alias("main"))
-    marked = own.join(largest, "key")
-    strays = marked.where("label <> main").select(
-        "key", F.col("row").alias("hub"), F.col("run").alias("hub_run"), F.col("label").alias("hub_label")
-    )
-    return (
-        marked.join(strays, "key")
-        .where("label <> hub_label and (label = main or row < hub)")
-        .select("row", "run", "hub", "hub_run")
-    )
-
-
 @query()
 def op7_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept", "n_shingles")
