@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.registry import small_batches
 from corpusloom.session import scratch_path
 
 #: Bytes of text in a run, about; also sets the number of buckets and of shares.
@@ -33,6 +34,7 @@ class Runs:
 
     def __init__(self, rows: DataFrame, name: str):
         spark = rows.sparkSession
+        small_batches(spark, 200)
         size, count = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
         self.shares = max(4, -(-size // RUN_BYTES))
         together = max(1, count * RUN_BYTES // max(1, size))  # rows of a run

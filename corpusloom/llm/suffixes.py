@@ -63,7 +63,7 @@ def elected(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tu
     chosen = np.zeros(count, bool)
     chosen[at[np.cumsum(inside)[: len(at)] > 0]] = True
     places = np.flatnonzero(chosen)
-    return places, values[places]
+    return places, mix(values[places])  # elected hashes are small ones; mixed again they spread over the shares
 
 
 class _Run:
