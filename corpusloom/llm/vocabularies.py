@@ -71,6 +71,40 @@ def _as_ranks(spec: dict) -> tuple[dict[bytes, int], dict[str, int]] | None:
     return ranks, special
 
 
+def _general(content: bytes):
+    """ids of a text as the general library gives them, for any .json file."""
+    from tokenizers import Tokenizer
+
+    general = Tokenizer.from_str(content.decode())
+    general.no_truncation()
+    general.no_padding()
+    return lambda text: general.encode(text, add_special_tokens=False).ids
+
+
+def _piecewise(encoder):
+    """ids of a text whose pieces are split by another library, which has no limit on white space in a row."""
+    import regex
+
+    split = regex.compile(BYTE_LEVEL_PATTERN)
+    return lambda text: [i for piece in split.findall(text) for i in encoder._encode_single_piece(piece)]
+
+
+def _or_else(first, make):
+    """``first``, or what ``make`` returns where it gives up: the faster library does at a million white-space characters
+    in a row. ``make`` is called at the first such text."""
+    made = []
+
+    def ids(text: str) -> list[int]:
+        try:
+            return first(text)
+        except ValueError:
+            if not made:
+                made.append(make())
+            return made[0](text)
+
+    return ids
+
+
 class LibraryEncoder:
     """ids of a text as the library of the file gives them."""
 
@@ -85,14 +119,10 @@ class LibraryEncoder:
                 encoder = tiktoken.Encoding(
                     "own", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=plain[0], special_tokens=plain[1]
                 )
-                self.ids = lambda text: encoder.encode(text, allowed_special="all", disallowed_special=())
+                fast = lambda text: encoder.encode(text, allowed_special="all", disallowed_special=())
+                self.ids = _or_else(fast, lambda: _general(content))
             else:
-                from tokenizers import Tokenizer
-
-                general = Tokenizer.from_str(content.decode())
-                general.no_truncation()
-                general.no_padding()
-                self.ids = lambda text: general.encode(text, add_special_tokens=False).ids
+                self.ids = _general(content)
         elif kind == "model":
             import sentencepiece
 
@@ -104,7 +134,8 @@ class LibraryEncoder:
             plain = tiktoken.Encoding(
                 "own", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=parse_ranks(content), special_tokens={}
             )
-            self.ids = plain.encode_ordinary
+            # Not encode_ordinary, which panics where this raises an error; there are no special tokens.
+            self.ids = _or_else(lambda text: plain.encode(text, disallowed_special=()), lambda: _piecewise(plain))
         else:
             raise ValueError(f"unknown kind of vocabulary: {kind}")
 

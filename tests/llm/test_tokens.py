@@ -11,7 +11,7 @@ import pytest
 from corpusloom.llm.byte_pairs import MatrixEncoder, decode_documents, encode_documents, op2_byte_pairs
 from corpusloom.llm.packing import SumOfSquares, op5_packing, pack_documents
 from corpusloom.llm.token_counts import count_tokens, op6_token_counts
-from corpusloom.llm.vocabularies import parse_ranks
+from corpusloom.llm.vocabularies import LibraryEncoder, _piecewise, parse_ranks
 
 SF = "/root/testdata/sf0.001"
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -213,3 +213,20 @@ def test_long_words_of_letters(ranked):
     words = [bytes(rng.choice(list(b"etaoinshrdlu"), int(n))) for n in (600, 900, 3000)]
     for word in words:
         assert np.frombuffer(encoder.encode([word])[0], "<u4").tolist() == ranked.encode_ordinary(word.decode())
+
+
+def test_a_million_white_space_characters(spark, library, ranked, tmp_path):
+    n = 1_200_000
+    texts = [(1, " " * n), (2, "\n" * n), (3, "a" + " " * n + "b <|endoftext|>"), (4, "x\n" + "\n \t" * (n // 3) + "y it's")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    check_counts(count_tokens(rows, JSON, str(tmp_path / "c")).collect(), texts, library)
+    check_packing(
+        pack_documents(rows, JSON).selectExpr("*", "crc32(ids) as ids_crc32").collect(), texts, library
+    )
+    counts = {r.doc_id: r.n_tokens for r in count_tokens(rows, RANKS, str(tmp_path / "c")).collect()}
+    # What the library gives below its limit tells what it would give above.
+    assert [len(ranked.encode_ordinary(c * (n // 2))) for c in " \n"] == [counts[1] // 2, counts[2] // 2]
+    short = LibraryEncoder(open(RANKS, "rb").read(), "tiktoken")
+    other = _piecewise(ranked)
+    for text in (t or "" for _, t, _ in ODD):
+        assert short.ids(text) == other(text) == ranked.encode_ordinary(text)
