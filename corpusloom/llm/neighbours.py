@@ -48,7 +48,7 @@ class Index:
         self.rotation = np.linalg.qr(rng.standard_normal((self.dim, self.dim)))[0]
         placed = self.place(sample)
         self.centres = _centres(placed, lists, rng)
-        self.probes = probes or self._calibrate(placed, k, recall, rng)
+        self.probes = probes or self._calibrate(sample, placed, k, recall, rng)
 
     def place(self, vectors: np.ndarray) -> np.ndarray:
         """Lengthened and rotated vectors."""
@@ -67,15 +67,17 @@ class Index:
         some = np.argpartition(far, count - 1, axis=1)[:, :count]
         return np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, 1), axis=1, kind="stable"), 1)
 
-    def _calibrate(self, placed: np.ndarray, k: int, recall: float, rng) -> int:
+    def _calibrate(self, sample: np.ndarray, placed: np.ndarray, k: int, recall: float, rng) -> int:
         """Lists to probe so that queries drawn from the sample find the wanted share of their neighbours in it.
 
-        The sample is sparser than the table, so its neighbours lie further apart and over more lists.
+        They are placed as queries are, which is another place than their own as data unless all lengths are equal. The
+        sample is sparser than the table, so its neighbours lie further apart and over more lists.
         """
         asked = rng.permutation(len(placed))[:400]
+        queries = self.place_query(sample[asked])
         own = self.nearest_lists(placed, 1)[:, 0]
-        ranks = np.argsort(np.argsort(_distances(placed[asked], self.centres), axis=1), axis=1)
-        far = _distances(placed[asked], placed)
+        ranks = np.argsort(np.argsort(_distances(queries, self.centres), axis=1), axis=1)
+        far = _distances(queries, placed)
         far[np.arange(len(asked)), asked] = np.inf
         k = min(k, len(placed) - 1)
         if k < 1:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from corpusloom.llm.neighbours import adaptive_scan, exact_scores, nearest, op1_neighbours
+from corpusloom.llm.neighbours import SAMPLE, Index, adaptive_scan, exact_scores, nearest, op1_neighbours
 
 
 def brute(rows, k, every=20):
@@ -72,3 +72,22 @@ def test_scan_abandons_most_and_keeps_the_nearest():
         assert len(near & set(which[of == q].tolist())) >= 19
     assert len(of) <= 5 * 41
     assert len(adaptive_scan(columns, points, np.full(5, np.inf), 2.1)[0]) == 5 * 4000
+
+
+def mixed(n, sigma, seed=1, dim=64):
+    """Random directions with lognormal lengths."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True) * np.exp(sigma * rng.standard_normal((n, 1)))
+
+
+@pytest.mark.parametrize("sigma", [0.0, 0.3, 0.5])
+def test_probed_lists_hold_the_neighbours_whatever_the_lengths(sigma):
+    x = mixed(40_000, sigma)
+    index = Index(x[:SAMPLE], np.linalg.norm(x, axis=1).max() * (1 + 1e-12), 20, None, 20, 0.99, 7)
+    own = index.nearest_lists(index.place(x), 1)[:, 0]
+    scores = x[:300] @ x.T
+    scores[np.arange(300), np.arange(300)] = -np.inf
+    near = np.argpartition(-scores, 20, axis=1)[:, :20]
+    probed = index.nearest_lists(index.place_query(x[:300]), index.probes)
+    assert (own[near][:, :, None] == probed[:, None]).any(axis=2).mean() >= 0.97
