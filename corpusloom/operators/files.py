@@ -1,5 +1,7 @@
 """File listings: pruning, trees, handlers, languages, lookups."""
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from corpusloom.functions.paths import (
     ignored,
     suffix,
 )
+from corpusloom.operators.language_names import LANGUAGE_BY_ENDING, LANGUAGE_BY_NAME
 from corpusloom.operators.languages import DEFAULT_LANGUAGES, language_of
 
 # fixed values: messages of the path lookup
@@ -18,86 +21,6 @@ NOT_FOUND = "File not found: "
 IS_DIRECTORY = "This is not a file, but a directory, pass a filepath instead: "
 UNKNOWN_LANGUAGE = "Unknown language for file extension: "
 
-# fixed values: display names of languages by full file name and by ending
-LANGUAGE_BY_NAME = {
-    "CMakeLists.txt": "CMake",
-    "Dockerfile": "Docker",
-    "GNUmakefile": "Makefile",
-    "Gemfile": "Ruby",
-    "Jenkinsfile": "Groovy",
-    "Makefile": "Makefile",
-    "Rakefile": "Ruby",
-    "Vagrantfile": "Ruby",
-    "makefile": "Makefile",
-}
-LANGUAGE_BY_ENDING = {
-    ".bash": "Bash",
-    ".bat": "Batchfile",
-    ".c": "C",
-    ".cc": "C++",
-    ".clj": "Clojure",
-    ".cmake": "CMake",
-    ".cpp": "C++",
-    ".cs": "C#",
-    ".css": "CSS",
-    ".dart": "Dart",
-    ".diff": "Diff",
-    ".ex": "Elixir",
-    ".exs": "Elixir",
-    ".fs": "FSharp",
-    ".go": "Go",
-    ".gradle": "Groovy",
-    ".graphql": "GraphQL",
-    ".groovy": "Groovy",
-    ".h": "C",
-    ".h++": "C++",
-    ".hpp": "C++",
-    ".hs": "Haskell",
-    ".htm": "HTML",
-    ".html": "HTML",
-    ".ini": "INI",
-    ".java": "Java",
-    ".jl": "Julia",
-    ".js": "JavaScript",
-    ".json": "JSON",
-    ".kt": "Kotlin",
-    ".less": "LessCss",
-    ".lua": "Lua",
-    ".m": "Objective-C",
-    ".markdown": "Markdown",
-    ".md": "Markdown",
-    ".mjs": "JavaScript",
-    ".ml": "OCaml",
-    ".nix": "Nix",
-    ".patch": "Diff",
-    ".php": "PHP",
-    ".pl": "Perl",
-    ".proto": "Protocol Buffer",
-    ".ps1": "PowerShell",
-    ".py": "Python",
-    ".pyi": "Python",
-    ".r": "S",
-    ".rb": "Ruby",
-    ".rs": "Rust",
-    ".rst": "reStructuredText",
-    ".sass": "Sass",
-    ".scala": "Scala",
-    ".scss": "SCSS",
-    ".sh": "Bash",
-    ".sql": "Transact-SQL",
-    ".swift": "Swift",
-    ".tex": "TeX",
-    ".tf": "Terraform",
-    ".toml": "TOML",
-    ".ts": "TypeScript",
-    ".tsx": "TypeScript",
-    ".txt": "Text only",
-    ".vue": "Vue",
-    ".xml": "XML",
-    ".yaml": "YAML",
-    ".yml": "YAML",
-}
-
 
 def _pruned(path: Column, rules: list[IgnoreRule]) -> Column:
     return F.exists(
@@ -174,17 +97,26 @@ def detect_language(
     by_ending: dict[str, str] = LANGUAGE_BY_ENDING,
 ) -> DataFrame:
     """B2: display name of the language by the full file name, else by its ending, or a message naming the unknown
-    ending. The two tables ship with the package, so the answer is the same on every machine."""
-    ending = suffix(F.col(path))
-
-    def named(table: dict[str, str], key: Column) -> Column:
+    ending. An ending may have several dots, and a key with a star is a pattern for the file name; where several fit, the
+    last in the table counts. The two tables ship with the package, so the answer is the same on every machine."""
+    base = base_name(F.col(path))
+    places = {key: n for n, key in enumerate(by_ending)}
+    endings = {key: n for key, n in places.items() if "*" not in key}
+    patterns = {key: n for key, n in places.items() if "*" in key}
+
+    def found(table: dict, key: Column) -> Column:
+        if not table:
+            return F.lit(None)
         pairs = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
         return F.try_element_at(pairs, key)
 
-    message = F.concat(F.lit(UNKNOWN_LANGUAGE), ending)
-    return files.withColumn(
-        "language_name", F.coalesce(named(by_name, base_name(F.col(path))), named(by_ending, ending), message)
-    )
+    dots = max((key.count(".") for key in endings), default=0)
+    fits = [found(endings, F.regexp_extract(base, rf"((?:\.[^.]*){{{n}}})\z", 1)) for n in range(1, dots + 1)]
+    fits += [F.when(base.rlike("(?s)^" + ".*".join(map(re.escape, key.split("*"))) + r"\z"), n) for key, n in patterns.items()]
+    last = F.array_max(F.array(*fits, F.lit(None).cast("int")))
+    by_place = found(dict(enumerate(by_ending.values())), last)
+    message = F.concat(F.lit(UNKNOWN_LANGUAGE), suffix(F.col(path)))
+    return files.withColumn("language_name", F.coalesce(found(by_name, base), by_place, message))
 
 
 def requested_text(requests: DataFrame, texts: DataFrame, value: str) -> DataFrame:

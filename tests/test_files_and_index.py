@@ -91,6 +91,18 @@ def test_names_fall_back(spark):
     }
 
 
+def test_languages_of_the_whole_catalogue(spark):
+    names = {
+        "a.cxx": "C++", "a.hh": "C++", "a.erl": "Erlang", "a.f90": "Fortran", "a.vb": "VB.net", "a.pas": "Delphi",
+        "a.lisp": "Common Lisp", "a.asm": "NASM", "a.cfg": "INI", "a.zsh": "Bash", "a.php4": "PHP", "a.7": "Groff",
+        "t/a.html.j2": "HTML+Django/Jinja", "a.b.sql.j2": "SQL+Jinja", ".py": "Python", ".bashrc": "Bash", "b/BUILD": "Python",
+        "Makefile.am": "Makefile", "Makefile.py": "Python", "Kconfig.debug": "Kconfig", "ASpec.hs": "Hspec",
+        "a.PY": "Unknown language for file extension: .PY", "b.c/x": "Unknown language for file extension: ",
+    }
+    got = {r["path"]: r["language_name"] for r in ops.detect_language(paths(spark, *names), "path").collect()}
+    assert got == names
+
+
 def test_store_moves_the_pointer(spark):
     path = scratch_path(spark, "store")
     assert current_version(spark, path) is None and load_index(spark, path, "m").count() == 0
