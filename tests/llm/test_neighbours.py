@@ -1,9 +1,11 @@
 """Neighbours against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from corpusloom.llm.neighbours import SAMPLE, Index, adaptive_scan, exact_scores, nearest, op1_neighbours
+from corpusloom.llm.neighbours import KNOWN, LIST_ROWS, SAMPLE, Index, adaptive_scan, exact_scores, nearest, op1_neighbours
 
 
 def brute(rows, k, every=20):
@@ -91,3 +93,25 @@ def test_probed_lists_hold_the_neighbours_whatever_the_lengths(sigma):
     near = np.argpartition(-scores, 20, axis=1)[:, :20]
     probed = index.nearest_lists(index.place_query(x[:300]), index.probes)
     assert (own[near][:, :, None] == probed[:, None]).any(axis=2).mean() >= 0.97
+
+
+@pytest.mark.parametrize("sigma", [0.0, 0.5])
+def test_recall_far_above_the_known_rows(spark, sigma):
+    """Many lists, default probes and strictness; also of the neighbours that only the scan can find."""
+    x = mixed(60_000, sigma).astype(np.float32)
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
+    columns = {"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": flat}
+    rows = spark.createDataFrame(pa.table(columns)).repartition(8)
+    got = found(nearest(rows, rows.where("vec_id % 200 = 0")).collect())
+    known = {r[0] for r in rows.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(KNOWN).collect()}
+    assert len(got) == 300 and len(x) > 7 * KNOWN and len(x) > 20 * LIST_ROWS
+    x, wanted, scanned = x.astype(float), [], []
+    for q, near in got.items():
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        mine = {i for i, _ in near}
+        for i in np.argpartition(-scores, 20)[:20].tolist():
+            wanted.append(i in mine)
+            if i not in known:
+                scanned.append(i in mine)
+    assert np.mean(wanted) >= 0.95 and np.mean(scanned) >= 0.95
