@@ -1,8 +1,9 @@
 """How the words of a source differ from those of other sources and of its whole language.
 
-Terms travel as 64-bit digests; their texts stay in the table of counts that the documents' tasks write. Of the digests that
-are kept, the least and the greatest text are compared: where they differ, the digest is split by text. Texts come back only
-for the rows of the result. All arithmetic is exact.
+A first pass sums digests of terms alone and leaves a filter of fixed size, so rare terms don't leave their task in the
+second. That one writes counts by 64-bit digests, which are summed without the terms' texts. The least and the greatest text
+of a digest are compared: where they differ, the digest is split by text. Texts come back only for the rows of the result.
+All arithmetic is exact.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = bytes.maketrans(UPPER, LOWER)
 #: Bytes of a text that are cut into terms at a time, and terms that a task holds before it hands them on.
-SLICE, HELD = 1 << 20, 200_000
+SLICE, HELD = 1 << 20, 500_000
+#: Bits of the filter of terms that may be kept: 8 MB.
+FILTER_BITS = 26
 #: Cells of the matrix of terms and sources that a task works on at a time.
 CELLS = 1 << 20
 #: Probabilities are whole numbers of a billionth, and every term counts two more than it occurs.
@@ -46,13 +49,64 @@ def slices(text: bytes):
         at = upto
 
 
-def _counted(digest_bits: int):
+def _documents_of_terms(batches):
+    """(key, df): in how many documents a task has seen the terms of a language, by a digest of both."""
+
+    def write(held: dict):
+        for lang, within in held.items():
+            keys = np.array([_key(lang, t) for t in within], np.uint64)
+            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(within.values(), pa.int64())], names=["key", "df"])
+
+    held, size = {}, 0
+    for batch in batches:
+        for lang, text in zip(batch.column("lang"), batch.column("text")):
+            within, seen = held.setdefault(lang.as_py(), Counter()), set()
+            size -= len(within)
+            for piece in slices(text.as_py().encode().translate(TO_LOWER)):
+                seen.update(TERM.findall(piece))
+            within.update(seen)
+            size += len(within)
+            if size > HELD:
+                yield from write(held)
+                held, size = {}, 0
+    yield from write(held)
+
+
+def _key(lang: str, term: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + term)
+
+
+def _frequent(rows: DataFrame, least: int) -> np.ndarray:
+    """Bits of the keys in at least ``least`` documents, at their lowest FILTER_BITS bits.
+
+    What has its bit set may be kept; what has not is not, and need not leave its task. At most 2**FILTER_BITS bits come to
+    the driver, by words of 64.
+    """
+    keys = rows.select("lang", "text").mapInArrow(_documents_of_terms, "key long, df long")
+    bit = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = (
+        keys.groupBy("key")
+        .agg(F.sum("df").alias("df"))
+        .where(F.col("df") >= least)
+        .groupBy(F.shiftright(bit, 6).alias("word"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+        .toArrow()
+    )
+    found = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    found[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return found.view(np.uint64)
+
+
+def _counted(frequent, digest_bits: int):
     """Terms with their occurrences and documents, by lang and source, as a task has seen them since it last wrote any."""
     shift = 64 - digest_bits
 
     def write(held: dict):
         for (lang, source), (occurs, within) in held.items():
             terms = list(occurs)
+            keys = np.array([_key(lang, t) for t in terms], np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+            may = frequent.value[keys >> np.uint64(6)] >> (keys & np.uint64(63)) & np.uint64(1)
+            terms = [terms[n] for n in np.flatnonzero(may)]
             digests = np.array([xxhash.xxh3_64_intdigest(t) >> shift for t in terms], np.uint64)
             yield pa.record_batch(
                 [
@@ -60,7 +114,7 @@ def _counted(digest_bits: int):
                     pa.repeat(source, len(terms)),
                     pa.array(digests.view(np.int64)),
                     pa.array(terms, pa.binary()).cast(pa.string()),
-                    pa.array(occurs.values(), pa.int64()),
+                    pa.array([occurs[t] for t in terms], pa.int64()),
                     pa.array([within[t] for t in terms], pa.int64()),
                 ],
                 names=[c.split()[0] for c in COUNTS.split(", ")],
@@ -71,17 +125,18 @@ def _counted(digest_bits: int):
         for batch in batches:
             for lang, source, text in zip(*(batch.column(c) for c in ("lang", "source", "text"))):
                 occurs, within = held.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
-                before, seen = len(occurs), set()
+                size -= len(occurs)
+                seen = set()
                 for piece in slices(text.as_py().encode().translate(TO_LOWER)):
                     found = TERM.findall(piece)
                     occurs.update(found)
                     seen.update(found)
                 within.update(seen)
-                size += len(occurs) - before
-                if size > HELD or len(text.as_buffer() or b"") > SLICE:
-                    yield from write({k: v for k, v in held.items() if v[0]})
+                size += len(occurs)
+                if size > HELD:
+                    yield from write(held)
                     held, size = {}, 0
-        yield from write({k: v for k, v in held.items() if v[0]})
+        yield from write(held)
 
     return count
 
@@ -165,7 +220,7 @@ def source_divergence(
     repeated rows are documents of their own. An empty table gives no rows. Other columns are ignored.
 
     Tasks count their own terms first, so a language or source that a third of all rows have costs a row for each of its
-    terms and tasks. A text is cut into slices of 1 MB between terms, a task holds 200,000 terms. Pairs take as many steps
+    terms and tasks. A text is cut into slices of 1 MB between terms, a task holds 500,000 terms and those of one text. Pairs take as many steps
     as terms times pairs; a task holds a number for each pair. ``digest_bits`` shortens digests, for tests of splitting.
     """
     spark = docs.sparkSession
@@ -182,16 +237,15 @@ def source_divergence(
     numbered = kept_at(
         "groups", rows.select("lang", "source").distinct().withColumn("no", F.row_number().over(by_source) - 1)
     )
+    frequent = spark.sparkContext.broadcast(_frequent(rows, least))
     counts = join_few(
-        kept_at("counts", rows.mapInArrow(_counted(digest_bits), COUNTS)), numbered, ["lang", "source"]
+        kept_at("counts", rows.mapInArrow(_counted(frequent, digest_bits), COUNTS)), numbered, ["lang", "source"]
     ).drop("source")
 
     whole = kept_at("terms", _by_lang(counts.withColumn("split", F.lit("")), least))
     names = kept_at(
         "names",
-        counts.select("digest", "term")
-        .join(whole.select("digest").distinct(), "digest", "left_semi")
-        .groupBy("digest")
+        counts.groupBy("digest")
         .agg(F.min("term").alias("low"), F.max("term").alias("high")),
     )
     clashes = names.where(F.col("low") < F.col("high")).select("digest")
