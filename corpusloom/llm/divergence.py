@@ -19,14 +19,16 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.rows import join_few
 from corpusloom.llm.registry import query, table
+from corpusloom.llm.words import buffer_of
 from corpusloom.session import scratch_path
 
 #: In UTF-8 these bytes are a longest run of ASCII letters and of characters from U+0080 on.
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
-UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
-TO_LOWER = bytes.maketrans(UPPER, LOWER)
-#: Bytes of a text that are cut into terms at a time, and terms that a task holds before it hands them on.
-SLICE, HELD = 1 << 20, 500_000
+TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Bytes of terms in lower case; 0 for all others.
+_LETTERS = np.array([c if TERM.match(bytes([c])) else 0 for c in bytes(range(256)).translate(TO_LOWER)], np.uint8)
+#: Bytes of texts that a task counts at a time, and of slices of a longer text.
+PART, SLICE = 16 << 20, 1 << 20
 #: Bits of the filter of terms that may be kept: 8 MB.
 FILTER_BITS = 26
 #: Cells of the matrix of terms and sources that a task works on at a time.
@@ -49,31 +51,70 @@ def slices(text: bytes):
         at = upto
 
 
-def _documents_of_terms(batches):
-    """(key, df): in how many documents a task has seen the terms of a language, by a digest of both."""
+def _terms_of(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The terms of some texts in order, and the numbers of their texts."""
+    data, offsets = buffer_of(column)
+    letters = _LETTERS[data]
+    inside = letters > 0
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    filled = np.diff(offsets) > 0
+    begins[offsets[:-1][filled]] = inside[offsets[:-1][filled]]
+    ends[offsets[1:][filled] - 1] = inside[offsets[1:][filled] - 1]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    edges = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+    terms = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(letters[inside])])
+    return terms.dictionary_encode(), np.searchsorted(offsets, start, "right") - 1
+
+
+def _long_text(text: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The distinct terms of a text and their occurrences, from slices of it."""
+    occurs: Counter = Counter()
+    for piece in slices(text):
+        occurs.update(TERM.findall(piece.translate(TO_LOWER)))
+    return pa.array(list(occurs), pa.binary()), np.array(list(occurs.values()), np.int64)
+
+
+def _occurrences(batches, by: list[str]):
+    """(groups, group, terms, term, tf, df): for each part of the texts, what each group of the columns ``by`` has of each
+    term; ``group`` and ``term`` are places in ``groups`` and ``terms``."""
+    for batch in batches:
+        sizes = np.diff(buffer_of(batch.column("text"))[1])
+        part = np.cumsum(sizes) // PART
+        cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1) != 0)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            rows = pa.table({c: batch.column(c).slice(a, b - a) for c in by}).group_by(by, use_threads=False).aggregate([])
+            place = {tuple(r.values()): n for n, r in enumerate(rows.to_pylist())}
+            group = np.array([place[r] for r in zip(*(batch.column(c).slice(a, b - a).to_pylist() for c in by))], np.int64)
+            if b - a == 1 and sizes[a] > PART:
+                terms, tf = _long_text(batch.column("text")[int(a)].as_buffer().to_pybytes())
+                yield rows, np.zeros(len(terms), np.int64), terms, np.arange(len(terms)), tf, np.ones(len(terms), np.int64)
+                continue
+            coded, text = _terms_of(batch.column("text").slice(a, b - a))
+            terms, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            n = max(1, len(terms))
+            found, tf = np.unique(group[text] * n + code, return_counts=True)
+            once = np.sort(text * n + code)
+            once = once[np.diff(once, prepend=-1) != 0]  # a term counts once for each text
+            _, df = np.unique(group[once // n] * n + once % n, return_counts=True)
+            yield rows, found // n, terms, found % n, tf, df
+
+
+def _digests(terms: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(t) for t in terms.to_pylist()], np.uint64)
 
-    def write(held: dict):
-        for lang, within in held.items():
-            keys = np.array([_key(lang, t) for t in within], np.uint64)
-            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(within.values(), pa.int64())], names=["key", "df"])
 
-    held, size = {}, 0
-    for batch in batches:
-        for lang, text in zip(batch.column("lang"), batch.column("text")):
-            within, seen = held.setdefault(lang.as_py(), Counter()), set()
-            size -= len(within)
-            for piece in slices(text.as_py().encode().translate(TO_LOWER)):
-                seen.update(TERM.findall(piece))
-            within.update(seen)
-            size += len(within)
-            if size > HELD:
-                yield from write(held)
-                held, size = {}, 0
-    yield from write(held)
+def _documents_of_terms(batches):
+    """(key, df): in how many documents of a part the terms of a language are, by a digest of both."""
+    for rows, group, terms, term, _, df in _occurrences(batches, ["lang"]):
+        keys = _digests(terms)[term] ^ _salts(rows)[group]
+        yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(df, pa.int64())], names=["key", "df"])
 
 
-def _key(lang: str, term: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + term)
+def _salts(rows: pa.Table) -> np.ndarray:
+    """A digest of each group's language."""
+    return np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in rows.column("lang").to_pylist()], np.uint64)
 
 
 def _frequent(rows: DataFrame, least: int) -> np.ndarray:
@@ -98,46 +139,25 @@ def _frequent(rows: DataFrame, least: int) -> np.ndarray:
 
 
 def _counted(frequent, digest_bits: int):
-    """Terms with their occurrences and documents, by lang and source, as a task has seen them since it last wrote any."""
-    shift = 64 - digest_bits
-
-    def write(held: dict):
-        for (lang, source), (occurs, within) in held.items():
-            terms = list(occurs)
-            keys = np.array([_key(lang, t) for t in terms], np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
-            may = frequent.value[keys >> np.uint64(6)] >> (keys & np.uint64(63)) & np.uint64(1)
-            terms = [terms[n] for n in np.flatnonzero(may)]
-            digests = np.array([xxhash.xxh3_64_intdigest(t) >> shift for t in terms], np.uint64)
+    """Terms with their occurrences and documents in a part, by lang and source."""
+
+    def count(batches):
+        for rows, group, terms, term, tf, df in _occurrences(batches, ["lang", "source"]):
+            digests = _digests(terms)
+            keys = (digests[term] ^ _salts(rows)[group]) & np.uint64((1 << FILTER_BITS) - 1)
+            may = np.flatnonzero(frequent.value[keys >> np.uint64(6)] >> (keys & np.uint64(63)) & np.uint64(1))
+            digests = digests >> np.uint64(64 - digest_bits)
             yield pa.record_batch(
                 [
-                    pa.repeat(lang, len(terms)),
-                    pa.repeat(source, len(terms)),
-                    pa.array(digests.view(np.int64)),
-                    pa.array(terms, pa.binary()).cast(pa.string()),
-                    pa.array([occurs[t] for t in terms], pa.int64()),
-                    pa.array([within[t] for t in terms], pa.int64()),
+                    *(rows.column(c).combine_chunks().take(pa.array(group[may])) for c in ("lang", "source")),
+                    pa.array(digests[term[may]].view(np.int64)),
+                    terms.take(pa.array(term[may])).cast(pa.string()),
+                    pa.array(tf[may], pa.int64()),
+                    pa.array(df[may], pa.int64()),
                 ],
                 names=[c.split()[0] for c in COUNTS.split(", ")],
             )
 
-    def count(batches):
-        held, size = {}, 0
-        for batch in batches:
-            for lang, source, text in zip(*(batch.column(c) for c in ("lang", "source", "text"))):
-                occurs, within = held.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
-                size -= len(occurs)
-                seen = set()
-                for piece in slices(text.as_py().encode().translate(TO_LOWER)):
-                    found = TERM.findall(piece)
-                    occurs.update(found)
-                    seen.update(found)
-                within.update(seen)
-                size += len(occurs)
-                if size > HELD:
-                    yield from write(held)
-                    held, size = {}, 0
-        yield from write(held)
-
     return count
 
 
@@ -220,7 +240,7 @@ def source_divergence(
     repeated rows are documents of their own. An empty table gives no rows. Other columns are ignored.
 
     Tasks count their own terms first, so a language or source that a third of all rows have costs a row for each of its
-    terms and tasks. A text is cut into slices of 1 MB between terms, a task holds 500,000 terms and those of one text. Pairs take as many steps
+    terms and parts of 16 MB of text. A longer text is cut into slices of 1 MB between terms; its distinct terms are held. Pairs take as many steps
     as terms times pairs; a task holds a number for each pair. ``digest_bits`` shortens digests, for tests of splitting.
     """
     spark = docs.sparkSession
@@ -238,15 +258,13 @@ def source_divergence(
         "groups", rows.select("lang", "source").distinct().withColumn("no", F.row_number().over(by_source) - 1)
     )
     frequent = spark.sparkContext.broadcast(_frequent(rows, least))
-    counts = join_few(
-        kept_at("counts", rows.mapInArrow(_counted(frequent, digest_bits), COUNTS)), numbered, ["lang", "source"]
-    ).drop("source")
+    written = kept_at("counts", rows.mapInArrow(_counted(frequent, digest_bits), COUNTS))
+    counts = join_few(written, numbered, ["lang", "source"]).drop("source")
 
     whole = kept_at("terms", _by_lang(counts.withColumn("split", F.lit("")), least))
     names = kept_at(
         "names",
-        counts.groupBy("digest")
-        .agg(F.min("term").alias("low"), F.max("term").alias("high")),
+        written.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high"))
     )
     clashes = names.where(F.col("low") < F.col("high")).select("digest")
     apart = _by_lang(join_few(counts, clashes, ["digest"], "left_semi").withColumn("split", F.col("term")), least)

@@ -86,7 +86,6 @@ def test_large_counts(spark):
 
 def test_slices_cut_no_term(monkeypatch):
     monkeypatch.setattr(divergence, "SLICE", 7)
-    monkeypatch.setattr(divergence, "HELD", 3)
     for text in ("", "abc", "abcdefghijklmnop q", "a b c d e f g h i jklmnopqrstuvw xyz" * 3, "é" * 30 + " x"):
         data = text.encode()
         found = [t for piece in divergence.slices(data) for t in divergence.TERM.findall(piece)]
@@ -94,6 +93,25 @@ def test_slices_cut_no_term(monkeypatch):
         assert b"".join(divergence.slices(data)) == data
 
 
+def test_parts(monkeypatch):
+    """Texts counted in one part, in many, and as long ones, give the same sums."""
+    texts = ["a B a", "", "ab", "É c", "c" * 40 + " a a", None, "x-1", "a"]
+    batch = divergence.pa.record_batch(
+        [divergence.pa.array(x) for x in (["l"] * 8, ["s", "t"] * 4, [t or "" for t in texts])], names=["lang", "source", "text"]
+    )
+    sums = []
+    for part in (1 << 20, 3, 8):
+        monkeypatch.setattr(divergence, "PART", part)
+        total = Counter()
+        for rows, group, terms, term, tf, df in divergence._occurrences([batch], ["lang", "source"]):
+            for g, t, *n in zip(group, term, tf, df):
+                for kind, x in zip(("tf", "df"), n):
+                    total[rows.column("source")[int(g)].as_py(), terms[int(t)].as_py(), kind] += int(x)
+        sums.append(total)
+    assert sums[0] == sums[1] == sums[2]
+    assert sums[0]["s", b"a", "tf"] == 4 and sums[0]["s", b"a", "df"] == 2 and sums[0]["t", "É".encode(), "tf"] == 1
+
+
 def test_digests_only_are_counted(spark):
     """Sums of occurrences are exchanged by digest; no text of a term is in them."""
     counts = spark.createDataFrame([(0, 1, "", "t", 1, 1, "en")], "no int, digest long, split string, term string, tf long, df long, lang string")
