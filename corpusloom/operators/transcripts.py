@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.epochs import STEPS_SQL, Rule, follow_ranges, scan_fronts, scan_ranges
 from corpusloom.functions.ranking import running_sum
 from corpusloom.functions.text import strip_space
-from corpusloom.session import cut_lineage
+from corpusloom.session import scratch_path
 
 MEMORY_TOKENS = 4000  # fixed value: budget that triggers a compression
 AGENT_STEPS = 10  # fixed value: steps an agent may take
@@ -28,78 +29,49 @@ def memory_epochs(
     cost: str = "cost",
     key: str = "conv_id",
     turn: str = "turn",
+    ranges: int | None = None,
 ) -> DataFrame:
     """H1: (key, turn, total, epoch, compressed) per added message.
 
     ``total`` is the memory size when the message has been added. A message that brings it to the threshold
     compresses the memory to ``base_tokens + summary_tokens``. Costs are integers of 0 or more, a NULL cost is 0;
-    turns are unique integers within a conversation.
+    turns are unique integers within a conversation. Messages without key are one conversation.
 
-    No conversation is gathered. Running totals never fall, so the compression after one at turn i is the first
-    turn whose total reaches ``total(i) + threshold - base - summary``. These pointers are found per bucket of
-    totals; following them from the first compression, with pointers of doubled length each round, marks all
-    compressions in logarithmically many joins.
+    Messages are sorted by key and turn over all tasks, and the order is cut into ``ranges`` (as many as the engine
+    chooses), wherever a conversation is. A range counts all conversations that begin in it. Of the one in front it makes a
+    step function from the memory at entry to the memory at the end; the functions of a conversation's ranges, some dozens of
+    numbers each, are followed in order, and then the messages in front are counted with the memory they meet. So the
+    longest conversation costs one lookup for each range.
     """
-    costs = messages.select(key, turn, F.coalesce(F.col(cost).cast("long"), F.lit(0)).alias("_cost"))
-    points = cut_lineage(
-        running_sum(costs, key, turn, "_cost", "_sum").select(key, F.col(turn).cast("long").alias("_turn"), "_sum")
+    rule = Rule(threshold, base_tokens, base_tokens + summary_tokens)
+    spark, kind = messages.sparkSession, messages.schema[key].dataType.simpleString()
+    costs = messages.select(
+        F.col(key).alias("key"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(cost).cast("long"), F.lit(0)).alias("cost")
     )
-    reach = threshold - base_tokens - summary_tokens
-    found = _compressions(points, key, threshold - base_tokens, reach, max(threshold, 1))
-    flagged = points.join(found.withColumn("_hit", F.lit(1)), [key, "_turn"], "left").withColumn(
-        "_hit", F.coalesce("_hit", F.lit(0))
+    cut = [F.col("key"), F.col("turn")] if ranges is None else [ranges, F.col("key"), F.col("turn")]
+    path = scratch_path(spark, "epochs")
+    counted = f"key {kind}, turn long, total long, epoch int, compressed boolean"
+    schema = f"part int, {counted}, cost long, steps {STEPS_SQL}"
+    ordered = costs.repartitionByRange(*cut).sortWithinPartitions("key", "turn")
+    ordered.mapInArrow(scan_ranges(rule), schema).write.parquet(path)
+    rows = spark.read.schema(schema).parquet(path)
+    names = ["key", "turn", "total", "epoch", "compressed"]
+    edges = rows.where("steps is not null").select("part", "key", "steps")
+    entries = (
+        edges.repartition("key")
+        .sortWithinPartitions("key", "part")
+        .mapInArrow(follow_ranges(rule), "part int, in_total long, in_epoch long")
     )
-    counted = running_sum(flagged, key, "_turn", "_hit", "_count")
-    starts = counted.filter(F.col("_hit") == 1).select(
-        key, F.col("_count").alias("_epoch"), F.col("_sum").alias("_start")
+    fronts = (
+        rows.where("cost is not null")
+        .select("part", "key", "turn", "cost")
+        .join(F.broadcast(entries), "part")  # one row for each range
+        .repartition("part")
+        .sortWithinPartitions("part", "turn")
+        .mapInArrow(scan_fronts(rule), counted)
     )
-    placed = counted.withColumn("_epoch", F.col("_count") - F.col("_hit")).join(starts, [key, "_epoch"], "left")
-    total = F.when(F.col("_start").isNull(), F.col("_sum") + base_tokens).otherwise(
-        F.col("_sum") - F.col("_start") + base_tokens + summary_tokens
-    )
-    return placed.select(
-        key,
-        F.col("_turn").alias(turn),
-        total.cast("long").alias("total"),
-        F.col("_epoch").cast("int").alias("epoch"),
-        (F.col("_hit") == 1).alias("compressed"),
-    )
-
-
-def _compressions(points: DataFrame, key: str, first_at: int, reach: int, width: int) -> DataFrame:
-    """(key, _turn) of the compressing turns of the running totals ``points`` (key, _turn, _sum)."""
-    first = points.filter(F.col("_sum") >= first_at).groupBy(key).agg(F.min("_turn").alias("_first"))
-    if reach <= 0:
-        # A compressed memory is at the threshold already, so every message after the first compression compresses.
-        return points.join(first, key).filter(F.col("_turn") >= F.col("_first")).select(key, "_turn")
-    nothing = F.lit(None).cast("long")
-    asks = points.select(
-        key, F.col("_turn").alias("_from"), (F.col("_sum") + reach).alias("_at"), nothing.alias("_turn"), F.lit(0).alias("_kind")
-    )
-    marks = points.select(key, nothing.alias("_from"), F.col("_sum").alias("_at"), "_turn", F.lit(1).alias("_kind"))
-    both = asks.unionByName(marks).withColumn("_bucket", F.floor(F.col("_at") / width))
-    ahead = (
-        Window.partitionBy(key, "_bucket").orderBy("_at", "_kind").rowsBetween(0, Window.unboundedFollowing)
-    )
-    inside = both.withColumn("_next", F.min("_turn").over(ahead)).filter(F.col("_kind") == 0)
-    firsts = both.groupBy(key, "_bucket").agg(F.min("_turn").alias("_first"))
-    later = Window.partitionBy(key).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
-    fallback = firsts.select(key, "_bucket", F.min("_first").over(later).alias("_later"))
-    jumps = inside.join(fallback, [key, "_bucket"]).select(key, "_from", F.coalesce("_next", "_later").alias("_to"))
-    state = cut_lineage(
-        jumps.filter(F.col("_to").isNotNull()).unionByName(
-            first.select(key, nothing.alias("_from"), F.col("_first").alias("_to"))
-        )
-    )
-    while True:
-        # Rows without _from are compressions found so far; each round follows all pointers and doubles them.
-        pointers = state.filter(F.col("_from").isNotNull())
-        further = pointers.select(key, F.col("_from").alias("_to"), F.col("_to").alias("_next"))
-        moved = cut_lineage(state.join(further, [key, "_to"]).select(key, "_from", F.col("_next").alias("_to")))
-        known = state.filter(F.col("_from").isNull())
-        if moved.filter(F.col("_from").isNull()).isEmpty():
-            return known.select(key, F.col("_to").alias("_turn")).distinct()
-        state = known.unionByName(moved)
+    done = rows.where("total is not null").select(*names).unionByName(fronts)
+    return done.withColumnsRenamed({"key": key, "turn": turn})
 
 
 # --- transcripts (H2, H3, H7, H11) ----------------------------------------------------------------------------

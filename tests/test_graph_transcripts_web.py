@@ -1,10 +1,15 @@
 """Walks, conversation memory, replies, pages."""
 
 import random
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import epochs
+from corpusloom.functions.epochs import Rule
+
 from corpusloom.operators import graph as g
 from corpusloom.operators import transcripts as t
 from corpusloom.operators import web as w
@@ -12,6 +17,13 @@ from corpusloom.session import scratch_path
 from corpusloom.streaming.memory import stream_memory_epochs
 
 
+COSTS = pa.schema([("key", pa.string()), ("turn", pa.int64()), ("cost", pa.int64())])
+RANGE_ROWS = pa.schema(
+    [("part", pa.int32()), *[(f.name, f.type) for f in list(COSTS)[:2]], ("total", pa.int64()), ("epoch", pa.int32()),
+     ("compressed", pa.bool_()), ("cost", pa.int64()), ("steps", epochs.STEPS)]
+)
+
+
 def edges(spark, *pairs):
     return spark.createDataFrame(list(pairs), "src string, dst string")
 
@@ -70,8 +82,48 @@ def test_epochs_by_both_paths(spark, threshold, base, summary):
                 want.append((c, turn, total, epoch, total >= threshold))
                 if total >= threshold:
                     total, epoch = base + summary, epoch + 1
-    got = t.memory_epochs(costs, threshold, base, summary)
-    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    for ranges in (None, 1, 23):
+        got = t.memory_epochs(costs, threshold, base, summary, ranges=ranges)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("size", [1, 3, 50])
+def test_epochs_compose_over_ranges(size):
+    """Ranges cut anywhere, batches of any size: the same rows as one message after the other."""
+    rng = random.Random(size)
+    rows = [(c, i, rng.choice([0, 0, 1, 2, 5, 9, 30])) for c in (None, *"abcdefg") for i in range(rng.choice([1, 2, 90]))]
+    for rule in (Rule(20, 0, 0), Rule(20, 3, 19), Rule(20, 25, 5), Rule(20, 0, 21), Rule(10**9, 0, 0)):
+        want, state = [], {}
+        for c, i, cost in rows:
+            total, epoch = state.get(c, (rule.base, 0))
+            full = total + cost >= rule.threshold
+            want.append((c, i, total + cost, epoch, full))
+            state[c] = (rule.after, epoch + 1) if full else (total + cost, epoch)
+        batch = lambda part, names: pa.record_batch([pa.array(x) for x in zip(*part)], names=names)
+        got, edges, fronts = [], [], []
+        for part, at in enumerate(range(0, len(rows), 37)):
+            some = rows[at : at + 37]
+            batches = [batch(some[k : k + size], ["key", "turn", "cost"]) for k in range(0, len(some), size)]
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(epochs.TaskContext, "get", lambda part=part: SimpleNamespace(partitionId=lambda: part))
+                for r in pa.Table.from_batches(
+                    [b.cast(RANGE_ROWS) for b in epochs.scan_ranges(rule)(iter([b.cast(COSTS) for b in batches]))]
+                ).to_pylist():
+                    if r["steps"]:
+                        assert len(r["steps"]["reach"]) <= rule.threshold + 1
+                        edges.append((r["part"], r["key"], r["steps"]))
+                    elif r["cost"] is not None:
+                        fronts.append((r["part"], r["key"], r["turn"], r["cost"]))
+                    else:
+                        got.append(tuple(r[c] for c in ("key", "turn", "total", "epoch", "compressed")))
+        edges.sort(key=lambda e: (e[1] is not None, e[1] or "", e[0]))
+        (entries,) = epochs.follow_ranges(rule)([batch(edges, ["part", "key", "steps"])])
+        entry = {r["part"]: (r["in_total"], r["in_epoch"]) for r in entries.to_pylist()}
+        known = [(*f, *entry[f[0]]) for f in fronts]
+        names = ["part", "key", "turn", "cost", "in_total", "in_epoch"]
+        for b in epochs.scan_fronts(rule)([batch(known[k : k + size], names) for k in range(0, len(known), size)]):
+            got += [tuple(r.values()) for r in b.to_pylist()]
+        assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_stream_epochs_over_batches(spark):
