@@ -16,7 +16,8 @@ from corpusloom.functions.vectors import cosine_distance, dot, norm, vector_lite
 from corpusloom.operators.tokens import CHUNK_TOKENS
 
 DEFAULT_K = 3  # fixed value: rows a search returns
-QUERY_BLOCK = 4096  # queries scored in one pass; bounds what is sent to every task
+BLOCK_ROWS = 8192  # vectors of a block on either side of a batch search
+SCORE_CELLS = 1 << 22  # scores a task holds at a time
 
 
 class HashingModel:
@@ -184,45 +185,47 @@ def _best_columns(scores: np.ndarray, k: int) -> np.ndarray:
     return picks
 
 
-def _block_scorer(ids: list, matrix: np.ndarray, k: int, id_type: pa.DataType, key_type: pa.DataType):
-    """Best k rows per query within one task; the state is k rows per query, ties included."""
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    flat = pc.list_flatten(vectors).to_numpy().astype(np.float64)
+    return flat.reshape(len(vectors), -1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_scores = best_keys = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            rows = values.reshape(batch.num_rows, -1)
-            keys = np.array(batch.column(0).to_pylist(), dtype=object)
-            by_key = np.argsort(keys, kind="stable")
-            scores = matrix @ rows[by_key].T
+
+def _best_of_blocks(k: int, names: list[str]):
+    """Arrow function from a block of index rows and one of queries to the best k rows for each query."""
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, keys = asked.column("query_id"), rows.column("key")
+        if not len(rows) or not len(asked):
+            return pa.table([ids.slice(0, 0), keys.slice(0, 0), pa.array([], pa.float64())], names=names)
+        # Equal scores are settled by key: rows come in the order of their keys.
+        order = pc.sort_indices(rows, sort_keys=[("key", "ascending")], null_placement="at_start")
+        keys, queries = keys.take(order), _matrix(asked.column("vector"))
+        matrix = _matrix(rows.column("vector").take(order)).T
+        step, found = max(1, SCORE_CELLS // len(rows)), []
+        for at in range(0, len(asked), step):
+            scores = queries[at : at + step] @ matrix
             picks = _best_columns(scores, k)
-            scores = np.take_along_axis(scores, picks, axis=1)
-            keys = keys[by_key][picks]
-            if best_scores is not None:
-                scores = np.concatenate([best_scores, scores], axis=1)
-                keys = np.concatenate([best_keys, keys], axis=1)
-                _, place = np.unique(keys, return_inverse=True)
-                order = np.lexsort((place.reshape(keys.shape), -scores), axis=1)[:, :k]
-                scores = np.take_along_axis(scores, order, axis=1)
-                keys = np.take_along_axis(keys, order, axis=1)
-            best_scores, best_keys = scores, keys
-        if best_scores is None:
-            return
-        width = best_scores.shape[1]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([q for q in ids for _ in range(width)], type=id_type),
-                pa.array(list(best_keys.reshape(-1)), type=key_type),
-                pa.array(best_scores.reshape(-1)),
-            ],
-            names=["query_id", "key", "similarities"],
-        )
+            of = np.repeat(np.arange(at, at + len(scores)), picks.shape[1])
+            best = np.take_along_axis(scores, picks, axis=1).reshape(-1)
+            found.append(pa.table([ids.take(pa.array(of)), keys.take(pa.array(picks.reshape(-1))), pa.array(best)], names=names))
+        return pa.concat_tables(found)
 
     return run
 
 
+def _in_blocks(rows: DataFrame, own: int, other: DataFrame, width: int, mine: str, theirs: str) -> DataFrame:
+    """``rows`` (key or query_id, vector) with a number of a block of about ``own`` rows, once for each block of the other
+    side. Both sides are counted in the plan; each count is one row."""
+    def blocks(frame: DataFrame, size: int, name: str) -> DataFrame:
+        return F.broadcast(frame.agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).cast("int").alias(name)))
+
+    spread = F.pmod(F.xxhash64(*rows.columns), F.col("_own")).cast("int")
+    counted = rows.crossJoin(blocks(rows, own, "_own")).crossJoin(blocks(other, width, "_other"))
+    return counted.select(
+        *rows.columns, spread.alias(mine), F.explode(F.sequence(F.lit(0), F.col("_other") - 1)).alias(theirs)
+    )
+
+
 def semantic_search_batch(
     index: DataFrame,
     queries: DataFrame,
@@ -231,43 +234,31 @@ def semantic_search_batch(
     vector: str = "code_embedding",
     query_key: str = "query_id",
     query_vector: str = "query_embedding",
-    query_block: int = QUERY_BLOCK,
+    query_block: int = BLOCK_ROWS,
+    index_block: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """best k rows for every query as (query_id, key, similarities, rank).
+    """best k rows for every query as (query_key, key, similarities, rank); ties by key. Rows and queries without a
+    vector are left out; equal query keys are one query if their vectors are equal too, and share ranks otherwise.
 
-    Each pass sends one bounded block of queries to the tasks and multiplies it with every Arrow batch of the
-    index; more queries than a block holds take more passes. Tasks keep k rows per query, so the shuffle carries
-    k x queries x tasks rows.
+    A join of blocks. Rows and queries are dealt into blocks by a hash of key and vector; every row is sent once for each
+    block of queries, and every query once for each block of rows. So a side that fits one block leaves the other where it
+    would be in a plain shuffle. A pair of blocks is multiplied in one task, which holds both and some of their scores;
+    the shuffle behind it carries k rows per query and block of rows.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    usable = queries.filter(F.col(query_vector).isNotNull()).select(query_key, query_vector)
-    total = usable.count()
-    id_type, key_type = usable.schema[query_key].dataType, index.schema[key].dataType
+    rows = index.filter(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
+    asked = queries.filter(F.col(query_vector).isNotNull()).select(
+        F.col(query_key).alias("query_id"), F.col(query_vector).alias("vector")
+    ).distinct()
     schema = T.StructType(
         [
-            T.StructField("query_id", id_type),
-            T.StructField("key", key_type),
+            T.StructField("query_id", queries.schema[query_key].dataType),
+            T.StructField("key", index.schema[key].dataType),
             T.StructField("similarities", T.DoubleType()),
         ]
     )
-    rows = index.filter(F.col(vector).isNotNull()).select(key, vector)
-    passes = max(1, -(-total // max(1, query_block // 2)) if total > query_block else 1)
-    found = None
-    for number in range(passes):
-        block = usable if passes == 1 else usable.filter(
-            F.pmod(F.xxhash64(query_key), F.lit(passes)) == number
-        )
-        table = block.toArrow()  # bounded by the size of a block
-        if table.num_rows == 0:
-            continue
-        ids = table.column(0).to_pylist()
-        matrix = np.array(table.column(1).to_pylist(), dtype=np.float64)
-        scorer = _block_scorer(ids, matrix, k, to_arrow_type(id_type), to_arrow_type(key_type))
-        part = rows.mapInArrow(scorer, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = index.sparkSession.createDataFrame([], schema)
+    dealt = _in_blocks(rows, index_block, asked, query_block, "_rows", "_asked").groupBy("_rows", "_asked")
+    questions = _in_blocks(asked, query_block, rows, index_block, "_asked", "_rows").groupBy("_rows", "_asked")
+    found = dealt.cogroup(questions).applyInArrow(_best_of_blocks(k, schema.names), schema)
     best = top_k_per_group(found, ["query_id"], [F.desc("similarities"), F.col("key")], k, ["key"])
     return best.select(F.col("query_id").alias(query_key), F.col("key").alias(key), "similarities", "rank")
 

@@ -32,12 +32,12 @@ def index(spark):
     return spark.createDataFrame(rows, "block_id string, code_embedding array<float>").repartition(5).cache()
 
 
-@pytest.mark.parametrize("block", [1000, 4])
-def test_batch_search_equals_single_search(spark, index, block):
+@pytest.mark.parametrize("block, rows", [(1000, 1000), (4, 1000), (1000, 50), (4, 50)])
+def test_batch_search_equals_single_search(spark, index, block, rows):
     queries = index.filter("code_embedding is not null").orderBy("block_id").limit(9).select(
         F.col("block_id").alias("query_id"), F.col("code_embedding").alias("query_embedding")
     )
-    batch = vec.semantic_search_batch(index, queries, k=4, query_block=block).collect()
+    batch = vec.semantic_search_batch(index, queries, k=4, query_block=block, index_block=rows).collect()
     for q in queries.collect():
         single = vec.semantic_search(index, q["query_embedding"], k=4).collect()
         mine = sorted((r for r in batch if r["query_id"] == q["query_id"]), key=lambda r: r["rank"])
@@ -45,6 +45,19 @@ def test_batch_search_equals_single_search(spark, index, block):
         assert np.allclose([r["similarities"] for r in mine], [r["similarities"] for r in single])
 
 
+def test_batch_search_of_few(spark, index):
+    """Fewer rows than k, and none on either side; nothing passes the driver."""
+    queries = index.where("block_id in ('b0001', 'none')").selectExpr("block_id as query_id", "code_embedding as query_embedding")
+    two = index.where("block_id in ('b0002', 'b0005')")
+    assert vec.semantic_search_batch(two, queries, k=4).count() == 2
+    assert vec.semantic_search_batch(index.where("block_id = 'x'"), queries).collect() == []
+    assert vec.semantic_search_batch(index, queries.where("query_id = 'x'")).collect() == []
+    spark.sparkContext.setJobGroup("planned", "only planned")
+    vec.semantic_search_batch(index, queries)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planned")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_fuzzy_batch_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     names = ["".join(rng.choice(list("abc"), size=rng.integers(0, 9))) for _ in range(150)] + ["hot"] * 80
