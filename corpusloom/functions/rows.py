@@ -29,3 +29,15 @@ def join_few(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner"
     """
     listed = cut_lineage(keys)
     return rows.join(F.broadcast(listed) if listed.count() <= FEW_ROWS else listed, on, how)
+
+
+def split_few(rows: DataFrame, listed: DataFrame, on: list[str], wanted: str) -> DataFrame:
+    """Rows of which ``listed`` (the keys of all rows, none of them null, with a flag ``wanted``) has the flag set.
+
+    Of the keys with and without the flag the shorter list meets the rows, as a semi or an anti join. So it may be
+    broadcast where nearly all rows are wanted, too; the rows are the same either way.
+    """
+    counted = {r[wanted]: r["n"] for r in listed.groupBy(wanted).agg(F.count(F.lit(1)).alias("n")).collect()}
+    few = counted.get(True, 0) <= counted.get(False, 0)
+    keys = listed.where(F.col(wanted) if few else ~F.col(wanted)).select(*on)
+    return join_few(rows, keys, on, "left_semi" if few else "left_anti")

@@ -12,7 +12,7 @@ from corpusloom.plans.derived import agent_replies, code_files, graph_edges, gra
 from corpusloom.plans.registry import query, table
 from corpusloom.schemas import CODE_FILE, MESSAGE
 from corpusloom.session import scratch_path
-from corpusloom.sources.index_store import load_index
+from corpusloom.sources.index_log import load_log
 from corpusloom.streaming.memory import OUTPUT, stream_memory_epochs as stream_epochs
 from corpusloom.streaming.refresh import stream_refresh_index as stream_refresh
 
@@ -76,7 +76,7 @@ def stream_refresh_index(spark, sf_dir):
     path, state = scratch_path(spark, "streamed-index"), scratch_path(spark, "streamed-state")
     arrivals = spark.readStream.schema(CODE_FILE).parquet(source)
     stream_refresh(arrivals, path, MODEL, state).awaitTermination()
-    return load_index(spark, path, MODEL).select("filepath", "ordinal", "code")
+    return load_log(spark, path, MODEL).select("filepath", "ordinal", "code")
 
 
 @query(

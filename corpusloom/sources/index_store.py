@@ -28,19 +28,20 @@ def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
     return sorted(((int(n.split("-")[1]), n) for n in names if n.startswith(f"{POINTER}-")), reverse=True)
 
 
-def _read_pointer(spark: SparkSession, path: str, name: str) -> str:
-    fs, new_path = _file_system(spark, path)
-    stream = fs.open(new_path(f"{path}/{name}"))
-    try:
-        return stream.readLine()
-    finally:
-        stream.close()
+def _read_pointer(spark: SparkSession, path: str, name: str) -> list[str]:
+    return [row["value"] for row in spark.read.text(f"{path}/{name}").collect()]  # a line for each folder
+
+
+def pointed(spark: SparkSession, path: str) -> list[str]:
+    """Lines of the newest pointer; none when nothing was stored."""
+    pointers = _pointers(spark, path)
+    return _read_pointer(spark, path, pointers[0][1]) if pointers else []
 
 
 def current_version(spark: SparkSession, path: str) -> str | None:
     """Folder of the current version, that of the pointer with the highest number; None when nothing was stored."""
-    pointers = _pointers(spark, path)
-    return f"{path}/{_read_pointer(spark, path, pointers[0][1])}" if pointers else None
+    lines = pointed(spark, path)
+    return f"{path}/{lines[0]}" if lines else None
 
 
 def store_index(index: DataFrame, path: str, partition_by: tuple[str, ...] = (), keep: int = 3) -> str:
@@ -57,19 +58,17 @@ def store_index(index: DataFrame, path: str, partition_by: tuple[str, ...] = (),
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{path}/{version}")
-    _point_to(spark, path, version)
-    fs, new_path = _file_system(spark, path)
-    for _, name in _pointers(spark, path)[max(1, keep) :]:
-        fs.delete(new_path(f"{path}/{_read_pointer(spark, path, name)}"), True)
-        fs.delete(new_path(f"{path}/{name}"), False)
+    point_to(spark, path, [version])
+    remove_old(spark, path, keep)
     return f"{path}/{version}"
 
 
-def _point_to(spark: SparkSession, path: str, version: str) -> None:
+def point_to(spark: SparkSession, path: str, lines: list[str]) -> None:
+    """A new pointer with these lines; the first word of each names a folder."""
     fs, new_path = _file_system(spark, path)
-    draft = new_path(f"{path}/.{version}")
+    draft = new_path(f"{path}/.{uuid.uuid4().hex}")
     out = fs.create(draft, True)
-    out.writeBytes(version)
+    out.writeBytes("\n".join(lines))
     out.close()
     pointers = _pointers(spark, path)
     number = pointers[0][0] + 1 if pointers else 1
@@ -77,6 +76,17 @@ def _point_to(spark: SparkSession, path: str, version: str) -> None:
         raise RuntimeError(f"another writer has stored version {number} of {path}")
 
 
+def remove_old(spark: SparkSession, path: str, keep: int) -> None:
+    """Remove all but the ``keep`` newest pointers, and the folders that none of these lists."""
+    fs, new_path = _file_system(spark, path)
+    pointers = [(name, {line.split()[0] for line in _read_pointer(spark, path, name)}) for _, name in _pointers(spark, path)]
+    needed = set().union(*(folders for _, folders in pointers[: max(1, keep)]))
+    for name, folders in pointers[max(1, keep) :]:
+        for folder in folders - needed:
+            fs.delete(new_path(f"{path}/{folder}"), True)
+        fs.delete(new_path(f"{path}/{name}"), False)
+
+
 def load_index(spark: SparkSession, path: str, model: str, schema=INDEX) -> DataFrame:
     """The current version when every row carries the model; no rows when it is missing, unreadable, or
     written under another model."""
