@@ -30,9 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """(doc_id, text) of a table with any other columns; a null text becomes an empty one.
 
-    With ``carry``, a column ``rest`` holds those columns and, as ``no_text``, whether the text is null.
+    With ``carry``, a column ``rest`` holds those columns, each named ``own_`` and its name, and, as ``no_text``, whether the
+    text is null.
     """
-    rest = [] if carry is None else [F.struct(*carry, F.col(text).isNull().alias("no_text")).alias("rest")]
+    own = [F.col(f"`{c}`").alias(f"own_{c}") for c in carry or []]
+    rest = [] if carry is None else [F.struct(*own, F.col(text).isNull().alias("no_text")).alias("rest")]
     return docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *rest
     )

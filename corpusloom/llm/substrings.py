@@ -3,7 +3,7 @@
 Every text's words are cut into non-overlapping reference blocks, which are indexed by hash. All texts probe the index
 with every rolling run of as many words. A window of ``window`` words holds a whole reference block of each of its
 occurrences, so a window that occurs twice has hits; hits are extended to the windows around them, which are compared by
-128-bit digests, and runs of repeated windows make the maximal exact repeats.
+128-bit digests (each half from another half of the words' 128-bit digests), and runs of repeated windows make the maximal exact repeats.
 """
 
 from __future__ import annotations
@@ -28,12 +28,13 @@ class _Run:
 
     def __init__(self, rows: pa.Table, block: int, window: int, shares: int):
         self.block, self.window, self.shares = block, window, shares
-        hashes, counts = [], []
+        hashes, others, counts = [], [], []
         for _, part in parts_of(rows.column("text")):
             words = words_of(part)
             hashes.append(words.hash)
+            others.append(words.other)
             counts.append(np.diff(words.first))
-        self.words = np.concatenate(hashes)
+        self.words, self.others = np.concatenate(hashes), np.concatenate(others)
         self.first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
         starts = run_starts(self.first, block)
         self.starts = starts
@@ -67,7 +68,7 @@ class _Run:
         starts = starts[sums[starts + self.window - self.block + 1] > sums[starts]]
         found = np.zeros(len(starts), WINDOW)
         found["high"] = runs_of_words(self.words, self.window, 1)[starts]
-        found["low"] = runs_of_words(self.words, self.window, 2)[starts]
+        found["low"] = runs_of_words(self.others, self.window, 2)[starts]
         text = np.searchsorted(self.first, starts, "right") - 1
         ids = rows.column("doc_id").combine_chunks().fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
         found["doc"] = ids[text]

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -59,7 +60,8 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """``first[d]`` to ``first[d + 1]`` are the words of text d; ``start`` and ``end`` are places in ``data``."""
+    """``first[d]`` to ``first[d + 1]`` are the words of text d; ``start`` and ``end`` are places in ``data``. ``hash`` and
+    ``other`` are the halves of a 128-bit digest of each word's bytes."""
 
     data: np.ndarray
     offsets: np.ndarray
@@ -67,6 +69,7 @@ class Words:
     end: np.ndarray
     first: np.ndarray
     hash: np.ndarray
+    other: np.ndarray
 
     @property
     def text(self) -> np.ndarray:
@@ -101,10 +104,17 @@ def words_of(column: pa.Array) -> Words:
     edges = offsets[1:][np.diff(offsets) > 0] - 1
     ends[edges] = inside[edges]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    sums = prefix_sums(data)
-    value = (sums[end] - sums[start]) * powers(len(data) + 1, inverse=True)[start]
-    value = mix(value ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    return Words(data, offsets, start, end, np.searchsorted(start, offsets), value)
+    low, high = _digests(data[inside], end - start)
+    return Words(data, offsets, start, end, np.searchsorted(start, offsets), low, high)
+
+
+def _digests(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Halves of the digests of words that follow each other in ``data``; a repeated word is digested once."""
+    edges = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+    coded = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, edges, pa.py_buffer(data)]).dictionary_encode()
+    digests = b"".join([xxhash.xxh3_128_digest(w) for w in coded.dictionary.to_pylist()])
+    halves = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2)[coded.indices.to_numpy()]
+    return halves[:, 1].copy(), halves[:, 0].copy()
 
 
 def runs_of_words(values: np.ndarray, length: int, seed: int = 0) -> np.ndarray:

@@ -64,9 +64,19 @@ def test_odd_documents(spark):
         (3, "short", "en", None, 5), (3, "short", "en", None, 5), (4, "word " * 40_000, "en", "s", 200_000),
     ]
     docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    clashing = "no_text rest row run kept spans class_id n_words digest ids own_lang".split()
+    wide = docs.withColumns({c: F.lit(k) for k, c in enumerate(clashing)})
     for name, stage in STAGES[:3]:
+        got = stage(spark, wide, SF)
+        assert got.columns == wide.columns and got.select(*docs.columns).count() == stage(spark, docs, SF).count()
+        assert [tuple(r) for r in got.select(*clashing).distinct().collect()] == [tuple(range(len(clashing)))]
         assert stage(spark, docs, SF).columns == docs.columns
         assert stage(spark, docs.where("doc_id = 99"), SF).collect() == []
+    pieces = STAGES[3][1](spark, wide, SF).collect()
+    assert sorted({str(r.doc_id) for r in pieces}) == ["1", "2", "3", "4", "None"]
+    assert sum(r.length for r in pieces) == sum(r.length for r in STAGES[3][1](spark, docs, SF).collect())
+    assert sum(r.doc_tokens for r in pieces if r.doc_id in (1, 2)) == 2 and all(r.length > 0 for r in pieces)
+    assert STAGES[3][1](spark, docs.where("doc_id = 99"), SF).collect() == []
     kept = STAGES[1][1](spark, docs, SF).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "4", "None"]
     assert [r.text for r in kept if r.doc_id == 1] == [None]

@@ -57,3 +57,21 @@ def test_registered_passages(spark):
     got = [tuple(r) for r in op9_substrings(spark, SF).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
     assert by_id(got) == by_id(brute_passages(rows, 20))
     assert sum(r[2] for r in got) > 0
+
+
+def test_words_alike_to_a_polynomial_hash(spark):
+    """Two words that polynomials modulo a power of two can't tell apart: no window repeats, nothing is alike."""
+    from corpusloom.llm.fingerprints import fingerprint_documents
+    from corpusloom.llm.near_duplicates import near_duplicates
+
+    for size in (1024, 2048, 4096):
+        word = "".join("ab"[bin(k).count("1") % 2] for k in range(size))
+        rest = " ".join(f"w{k}" for k in range(19))
+        docs = spark.createDataFrame(
+            [(1, f"{word} {rest}"), (2, f"{word.translate(str.maketrans('ab', 'ba'))} {rest}"), (3, word), (4, word[::-1] + "a")],
+            "doc_id long, text string",
+        )
+        assert [r.n_removed for r in drop_repeated_passages(docs).collect()] == [0] * 4
+        sketch = {r.doc_id: bytes(r.sketch) for r in fingerprint_documents(docs).collect()}
+        assert len(set(sketch.values())) == 4
+        assert all(r.kept for r in near_duplicates(docs.where("doc_id < 3"), shingle=20).collect())
