@@ -26,7 +26,9 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     kept = near_duplicates(docs, carry=rest).where("kept")
     text = F.when(~F.col("rest.no_text"), F.col("text")).alias("text")
-    return kept.select("doc_id", text, *[F.col("rest")[c].alias(c) for c in rest]).select(*docs.columns)
+    return kept.select("doc_id", text, *[F.col("rest")[f"own_{c}"].alias(c) for c in rest]).select(
+        *[F.col(f"`{c}`") for c in docs.columns]
+    )
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +38,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = drop_repeated_passages(docs, carry=rest)
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept").cast("string")).when(~F.col("rest.no_text"), F.col("text"))
-    size = F.when(changed, F.length(F.col("kept").cast("string"))).otherwise(F.col("rest.n_chars"))
-    columns = {c: F.col("rest")[c] for c in rest} | {"doc_id": F.col("doc_id"), "text": text, "n_chars": size.cast("long")}
+    size = F.when(changed, F.length(F.col("kept").cast("string"))).otherwise(F.col("rest.own_n_chars"))
+    columns = {c: F.col("rest")[f"own_{c}"] for c in rest} | {"doc_id": F.col("doc_id"), "text": text, "n_chars": size.cast("long")}
     return found.select(*[columns[c].alias(c) for c in docs.columns])
 
 
