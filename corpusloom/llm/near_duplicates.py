@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.registry import query, table, texts
-from corpusloom.llm.runs import Runs
+from corpusloom.llm.runs import MOST_BUCKETS, Runs
 from corpusloom.llm.words import mix, parts_of, run_starts, runs_of_words, words_of
 from corpusloom.session import scratch_path
 
@@ -153,7 +153,7 @@ class _Bags:
         (
             bags_.write.format("parquet")
             .option("path", scratch_path(spark, "bags"))
-            .bucketBy(runs.shares, "run")
+            .bucketBy(min(runs.shares, MOST_BUCKETS), "run")
             .sortBy("run")
             .saveAsTable(name)
         )

@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm.registry import small_batches
 from corpusloom.session import scratch_path
 
-#: Bytes of text in a run, about; also sets the number of buckets and of shares.
-RUN_BYTES = 12 << 20
+#: Bytes of text in a run, about; also sets the number of shares.
+RUN_BYTES = 16 << 20
+#: Buckets of a written table; the engine's own bound is 100,000. A bucket of a larger table holds several runs.
+MOST_BUCKETS = 50_000
 ASK = "share long, run long, kind int, items binary"
 ANSWER = "run long, kind int, share long, answer binary"
 
@@ -49,7 +51,7 @@ class Runs:
             .write.format("parquet")
             .option("path", scratch_path(spark, name))
             .option("compression", "zstd")
-            .bucketBy(self.shares, "run")
+            .bucketBy(min(self.shares, MOST_BUCKETS), "run")
             .sortBy("run")
             .saveAsTable(table)
         )
