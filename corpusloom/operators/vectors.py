@@ -6,11 +6,10 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.ranking import top_k_per_group
 from corpusloom.functions.text import bind, tokens
 from corpusloom.functions.vectors import cosine_distance, dot, norm, vector_literal
 from corpusloom.operators.tokens import CHUNK_TOKENS
@@ -213,19 +212,21 @@ def _best_of_blocks(k: int, names: list[str]):
     return run
 
 
-def _in_blocks(rows: DataFrame, own: int, other: DataFrame, width: int, mine: str, theirs: str) -> DataFrame:
-    """``rows`` (key or query_id, vector) with a number of a block of about ``own`` rows, once for each block of the other
-    side. Both sides are counted in the plan; each count is one row."""
-    def blocks(frame: DataFrame, size: int, name: str) -> DataFrame:
-        return F.broadcast(frame.agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).cast("int").alias(name)))
-
-    spread = F.pmod(F.xxhash64(*rows.columns), F.col("_own")).cast("int")
-    counted = rows.crossJoin(blocks(rows, own, "_own")).crossJoin(blocks(other, width, "_other"))
+def _in_blocks(rows: DataFrame, sizes: DataFrame, own: str, other: str) -> DataFrame:
+    """``rows`` (key or query_id, vector) with the number ``own`` of a block, once for each block ``other`` of the other side.
+    ``sizes`` is one row with the number of blocks of both sides."""
+    counted = rows.crossJoin(F.broadcast(sizes))
     return counted.select(
-        *rows.columns, spread.alias(mine), F.explode(F.sequence(F.lit(0), F.col("_other") - 1)).alias(theirs)
+        *rows.columns,
+        F.pmod(F.xxhash64(*rows.columns), F.col(f"n{own}")).cast("int").alias(own),
+        F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1)).alias(other),
     )
 
 
+def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+    return rows.agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).cast("int").alias(name))
+
+
 def semantic_search_batch(
     index: DataFrame,
     queries: DataFrame,
@@ -238,7 +239,7 @@ def semantic_search_batch(
     index_block: int = BLOCK_ROWS,
 ) -> DataFrame:
     """best k rows for every query as (query_key, key, similarities, rank); ties by key. Rows and queries without a
-    vector are left out; equal query keys are one query if their vectors are equal too, and share ranks otherwise.
+    vector are left out; query keys are unique.
 
     A join of blocks. Rows and queries are dealt into blocks by a hash of key and vector; every row is sent once for each
     block of queries, and every query once for each block of rows. So a side that fits one block leaves the other where it
@@ -248,7 +249,7 @@ def semantic_search_batch(
     rows = index.filter(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
     asked = queries.filter(F.col(query_vector).isNotNull()).select(
         F.col(query_key).alias("query_id"), F.col(query_vector).alias("vector")
-    ).distinct()
+    )
     schema = T.StructType(
         [
             T.StructField("query_id", queries.schema[query_key].dataType),
@@ -256,10 +257,12 @@ def semantic_search_batch(
             T.StructField("similarities", T.DoubleType()),
         ]
     )
-    dealt = _in_blocks(rows, index_block, asked, query_block, "_rows", "_asked").groupBy("_rows", "_asked")
-    questions = _in_blocks(asked, query_block, rows, index_block, "_asked", "_rows").groupBy("_rows", "_asked")
+    sizes = _blocks(rows, index_block, "n_rows").crossJoin(_blocks(asked, query_block, "n_asked"))  # one row, in the plan
+    dealt = _in_blocks(rows, sizes, "_rows", "_asked").groupBy("_rows", "_asked")
+    questions = _in_blocks(asked, sizes, "_asked", "_rows").groupBy("_rows", "_asked")
     found = dealt.cogroup(questions).applyInArrow(_best_of_blocks(k, schema.names), schema)
-    best = top_k_per_group(found, ["query_id"], [F.desc("similarities"), F.col("key")], k, ["key"])
+    first = Window.partitionBy("query_id").orderBy(F.desc("similarities"), "key")
+    best = found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
     return best.select(F.col("query_id").alias(query_key), F.col("key").alias(key), "similarities", "rank")
 
 
