@@ -104,17 +104,26 @@ def words_of(column: pa.Array) -> Words:
     edges = offsets[1:][np.diff(offsets) > 0] - 1
     ends[edges] = inside[edges]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    low, high = _digests(data[inside], end - start)
+    low, high = _digests(data, start, end)
     return Words(data, offsets, start, end, np.searchsorted(start, offsets), low, high)
 
 
-def _digests(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Halves of the digests of words that follow each other in ``data``; a repeated word is digested once."""
-    edges = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
-    coded = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, edges, pa.py_buffer(data)]).dictionary_encode()
-    digests = b"".join([xxhash.xxh3_128_digest(w) for w in coded.dictionary.to_pylist()])
-    halves = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2)[coded.indices.to_numpy()]
-    return halves[:, 1].copy(), halves[:, 0].copy()
+def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two digests of 64 bits of each word: of the two 8-byte halves of a word of up to 16 bytes and its length, each half
+    scrambled into the other, and of a longer word those of a hash of 128 bits."""
+    size = end - start
+    few = size <= 16
+    padded = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(16, np.uint8)]), 16)
+    halves = (padded[start[few]] * (np.arange(16) < size[few, None]).astype(np.uint8)).view("<u8").astype(np.uint64)
+    length = size[few].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    low, high = np.empty(len(size), np.uint64), np.empty(len(size), np.uint64)
+    low[few] = mix(halves[:, 0] ^ mix(halves[:, 1] + length))
+    high[few] = mix(halves[:, 1] ^ mix(halves[:, 0] ^ ~length))
+    many = np.flatnonzero(~few)
+    found = b"".join([xxhash.xxh3_128_digest(data[a:b].tobytes()) for a, b in zip(start[many].tolist(), end[many].tolist())])
+    parts = np.frombuffer(found, ">u8").astype(np.uint64).reshape(-1, 2)
+    low[many], high[many] = parts[:, 1], parts[:, 0]
+    return low, high
 
 
 def runs_of_words(values: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
