@@ -20,12 +20,13 @@ from corpusloom.session import scratch_path
 
 #: Vectors the lists are fitted on, at most; also bounds what the driver and the tasks hold of the index.
 SAMPLE = 16_384
-#: Rows every query is compared with first.
-KNOWN = 8192
-#: Vectors of a list, on average; lists, at most; vectors of a list that a task scans, at most.
-LIST_ROWS, MOST_LISTS, BLOCK_ROWS = 2048, 4096, 8192
-#: Columns of a block; pairs of a query and a candidate that are begun at a time.
-COLUMNS, PAIRS = 8, 1 << 20
+#: Rows every query is compared with first, for a threshold and so that no query has fewer than k rows.
+KNOWN = 256
+#: Vectors of a list, on average, up to the square of it; lists, at most; vectors of a list that a task scans, at most.
+LIST_ROWS, MOST_LISTS, BLOCK_ROWS = 2048, SAMPLE // 16, 8192
+#: Columns of a block; pairs of a query and a candidate that are begun at a time; share of pairs, as 1 in so many, below
+#: which a block is read for the pairs that are left.
+COLUMNS, PAIRS, DENSE = 8, 1 << 20, 16
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -87,28 +88,27 @@ class Index:
 
 
 class Known:
-    """Some rows that every query is compared with first: they bound how far its neighbours can be, and are found anyway."""
+    """Few rows that every query is compared with first: they bound how far its neighbours can be.
+
+    A query keeps its k nearest of them, so that it has k rows even if its probed lists hold fewer.
+    """
 
     def __init__(self, index: Index, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
-        self.rows, self.ids, self.vectors, self.placed = rows, ids, vectors, index.place(vectors)
+        by_id = np.lexsort((rows, ids))
+        self.rows, self.ids, self.vectors = rows[by_id], ids[by_id], vectors[by_id]
+        self.placed = index.place(self.vectors)
 
     def near(self, points: np.ndarray, placed: np.ndarray, query_ids: np.ndarray, k: int):
-        """(squared distances within which k neighbours surely are, the known neighbours) of each query."""
-        far = _distances(placed, self.placed)
-        far[query_ids[:, None] == self.ids[None]] = np.inf
-        if far.shape[1] <= k:
-            threshold, some = np.full(len(placed), np.inf), np.tile(np.arange(far.shape[1]), (len(placed), 1))
-        else:
-            some = np.argpartition(far, k - 1, axis=1)[:, :k]
-            threshold = np.take_along_axis(far, some, 1).max(axis=1)
-        found = []
-        for n, point in enumerate(points):
-            mine = some[n][np.isfinite(far[n, some[n]])]
-            scores = exact_scores(self.vectors[mine], point)
-            found.append(
-                [{"row": r, "vec_id": i, "score": s} for r, i, s in zip(*(x.tolist() for x in (self.rows[mine], self.ids[mine], scores)))]
-            )
-        return threshold, found
+        """Squared distances within which k neighbours surely are; (query, known row, score) of the known neighbours."""
+        scores = exact_scores(self.vectors[None], points[:, None])
+        scores[query_ids[:, None] == self.ids[None]] = -np.inf
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # rows lie by id, so ties go to the smaller one
+        scores = np.take_along_axis(scores, best, 1)
+        real = np.isfinite(scores)
+        far = np.take_along_axis(_distances(placed, self.placed), best, 1)
+        enough = real.all(axis=1) & (best.shape[1] >= k)
+        of, at = np.nonzero(real)
+        return np.where(enough, far.max(axis=1, initial=0), np.inf), of, best[of, at], scores[of, at]
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -129,38 +129,55 @@ def _centres(placed: np.ndarray, lists: int, rng) -> np.ndarray:
 
 def adaptive_scan(
     columns: np.ndarray, points: np.ndarray, thresholds: np.ndarray, strictness: float
-) -> tuple[np.ndarray, np.ndarray]:
-    """(queries, candidates) of the pairs that were not abandoned, by query; ``columns`` is (dimensions, candidates).
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(queries, candidates, squared distances) of the pairs that were not abandoned, by query; ``columns`` is
+    (dimensions, candidates).
 
     After d of D dimensions the distance is estimated as D / d times the partial one. It is further than the query's
     threshold, except with small chance, if it exceeds it by the factor (1 + strictness / sqrt(d)) squared. The last
-    block needs no test but the distance itself. Each block is read only for the pairs that are left.
+    block needs no test but the distance itself. While many pairs are left a block is one product of matrices; once
+    few are, it is read for these alone.
     """
     dim = len(columns)
 
     def allowed(upto: int) -> np.ndarray:
         part = 1.0 if upto == dim else (1 + strictness / math.sqrt(upto)) ** 2 * upto / dim
-        return thresholds * (1 + 1e-9) * part + 1e-12
-
-    upto = min(dim, COLUMNS)
-    partial = _distances(points[:, :upto], columns[:upto].T)
-    of, which = np.nonzero(partial <= allowed(upto)[:, None] + 1e-9)
-    partial = partial[of, which]
-    for at in range(upto, dim, COLUMNS):
-        upto = min(dim, at + COLUMNS)
+        return thresholds * (1 + 1e-9) * part + 1e-9
+
+    dense = np.zeros((len(points), columns.shape[1]))
+    left = np.ones(dense.shape, bool)
+    upto = 0
+    while upto < dim and np.count_nonzero(left) * DENSE >= left.size:
+        at, upto = upto, min(dim, upto + COLUMNS)
+        dense += _distances(points[:, at:upto], columns[at:upto].T)
+        left &= dense <= allowed(upto)[:, None]
+    of, which = np.nonzero(left)
+    partial = dense[of, which]
+    while upto < dim:
+        at, upto = upto, min(dim, upto + COLUMNS)
         for j in range(at, upto):
             step = columns[j, which] - points[of, j]
             partial = partial + step * step
-        stay = partial <= allowed(upto)[of] + (1e-9 if upto == dim else 0)
+        stay = partial <= allowed(upto)[of]
         of, which, partial = of[stay], which[stay], partial[stay]
-    return of, which
+    return of, which, partial
+
+
+def _nearest_of_each(of: np.ndarray, far: np.ndarray, queries: int, k: int) -> np.ndarray:
+    """Which pairs lie within the k-th smallest distance of their query; equal distances stay, whatever the rounding."""
+    order = np.lexsort((far, of))
+    starts = np.searchsorted(of[order], np.arange(queries + 1))
+    last = np.full(queries, np.inf)
+    full = starts[1:] - starts[:-1] > k
+    last[full] = far[order][starts[:-1][full] + k - 1]
+    return far <= last[of] + 1e-9
 
 
 def exact_scores(vectors: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Inner products of rows in double precision, summed in the order of the components."""
-    total = np.zeros(len(vectors))
-    for j in range(vectors.shape[1]):
-        total = total + vectors[:, j] * points[..., j]
+    total = 0.0
+    for j in range(vectors.shape[-1]):
+        total = total + vectors[..., j] * points[..., j]
     return total
 
 
@@ -200,7 +217,7 @@ def nearest(
     stats = rows.where(sized).agg(
         F.count("*").alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v)).alias("square")
     ).first()
-    lists = lists or max(1, min(MOST_LISTS, SAMPLE // 64, -(-stats.n // LIST_ROWS)))
+    lists = lists or max(1, min(MOST_LISTS, -(-stats.n // LIST_ROWS), math.isqrt(stats.n)))
     kept = np.array(sample[sample.map(len) == dim].tolist())
     index = Index(kept, math.sqrt(stats.square) * (1 + 1e-12), lists, probes, k, recall, seed)
     shipped = spark.sparkContext.broadcast(index)
@@ -217,7 +234,7 @@ def nearest(
     assigned = rows.where(sized).mapInArrow(assign, "vec_id long, vector array<double>, list int")
     assigned.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
     held = spark.read.parquet(path)
-    some = held.select("row", "vec_id", "vector").orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(KNOWN).toPandas()
+    some = held.select("row", "vec_id", "vector").orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(max(KNOWN, 4 * k)).toPandas()
     known = spark.sparkContext.broadcast(
         Known(index, some["row"].to_numpy(), some["vec_id"].to_numpy(), np.array(some["vector"].tolist()).reshape(-1, dim))
     )
@@ -228,14 +245,19 @@ def nearest(
             placed = index.place_query(floats(batch.column("vector")))
             lists_near = index.nearest_lists(placed, index.probes)
             ids = batch.column(0).to_numpy()
-            threshold, seeds = known.value.near(floats(batch.column("vector")), placed, ids, k)
+            seen = known.value
+            threshold, of, at, scores = seen.near(floats(batch.column("vector")), placed, ids, k)
+            seeds = pa.StructArray.from_arrays(
+                [pa.array(seen.rows[at]), pa.array(seen.ids[at]), pa.array(scores)], ["row", "vec_id", "score"]
+            )
+            starts = pa.array(np.searchsorted(of, np.arange(len(ids) + 1)), pa.int32())
             yield pa.record_batch(
                 [
                     batch.column(0),
                     batch.column(1),
                     pa.array(lists_near.tolist(), pa.list_(pa.int32())),
                     pa.array(threshold, pa.float64()),
-                    pa.array(seeds, pa.list_(pa.struct([("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))),
+                    pa.ListArray.from_arrays(starts, seeds),
                 ],
                 names=["query_id", "vector", "lists", "threshold", "seeds"],
             )
@@ -267,10 +289,11 @@ def nearest(
         out = [[], [], [], []]
         step = max(1, PAIRS // len(ids))
         for a in range(0, len(placed), step):
-            of, which = adaptive_scan(columns, placed[a : a + step], thresholds[a : a + step], strictness)
-            of = of + a
-            other = ids[which] != query_ids[of]
-            of, which = of[other], which[other]
+            of, which, far = adaptive_scan(columns, placed[a : a + step], thresholds[a : a + step], strictness)
+            other = ids[which] != query_ids[of + a]
+            of, which, far = of[other], which[other], far[other]
+            near = _nearest_of_each(of, far, step, k)
+            of, which = of[near] + a, which[near]
             scores = exact_scores(own[which], targets[of])
             order = np.lexsort((ids[which], -scores, of))
             of, which, scores = of[order], which[order], scores[order]

@@ -68,11 +68,11 @@ def test_scan_abandons_most_and_keeps_the_nearest():
     rng = np.random.default_rng(2)
     columns, points = rng.standard_normal((64, 4000)), rng.standard_normal((5, 64))
     far = ((columns.T[None] - points[:, None]) ** 2).sum(axis=2)
-    of, which = adaptive_scan(columns, points, np.sort(far, axis=1)[:, 40], 2.1)
+    of, which, left = adaptive_scan(columns, points, np.sort(far, axis=1)[:, 40], 2.1)
     for q in range(5):
         near = set(np.argsort(far[q])[:20].tolist())
         assert len(near & set(which[of == q].tolist())) >= 19
-    assert len(of) <= 5 * 41
+    assert len(of) <= 5 * 41 and np.allclose(left, far[of, which])
     assert len(adaptive_scan(columns, points, np.full(5, np.inf), 2.1)[0]) == 5 * 4000
 
 
