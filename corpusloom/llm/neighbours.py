@@ -22,8 +22,10 @@ from corpusloom.session import scratch_path
 SAMPLE = 16_384
 #: Rows every query is compared with first, for a threshold and so that no query has fewer than k rows.
 KNOWN = 256
-#: Vectors of a list, on average, up to the square of it; lists, at most; vectors of a list that a task scans, at most.
-LIST_ROWS, MOST_LISTS, BLOCK_ROWS = 2048, SAMPLE // 16, 8192
+#: Vectors of a list, on average, up to the square of it; lists, at most.
+LIST_ROWS, MOST_LISTS = 2048, SAMPLE // 16
+#: Lists are scanned in bundles: a bundle's bytes, and a block of queries', at most; bundles, at least.
+BUNDLE_BYTES, BUNDLES = 32 << 20, 8
 #: Columns of a block; pairs of a query and a candidate that are begun at a time; share of pairs, as 1 in so many, below
 #: which a block is read for the pairs that are left.
 COLUMNS, PAIRS, DENSE = 8, 1 << 20, 16
@@ -173,6 +175,59 @@ def _nearest_of_each(of: np.ndarray, far: np.ndarray, queries: int, k: int) -> n
     return far <= last[of] + 1e-9
 
 
+def bundles_of(sizes: dict[int, int], capacity: int) -> dict[int, tuple[int, int]]:
+    """First bundle and number of bundles of each list; lists share a bundle as far as it holds them."""
+    out, at, room = {}, 0, capacity
+    for name, size in sorted(sizes.items()):
+        if size > room and room < capacity:
+            at, room = at + 1, capacity
+        parts = -(-size // capacity)
+        out[name] = (at, parts)
+        if parts > 1:
+            at += parts
+        else:
+            room -= size
+    return out
+
+
+def scan_lists(
+    index: Index, lists: np.ndarray, ids: np.ndarray, own: np.ndarray, query_ids: np.ndarray, targets: np.ndarray,
+    thresholds: np.ndarray, k: int, strictness: float,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, score) of the k nearest that each query finds in those of its probed lists that lie here.
+
+    Lists are scanned one by one; what a query has found bounds what it looks for in the next.
+    """
+    by_list = np.argsort(lists, kind="stable")
+    columns = np.ascontiguousarray(index.place(own[by_list]).T)
+    placed = index.place_query(targets)
+    probed = np.zeros((len(targets), len(index.centres)), bool)
+    np.put_along_axis(probed, index.nearest_lists(placed, index.probes), True, axis=1)
+    names, starts = np.unique(lists[by_list], return_index=True)
+    thresholds = thresholds.copy()
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+    for name, start, end in zip(names, starts, [*starts[1:], len(lists)], strict=True):
+        asking = np.flatnonzero(probed[:, name])
+        step = max(1, PAIRS // (end - start))
+        new = [held]
+        for a in range(0, len(asking), step):
+            some = asking[a : a + step]
+            of, which, far = adaptive_scan(columns[:, start:end], placed[some], thresholds[some], strictness)
+            which = by_list[which + start]
+            other = ids[which] != query_ids[some[of]]
+            of, which, far = of[other], which[other], far[other]
+            near = _nearest_of_each(of, far, len(some), k)
+            of, which, far = some[of[near]], which[near], far[near]
+            new.append([of, which, exact_scores(own[which], targets[of]), far])
+        of, which, scores, far = (np.concatenate(x) for x in zip(*new, strict=True))
+        order = np.lexsort((ids[which], -scores, of))
+        rank = np.arange(len(of)) - np.searchsorted(of[order], of[order])
+        held = [x[order[rank < k]] for x in (of, which, scores, far)]
+        last = order[rank == k - 1]
+        thresholds[of[last]] = np.minimum(thresholds[of[last]], far[last])
+    return held[0], held[1], held[2]
+
+
 def exact_scores(vectors: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Inner products of rows in double precision, summed in the order of the components."""
     total = 0.0
@@ -202,8 +257,9 @@ def nearest(
     with the greatest vector is asked. Other columns are ignored.
 
     The index is fitted on a bounded sample (SAMPLE rows with the least hashes) but holds every row. ``probes`` lists are
-    scanned for a query; if not given, as many as find the share ``recall`` of neighbours within the sample. A list of
-    more than BLOCK_ROWS is split over tasks, so a vector that very many rows share does no harm.
+    scanned for a query; if not given, as many as find the share ``recall`` of neighbours within the sample. A query
+    travels once to a bundle of lists and brings k rows back. Bundles, and blocks of queries, are bounded in bytes; a list
+    that is larger is split over bundles, so a vector that very many rows share does no harm.
     """
     spark = vectors.sparkSession
     small_batches(spark, 4096)
@@ -239,73 +295,61 @@ def nearest(
         Known(index, some["row"].to_numpy(), some["vec_id"].to_numpy(), np.array(some["vector"].tolist()).reshape(-1, dim))
     )
 
+    sizes = {r["list"]: r["count"] for r in held.groupBy("list").count().collect()}  # one row for each list
+    most = max(1, BUNDLE_BYTES // (8 * dim))
+    bundles = bundles_of(sizes, max(1, min(most, -(-stats.n // BUNDLES))))
+    query_blocks = max(1, -(-usable(queries, vec_id, vector).count() // most))
+
     def probe(batches):
         for batch in batches:
-            index = shipped.value
-            placed = index.place_query(floats(batch.column("vector")))
-            lists_near = index.nearest_lists(placed, index.probes)
-            ids = batch.column(0).to_numpy()
-            seen = known.value
-            threshold, of, at, scores = seen.near(floats(batch.column("vector")), placed, ids, k)
+            index, seen = shipped.value, known.value
+            points, ids = floats(batch.column("vector")), batch.column(0).to_numpy()
+            placed = index.place_query(points)
+            asks = [
+                sorted({at for n in near if n in bundles for at in range(bundles[n][0], sum(bundles[n]))})
+                for near in index.nearest_lists(placed, index.probes).tolist()
+            ]
+            threshold, of, at, scores = seen.near(points, placed, ids, k)
             seeds = pa.StructArray.from_arrays(
                 [pa.array(seen.rows[at]), pa.array(seen.ids[at]), pa.array(scores)], ["row", "vec_id", "score"]
             )
             starts = pa.array(np.searchsorted(of, np.arange(len(ids) + 1)), pa.int32())
-            yield pa.record_batch(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(lists_near.tolist(), pa.list_(pa.int32())),
-                    pa.array(threshold, pa.float64()),
-                    pa.ListArray.from_arrays(starts, seeds),
-                ],
-                names=["query_id", "vector", "lists", "threshold", "seeds"],
-            )
+            columns = [batch.column(0), batch.column(1), pa.array(asks, pa.list_(pa.int32()))]
+            columns += [pa.array(threshold, pa.float64()), pa.ListArray.from_arrays(starts, seeds)]
+            yield pa.record_batch(columns, names=["query_id", "vector", "bundles", "threshold", "seeds"])
+
+    def lookup(part: int):
+        return F.create_map(*[F.lit(x) for n, place in bundles.items() for x in (n, place[part])])[F.col("list")]
 
-    sizes = held.groupBy("list").count().collect()  # one row for each list
-    blocks = F.create_map(*[F.lit(x) for r in sizes for x in (r["list"], -(-r["count"] // BLOCK_ROWS))])
-    parts = held.withColumn("block", F.pmod(F.xxhash64("row"), blocks[F.col("list")]))
-    schema = "query_id long, vector array<double>, lists array<int>, threshold double, "
+    parts = held.withColumn("bundle", (lookup(0) + F.pmod(F.xxhash64("row"), lookup(1))).cast("int")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
+    )
+    schema = "query_id long, vector array<double>, bundles array<int>, threshold double, "
     probed = asked.where(sized).mapInArrow(probe, schema + "seeds array<struct<row:long,vec_id:long,score:double>>")
-    wanted = (
-        probed.select("query_id", "vector", "threshold", F.explode("lists").alias("list"))
-        .where(blocks[F.col("list")].isNotNull())
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks[F.col("list")].cast("long") - 1)))
+    wanted = probed.select(
+        "query_id",
+        "vector",
+        "threshold",
+        F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("block"),
+        F.explode("bundles").alias("bundle"),
     )
     seeds = probed.select("query_id", F.inline("seeds"))
 
-    def scan(found: pa.Table, points: pa.Table) -> pa.Table:
+    def scan(rows: pa.Table, points: pa.Table) -> pa.Table:
         names = ["query_id", "row", "vec_id", "score"]
-        if not found.num_rows or not points.num_rows:
+        if not rows.num_rows or not points.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names=names)
-        index = shipped.value
-        own = floats(found.column("vector").combine_chunks())
-        ids, places = found.column("vec_id").to_numpy(), found.column("row").to_numpy()
-        columns = np.ascontiguousarray(index.place(own).T)
-        targets = floats(points.column("vector").combine_chunks())
-        placed = index.place_query(targets)
-        query_ids = points.column("query_id").to_numpy()
-        thresholds = points.column("threshold").to_numpy()
-        out = [[], [], [], []]
-        step = max(1, PAIRS // len(ids))
-        for a in range(0, len(placed), step):
-            of, which, far = adaptive_scan(columns, placed[a : a + step], thresholds[a : a + step], strictness)
-            other = ids[which] != query_ids[of + a]
-            of, which, far = of[other], which[other], far[other]
-            near = _nearest_of_each(of, far, step, k)
-            of, which = of[near] + a, which[near]
-            scores = exact_scores(own[which], targets[of])
-            order = np.lexsort((ids[which], -scores, of))
-            of, which, scores = of[order], which[order], scores[order]
-            rank = np.arange(len(of)) - np.searchsorted(of, of)
-            top = rank < k
-            for column, values in zip(out, (query_ids[of], places[which], ids[which], scores), strict=True):
-                column.append(values[top])
-        return pa.table([pa.array(np.concatenate(x)) for x in out], names=names)
+        own, targets = (floats(t.column("vector").combine_chunks()) for t in (rows, points))
+        ids, query_ids = rows.column("vec_id").to_numpy(), points.column("query_id").to_numpy()
+        of, which, scores = scan_lists(
+            shipped.value, rows.column("list").to_numpy(), ids, own, query_ids, targets,
+            points.column("threshold").to_numpy(), k, strictness,
+        )
+        return pa.table([pa.array(x) for x in (query_ids[of], rows.column("row").to_numpy()[which], ids[which], scores)], names=names)
 
     found = (
-        parts.groupBy("list", "block")
-        .cogroup(wanted.groupBy("list", "block"))
+        parts.groupBy("bundle", "block")
+        .cogroup(wanted.groupBy("bundle", "block"))
         .applyInArrow(scan, "query_id long, row long, vec_id long, score double")
     )
     once = found.unionByName(seeds).dropDuplicates(["query_id", "row"])
