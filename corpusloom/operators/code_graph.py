@@ -30,6 +30,13 @@ def call_graph(blocks: DataFrame, scope: tuple[str, ...] = (), languages=DEFAULT
     Calls are reduced to distinct names per function in the row and to distinct pairs before the join.
     """
     functions = blocks.filter((F.col("code_type") == "function") & F.col("function_name").isNotNull())
+    calls = _called_names(functions, scope, languages)
+    known = functions.select(*scope, F.col("function_name").alias("dst")).distinct()
+    return calls.join(known, [*scope, "dst"], "left_semi").select(*scope, "src", "dst")
+
+
+def _called_names(functions: DataFrame, scope: tuple[str, ...], languages) -> DataFrame:
+    """(scope, src, dst): names that a function calls, known or not, each once."""
 
     def called(text: Column) -> Column:
         body = F.regexp_replace(text, r"^[^(]*\(", "(")
@@ -37,13 +44,11 @@ def call_graph(blocks: DataFrame, scope: tuple[str, ...] = (), languages=DEFAULT
         return F.filter(names, lambda n: ~n.isin(*NOT_CALLS))
 
     names = bind(_masked(F.col("code"), F.col("language"), languages), called)
-    calls = (
+    return (
         explode_once(functions, [*scope, F.col("function_name").alias("src")], names, "_at", "dst")
         .drop("_at")
         .distinct()
     )
-    known = functions.select(*scope, F.col("function_name").alias("dst")).distinct()
-    return calls.join(known, [*scope, "dst"], "left_semi").select(*scope, "src", "dst")
 
 
 def class_graph(blocks: DataFrame, scope: tuple[str, ...] = (), known_only: bool = True) -> DataFrame:
@@ -122,3 +127,115 @@ def import_graph(
         return edges
     known = files.select(*scope, module_of(F.col("filepath")).alias("dst")).distinct()
     return edges.join(known, [*scope, "dst"], "left_semi").select(*scope, "src", "dst")
+
+
+def _stem(path: Column) -> Column:
+    """Path without its ending; a file that stands for its folder has the folder's path."""
+    own = F.regexp_replace(path, r"(^|/)(__init__\.py|index\.[jt]sx?)$", "")
+    return F.when(own != path, own).otherwise(F.regexp_replace(path, r"\.[^./]*$", ""))
+
+
+def _folder(path: Column) -> Column:
+    return F.regexp_replace(path, r"(^|/)[^/]*$", "")
+
+
+def _wanted_paths(folder: Column, language: Column, name: Column) -> Column:
+    """Keys that may name the imported file, best first: ``/stem`` is a whole path, ``stem`` the end of one.
+
+    A relative import names one path. Others are looked for below the folder of the importing file, then below each
+    folder above it, and if they have two parts or more, at the end of any path.
+    """
+    folders = F.filter(F.split(folder, "/"), lambda f: f != "")
+    dots = F.length(F.regexp_extract(name, r"^(\.*)", 1))
+    python_relative = (language == "python") & (dots > 0)
+    # each dot after the first leads one folder up
+    above = F.transform(F.sequence(F.lit(1), F.greatest(dots, F.lit(1))), lambda n: F.when(n == 1, ".").otherwise(".."))
+    as_path = F.regexp_replace(name, r"\.(php|inc|ts|tsx|js|jsx|mjs)$", "")
+    is_path = (language == "typescript") | ((language == "php") & (as_path != name))
+    parts = F.when(is_path, F.split(as_path, "/")).otherwise(F.split(F.ltrim(name, F.lit(".")), r"\."))
+    parts = F.when(python_relative, F.concat(above, parts)).otherwise(parts)
+    parts = F.filter(parts, lambda x: x != "")
+    relative = python_relative | (is_path & name.startswith("."))
+
+    def walked(steps: Column) -> Column:
+        return F.aggregate(
+            steps,
+            folders,
+            lambda at, step: F.when(step == ".", at)
+            .when(step == "..", F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))))
+            .otherwise(F.concat(at, F.array(step))),
+        )
+
+    def found_below(steps: Column) -> Column:
+        roots = F.transform(F.sequence(F.size(folders), F.lit(0), F.lit(-1)), lambda n: F.slice(folders, 1, n))
+        return F.transform(roots, lambda root: F.concat(F.lit("/"), F.array_join(F.concat(root, steps), "/")))
+
+    def keys(steps: Column) -> Column:
+        anywhere = F.when(F.size(steps) > 1, F.array(F.array_join(steps, "/"))).otherwise(F.array().cast("array<string>"))
+        one = F.array(F.concat(F.lit("/"), F.array_join(walked(steps), "/")))
+        return F.when(relative, one).otherwise(F.concat(found_below(steps), anywhere))
+
+    return bind(parts, keys)
+
+
+def resolved_imports(files: DataFrame, scope: tuple[str, ...] = (), languages=DEFAULT_LANGUAGES) -> DataFrame:
+    """G16 down to files: (filepath, module, target) for every import that names another file of the table.
+
+    A name is resolved once for each folder that uses it. Every path is known under its whole stem and under the ends
+    of it; of the files with one end the one with the fewest folders, then the least path, is meant, so no key of the
+    join has two files. Names found nowhere (libraries) give no row.
+    """
+    listed = files.filter(F.col("filepath").isNotNull()).withColumn("language", language_of(F.col("filepath"), languages))
+    modules = imported_modules(F.col("content"), F.col("language"), languages)
+    imports = (
+        explode_once(listed, [*scope, "filepath", "language"], modules, "_at", "module")
+        .drop("_at")
+        .distinct()
+        .withColumn("folder", _folder(F.col("filepath")))
+    )
+    stem = F.split(_stem(F.col("filepath")), "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(stem)), lambda n: F.array_join(F.slice(stem, n, F.size(stem)), "/"))
+    known = (
+        listed.select(
+            *scope,
+            "language",
+            F.struct(F.size(stem).alias("depth"), F.col("filepath").alias("target")).alias("file"),
+            F.explode(F.concat(F.array(F.concat(F.lit("/"), _stem(F.col("filepath")))), ends)).alias("key"),
+        )
+        .groupBy(*scope, "language", "key")
+        .agg(F.min("file")["target"].alias("target"))
+    )
+    asked = [*scope, "language", "folder", "module"]
+    keys = _wanted_paths(F.col("folder"), F.col("language"), F.col("module"))
+    wanted = imports.select(*asked).distinct().select(*asked, F.posexplode(keys).alias("nearness", "key"))
+    best = (
+        wanted.join(known, [*scope, "language", "key"])
+        .groupBy(*asked)
+        .agg(F.min(F.struct("nearness", "target"))["target"].alias("target"))
+    )
+    return imports.join(best, asked).filter(F.col("filepath") != F.col("target")).select(
+        *scope, "filepath", "module", "target"
+    )
+
+
+def resolved_calls(
+    blocks: DataFrame, imports: DataFrame, scope: tuple[str, ...] = (), languages=DEFAULT_LANGUAGES
+) -> DataFrame:
+    """G14 down to files: (filepath, src, target, dst) from a function to the functions that its calls can mean.
+
+    ``imports`` are rows of ``resolved_imports``. A name means the function of the same file if there is one, else that
+    of every directly imported file that has one; other names give no row, so equal names of two files stay apart.
+    """
+    functions = blocks.filter((F.col("code_type") == "function") & F.col("function_name").isNotNull())
+    calls = _called_names(functions, (*scope, "filepath"), languages)
+    known = functions.select(*scope, F.col("filepath").alias("target"), F.col("function_name").alias("dst")).distinct()
+    here = known.select(*scope, F.col("target").alias("filepath"), "dst")
+    own = [*scope, "filepath", "dst"]
+    near = calls.join(here, own, "left_semi").withColumn("target", F.col("filepath"))
+    far = (
+        calls.join(here, own, "left_anti")
+        .join(imports.select(*scope, "filepath", "target").distinct(), [*scope, "filepath"])
+        .join(known, [*scope, "target", "dst"], "left_semi")
+    )
+    columns = [*scope, "filepath", "src", "target", "dst"]
+    return near.select(*columns).unionByName(far.select(*columns))

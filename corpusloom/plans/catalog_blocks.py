@@ -168,23 +168,39 @@ def is_balanced(spark, sf_dir):
 
 def _caller_blocks(spark, sf_dir):
     """Blocks of the source files plus one caller per file that calls its function and one of the next file."""
-    files = code_files(spark, sf_dir).filter(F.col("path").endswith(".py"))
+    files = code_files(spark, sf_dir)
     k = F.col("file_id")
-    content = F.format_string(
+    python = F.format_string(
         "def g_%s(x):\n    # f_0(x)\n    y = f_%s(x, 'f_1(x)')\n    return g_%s(y) + len(y) + unknown(y)\n", k, k, k + 5
     )
+    php = F.format_string(
+        "<?php\nfunction g_%s($x) {\n    // f_0($x);\n    $y = f_%s($x, 'f_1(x)');\n    return g_%s($y) + unknown($y);\n}\n",
+        k, k, k + 5,
+    )
+    script = F.format_string(
+        "function g_%s(x: number): number {\n    /* f_0(x) */\n    const y = f_%s(x, 'f_1(x)');\n"
+        "    return g_%s(y) + unknown(y);\n}\n",
+        k, k, k + 5,
+    )
+    path = F.col("path")
+    content = (
+        F.when(path.endswith(".py"), python)
+        .when(path.endswith(".php"), php)
+        .when(path.endswith(".ts"), script)
+        .otherwise(F.col("content"))
+    )
     return ops.extract_blocks(
-        files.select(F.col("path").alias("filepath"), content.alias("content")).unionByName(
-            files.select(F.col("path").alias("filepath"), "content")
+        files.select(path.alias("filepath"), content.alias("content")).unionByName(
+            files.select(path.alias("filepath"), "content")
         )
     )
 
 
 @query(
     with_views(
-        "select 'g_' || file_id as src, 'f_' || file_id as dst from code_files where path like '%.py' union "
+        "select 'g_' || file_id as src, 'f_' || file_id as dst from code_files where file_id % 5 < 3 union "
         "select 'g_' || a.file_id, 'g_' || b.file_id from code_files a join code_files b on b.file_id = a.file_id + 5 "
-        "where a.path like '%.py'",
+        "where a.file_id % 5 < 3",
         "code_files",
     )
 )
@@ -192,6 +208,70 @@ def call_graph(spark, sf_dir):
     return graphs.call_graph(_caller_blocks(spark, sf_dir))
 
 
+def _importing_files(spark, sf_dir):
+    """The source files; each imports the next one of its folder and language, and one of another folder, and calls.
+
+    The second import is by whole name in Python and PHP, where the folder can be part of one, and relative in TypeScript.
+    """
+    k = F.col("file_id")
+    near, far, other = k + 15, k + 5, k + 30
+    folder = F.when(far % 3 == 0, "core").when(far % 3 == 1, ".hidden").otherwise("build/out")
+    up = F.when(k % 3 == 2, "../../").otherwise("../")
+    dotted = F.replace(folder, F.lit("/"), F.lit("."))
+    backslashed = F.replace(folder, F.lit("/"), F.lit("\\"))
+    python = F.concat(
+        F.format_string("from .m_%s import f_%s\n", near, near),
+        F.when(far % 3 != 1, F.format_string("import src.%s.m_%s as other\n", dotted, far)).otherwise(""),
+        F.format_string("\ndef g_%s(x):\n    return f_%s(x) + f_%s(x) + f_%s(x) + unknown(x)\n", k, k, near, other),
+    )
+    php = F.concat(
+        F.format_string("require_once 'm_%s.php';\n", near),
+        F.when(far % 3 != 1, F.format_string("use src\\%s\\m_%s;\n", backslashed, far)).otherwise(""),
+        F.format_string("function g_%s($x) {\n    return f_%s($x) + f_%s($x) + f_%s($x);\n}\n", k, k, near, other),
+    )
+    script = F.concat(
+        F.format_string("import { f_%s } from './m_%s';\nimport * as other from '%s%s/m_%s';\n", near, near, up, folder, far),
+        F.format_string("function g_%s(x: number): number {\n    return f_%s(x) + f_%s(x) + f_%s(x);\n}\n", k, k, near, other),
+    )
+    path = F.col("path")
+    more = F.when(path.endswith(".py"), python).when(path.endswith(".php"), php).when(path.endswith(".ts"), script)
+    return code_files(spark, sf_dir).select(
+        path.alias("filepath"), F.concat("content", F.coalesce(more, F.lit(""))).alias("content")
+    )
+
+
+_IMPORTED = """, t as (select a.path as filepath, a.file_id as k, b.path as target, b.file_id as n
+      from code_files a join code_files b on b.file_id - a.file_id in (5, 15)
+      where a.file_id % 5 < 3 and (b.file_id - a.file_id = 15 or b.file_id % 3 <> 1 or a.file_id % 5 = 2))"""
+
+
+@query(
+    with_views(
+        _IMPORTED
+        + """ select filepath, case when k % 5 = 0 and n - k = 15 then '.m_' || n
+          when k % 5 = 1 and n - k = 15 then 'm_' || n || '.php' when k % 5 = 2 and n - k = 15 then './m_' || n
+          when k % 5 = 2 then case when k % 3 = 2 then '../../' else '../' end || target[5:-4]
+          else replace(regexp_replace(target, '[.][a-z]+$', ''), '/', '.') end as module, target from t""",
+        "code_files",
+    )
+)
+def resolved_imports(spark, sf_dir):
+    return graphs.resolved_imports(_importing_files(spark, sf_dir))
+
+
+@query(
+    with_views(
+        _IMPORTED
+        + """ select filepath, 'g_' || k as src, target, 'f_' || n as dst from t where n - k = 15
+        union all select path, 'g_' || file_id, path, 'f_' || file_id from code_files where file_id % 5 < 3""",
+        "code_files",
+    )
+)
+def resolved_calls(spark, sf_dir):
+    files = _importing_files(spark, sf_dir)
+    return graphs.resolved_calls(ops.extract_blocks(files), graphs.resolved_imports(files))
+
+
 @query(
     with_views(
         "select class_name as src, inputs as dst from code_blocks where code_type = 'class' union all "

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from corpusloom.functions import epochs
 from corpusloom.functions.epochs import Rule
 
+from corpusloom.operators import code_graph
 from corpusloom.operators import graph as g
 from corpusloom.operators import transcripts as t
 from corpusloom.operators import web as w
+from corpusloom.operators.extract import extract_blocks
 from corpusloom.session import scratch_path
 from corpusloom.streaming.memory import stream_memory_epochs
 
@@ -278,3 +280,41 @@ def test_html_text_and_titles(spark):
     ).first()
     assert row[0] == "a < b é😀 &nope; &lt;d"
     assert row[1] == "my page x" and row[2] == "a  b"
+
+
+def test_imports_resolve_to_files(spark):
+    texts = {
+        "app/main.py": "import os, utils\nfrom . import tools\nfrom .core.run import go\nfrom ..lib import x\nimport pkg.deep.mod\n",
+        "app/utils.py": "", "lib/utils.py": "", "app/__init__.py": "", "app/core/run.py": "from ..utils import a\nimport main\n",
+        "lib/__init__.py": "import utils\nimport lib\n", "src/pkg/deep/mod.py": "import deep.mod\n", "old/src/pkg/deep/mod.py": "",
+        "os.sql": "", "web/a.ts": "import x from './b';\nimport y from '../web/ui';\nimport 'react';\nimport z from './b.ts';\n",
+        "web/b.ts": "export { q } from './none';\n", "web/ui/index.ts": "", "web/b.py": "",
+        "php/a.php": "<?php\nuse Model\\User;\nuse User;\nrequire 'inc/b.php';\n", "php/Model/User.php": "", "php/inc/b.php": "",
+        "empty.py": None,
+    }
+    files = spark.createDataFrame(list(texts.items()), "filepath string, content string")
+    got = {(r.filepath, r.module, r.target) for r in code_graph.resolved_imports(files).collect()}
+    assert got == {
+        ("app/main.py", "utils", "app/utils.py"), ("app/main.py", ".", "app/__init__.py"),
+        ("app/main.py", ".core.run", "app/core/run.py"), ("app/main.py", "..lib", "lib/__init__.py"),
+        ("app/main.py", "pkg.deep.mod", "src/pkg/deep/mod.py"), ("app/core/run.py", "..utils", "app/utils.py"),
+        ("app/core/run.py", "main", "app/main.py"), ("lib/__init__.py", "utils", "lib/utils.py"),
+        ("web/a.ts", "./b", "web/b.ts"), ("web/a.ts", "./b.ts", "web/b.ts"), ("web/a.ts", "../web/ui", "web/ui/index.ts"),
+        ("php/a.php", "Model.User", "php/Model/User.php"), ("php/a.php", "inc/b.php", "php/inc/b.php"),
+    }
+    none = code_graph.resolved_imports(files.limit(0))
+    assert none.collect() == []
+
+
+def test_calls_resolve_to_the_nearest_file(spark):
+    texts = {
+        "a.py": "from b import run\n\ndef run2():\n    run()\n    own()\n    lost()\n\ndef own():\n    pass\n",
+        "b.py": "def run():\n    own()\n\ndef own():\n    run()\n",
+        "c.py": "def run():\n    pass\n\ndef lost():\n    pass\n",
+    }
+    files = spark.createDataFrame(list(texts.items()), "filepath string, content string")
+    rows = code_graph.resolved_calls(extract_blocks(files), code_graph.resolved_imports(files)).collect()
+    assert sorted(tuple(r) for r in rows) == [
+        ("a.py", "run2", "a.py", "own"), ("a.py", "run2", "b.py", "run"),
+        ("b.py", "own", "b.py", "run"), ("b.py", "run", "b.py", "own"),
+    ]
