@@ -21,23 +21,28 @@ def explode_once(df: DataFrame, carried: list, items: Column, position: str, val
 FEW_ROWS = 200_000
 
 
+def listed(keys: DataFrame) -> DataFrame:
+    """Keys computed once, written to the shared folder and counted: marked for broadcast up to FEW_ROWS."""
+    kept = cut_lineage(keys)
+    return F.broadcast(kept) if kept.count() <= FEW_ROWS else kept
+
+
 def join_few(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join of wide rows with a list of keys and small values that is mostly short.
 
-    The list is computed once, written to the shared folder and counted. Up to FEW_ROWS it is broadcast, so the wide rows
-    stay where they are; a longer list is joined by the engine's own choice. The rows are the same either way.
+    Up to FEW_ROWS the list is broadcast, so the wide rows stay where they are; a longer list is joined by the engine's
+    own choice. The rows are the same either way.
     """
-    listed = cut_lineage(keys)
-    return rows.join(F.broadcast(listed) if listed.count() <= FEW_ROWS else listed, on, how)
+    return rows.join(listed(keys), on, how)
 
 
-def split_few(rows: DataFrame, listed: DataFrame, on: list[str], wanted: str) -> DataFrame:
-    """Rows of which ``listed`` (the keys of all rows, none of them null, with a flag ``wanted``) has the flag set.
+def split_few(rows: DataFrame, flagged: DataFrame, on: list[str], wanted: str) -> DataFrame:
+    """Rows of which ``flagged`` (the keys of all rows, none of them null, with a flag ``wanted``) has the flag set.
 
     Of the keys with and without the flag the shorter list meets the rows, as a semi or an anti join. So it may be
     broadcast where nearly all rows are wanted, too; the rows are the same either way.
     """
-    counted = {r[wanted]: r["n"] for r in listed.groupBy(wanted).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = {r[wanted]: r["n"] for r in flagged.groupBy(wanted).agg(F.count(F.lit(1)).alias("n")).collect()}
     few = counted.get(True, 0) <= counted.get(False, 0)
-    keys = listed.where(F.col(wanted) if few else ~F.col(wanted)).select(*on)
+    keys = flagged.where(F.col(wanted) if few else ~F.col(wanted)).select(*on)
     return join_few(rows, keys, on, "left_semi" if few else "left_anti")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.ranking import top_k_per_group
 from corpusloom.functions.rows import join_few
 from corpusloom.operators.files import to_search_json
+from corpusloom.operators.near_names import nearest_names
+from corpusloom.session import cut_lineage
 
 CONTEXT_TOKENS = 1800  # fixed value: token budget of a context
 CONTEXT_ROW_COST = 4  # fixed value: what each packed row costs beside its tokens
@@ -37,57 +39,19 @@ def find_function_match_batch(
 ) -> DataFrame:
     """F3 for a table of names as (asked, key, distance, rank).
 
-    Equal names are compared once: a name keeps its k smallest keys, which is all a result can need. Names of the
-    asked length give an upper bound on the k-th distance; lengths further apart than the bound cannot win, so
-    both steps are equi-joins on length.
+    Equal names are compared once: a name keeps its k smallest keys, which is all a result can need.
     """
     names = index.select(full_name(F.col("class_name"), F.col("function_name")).alias("_name"), key)
-    few = top_k_per_group(names, ["_name"], [F.col(key)], k, [key], "_n")
-    known = few.groupBy("_name").agg(F.array_sort(F.collect_list(key)).alias("_keys")).withColumn(
-        "_len", F.length("_name")
+    few = top_k_per_group(names, ["_name"], [F.col(key)], k, [key], "_i")
+    known = cut_lineage(
+        few.groupBy("_name").agg(F.array_sort(F.collect_list(key)).alias("_keys")).withColumn("_first", F.get("_keys", F.lit(0)))
     )
-    asked = requests.select(request).distinct().withColumn("_asked_len", F.length(request))
-    same = asked.join(known, asked["_asked_len"] == known["_len"]).select(
-        request, F.levenshtein(F.col("_name"), F.col(request)).alias("d"), F.size("_keys").alias("n")
+    near = nearest_names(
+        known.select("_name", "_first", F.size("_keys").alias("_n")), requests.select(F.col(request).alias("_asked")), k
     )
-    # counts per distance are few rows per asked name whatever the number of names
-    spread = same.groupBy(request, "d").agg(F.sum("n").alias("n"))
-    upto = Window.partitionBy(request).orderBy("d")
-    bound = (
-        spread.withColumn("_sum", F.sum("n").over(upto))
-        .filter(F.col("_sum") >= k)
-        .groupBy(request)
-        .agg(F.min("d").alias("_bound"))
+    keyed = join_few(known.select("_name", "_keys"), near, ["_name"]).select(
+        F.col("_asked").alias(request), "distance", F.explode("_keys").alias(key)
     )
-    longest = known.agg(F.max("_len").alias("_longest")).withColumn("_one", F.lit(1))
-    ranged = (
-        asked.join(bound, request, "left")
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(longest), "_one")
-        .withColumn(
-            "_limit", F.coalesce("_bound", F.greatest(F.col("_asked_len"), F.col("_longest"), F.lit(0)))
-        )
-    )
-    lengths = ranged.filter(F.col("_longest").isNotNull()).select(
-        request,
-        "_limit",
-        F.explode(
-            F.sequence(
-                F.greatest(F.col("_asked_len") - F.col("_limit"), F.lit(0)),
-                F.greatest(
-                    F.least(F.col("_asked_len") + F.col("_limit"), F.col("_longest")),
-                    F.greatest(F.col("_asked_len") - F.col("_limit"), F.lit(0)),
-                ),
-            )
-        ).alias("_len"),
-    )
-    pairs = (
-        lengths.join(known, "_len")
-        .withColumn("distance", F.levenshtein(F.col("_name"), F.col(request)))
-        .filter(F.col("distance") <= F.col("_limit"))
-    )
-    near = top_k_per_group(pairs, [request], [F.col("distance"), F.get("_keys", F.lit(0))], k, ["_name"], "_n")
-    keyed = near.select(request, "distance", F.explode("_keys").alias(key))
     final = Window.partitionBy(request).orderBy("distance", key)
     return (
         keyed.withColumn("rank", F.row_number().over(final))

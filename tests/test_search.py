@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import python_tuple
+from corpusloom.operators import near_names
 from corpusloom.operators import search as ops
 from corpusloom.operators import tokens as tok
 from corpusloom.operators import vectors as vec
@@ -76,6 +77,41 @@ def test_fuzzy_batch_equals_brute_force(spark):
         assert [(r["distance"], r["block_id"]) for r in single] == want
 
 
+def test_fuzzy_batch_of_one_length(spark):
+    """Nine tenths of the names have one length: the index compares few of them, and blocks give the same answers."""
+    rng = np.random.default_rng(5)
+    names = ["".join(rng.choice(list("abcdefghijklmnopqrst"), size=12)) for _ in range(900)]
+    names += ["".join(rng.choice(list("abcdefghijklmnopqrst"), size=int(n))) for n in rng.integers(0, 30, size=100)]
+    names += [names[0][:5] + "x" + names[0][5:], names[0][1:], names[0][:-2], names[0]]
+    table = spark.createDataFrame([(i, None, n) for i, n in enumerate(names)], "block_id int, class_name string, function_name string")
+    asked = [names[0], names[1], names[2][:6] + names[2][7:], "é" + names[3], "abcdefghabcdefghabcdefgh", "q", "", "q" * 40, None]
+    asked_rows = spark.createDataFrame([(a,) for a in asked], "_asked string")
+    known = table.groupBy(F.col("function_name").alias("_name")).agg(
+        F.min("block_id").alias("_first"), F.count("*").cast("int").alias("_n")
+    )
+    by_name = {}
+    for i, n in enumerate(names):
+        by_name.setdefault(n, i)
+    for block in (20_000, 50):
+        got = {}
+        for r in near_names.nearest_names(known, asked_rows, 3, block).collect():
+            got.setdefault(r["_asked"], []).append((r["distance"], by_name[r["_name"]]))
+        assert set(got) == {a for a in asked if a is not None}
+        for a in got:
+            assert sorted(got[a])[:3] == sorted((distance(n, a), i) for n, i in by_name.items())[:3]
+
+    index = near_names.NameIndex(known)
+    for radius in (1, 2, 3):
+        one = spark.createDataFrame([(a, radius) for a in asked[:4]], "_asked string, _limit int")
+        met = index.candidates(index.probes_within(one, index.rarest(one))).select("_asked", "_name").distinct().collect()
+        pairs = {(r["_asked"], r["_name"]) for r in met}
+        within = {(a, n) for a in asked[:4] for n in by_name if distance(n, a) <= radius}
+        assert within <= pairs
+        # a pair in its place is rare: 20 letters, and about 3, 5 and 7 pairs at as many places each
+        print("compared", radius, len(pairs), len(within), 4 * len(by_name))
+        assert len(pairs) <= (0.05, 0.1, 0.2)[radius - 1] * 4 * len(by_name)
+
+
 def test_view_function_code_without_rows(spark):
     empty = spark.createDataFrame([], "block_id int, class_name string, function_name string, code string")
     asked = spark.createDataFrame([("f",)], "asked string")
