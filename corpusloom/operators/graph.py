@@ -5,9 +5,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.rows import listed
 from corpusloom.session import cut_lineage
 
 CYCLE = "CYCLE"  # fixed value
+#: Sources that walk together are the bits of a long: two to this power.
+BLOCK_BITS = 6
+#: Edges of a node that meet its walks in one group of the join; a node with more is split.
+HUB_EDGES = 10_000
 
 
 def _reversed(edges: DataFrame) -> DataFrame:
@@ -40,36 +45,74 @@ def parents(edges: DataFrame, asked: DataFrame, nodes: DataFrame | None = None)
     return children(_reversed(edges), asked, nodes).withColumnRenamed("child", "parent")
 
 
-def within_depth(edges: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:
+def _steps(edges: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct edges with ``_part``, and (src, _parts) of hubs: nodes with more than ``span`` edges, split by edge."""
+    steps = edges.select("src", "dst").distinct()
+    degrees = steps.groupBy("src").agg(F.count(F.lit(1)).alias("_edges")).where(F.col("_edges") > span)
+    hubs = listed(degrees.select("src", F.ceil(F.col("_edges") / span).cast("int").alias("_parts")))
+    parted = steps.join(hubs, "src", "left").withColumn(
+        "_part", F.pmod(F.xxhash64("dst"), F.coalesce("_parts", F.lit(1))).cast("int")
+    )
+    return parted.drop("_parts"), hubs
+
+
+def within_depth(edges: DataFrame, starts: DataFrame, depth: int | None, span: int = HUB_EDGES) -> DataFrame:
     """(source, node, hops): nodes within ``depth`` hops of each ``source``, each once at its smallest number of
     hops; the source itself only when a cycle leads back to it. No depth means until nothing new is found.
 
-    One frontier per hop for all sources together. Pairs seen before are removed, so the work per hop is the edges
-    of new pairs only; each hop is checkpointed, which keeps the plan flat and survives lost executors.
+    Sources are numbered and walk in blocks of 64: a row holds the sources of a block that have come to a node as the bits of a
+    long, so walks that meet go on as one row. A hop is a join with the edges and a sum by bitwise or, in which what
+    was seen before takes part as rows; it is checkpointed, which keeps the plan flat and survives lost executors.
     """
-    steps = edges.select("src", "dst").distinct()
-    frontier = starts.select(F.col("source"), F.col("source").alias("node")).distinct()
-    seen = None
+    steps, hubs = _steps(edges, span)
+    numbered = cut_lineage(
+        starts.select("source").distinct().sortWithinPartitions("source").withColumn("_id", F.monotonically_increasing_id())
+    ).select(
+        "source",
+        F.shiftright("_id", BLOCK_BITS).alias("_block"),
+        F.col("_id").bitwiseAND((1 << BLOCK_BITS) - 1).cast("int").alias("_bit"),
+    )
+    none = F.lit(0).cast("long")
+    state = numbered.select(
+        "_block",
+        F.col("source").alias("node"),
+        none.alias("_seen"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit")).alias("_fresh"),
+    )
+    levels = state.select("_block", "node", "_fresh", F.lit(0).alias("hops")).limit(0)
     hop = 0
     while depth is None or hop < depth:
         hop += 1
-        reached = (
-            frontier.join(steps, frontier["node"] == steps["src"])
-            .select("source", F.col("dst").alias("node"))
-            .distinct()
+        going = (
+            state.where(F.col("_fresh") != 0)
+            .select("_block", F.col("node").alias("src"), "_fresh")
+            .join(hubs, "src", "left")
+            .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+        )
+        reached = going.join(steps, ["src", "_part"]).select(
+            "_block", F.col("dst").alias("node"), none.alias("_seen"), F.col("_fresh").alias("_got")
+        )
+        merged = (
+            state.select("_block", "node", "_seen", none.alias("_got"))
+            .unionByName(reached)
+            .groupBy("_block", "node")
+            .agg(F.bit_or("_seen").alias("_seen"), F.bit_or("_got").alias("_got"))
+        )
+        state = cut_lineage(
+            merged.select(
+                "_block",
+                "node",
+                F.col("_seen").bitwiseOR(F.col("_got")).alias("_seen"),
+                F.col("_got").bitwiseAND(F.bitwise_not("_seen")).alias("_fresh"),
+            ).where(F.col("_seen") != 0)
         )
-        if seen is not None:
-            reached = reached.join(seen.select("source", "node"), ["source", "node"], "left_anti")
-        fresh = cut_lineage(reached.withColumn("hops", F.lit(hop)))
+        fresh = state.where(F.col("_fresh") != 0)
         if fresh.isEmpty():
             break
-        seen = fresh if seen is None else seen.unionByName(fresh)
-        frontier = fresh.select("source", "node")
-    if seen is None:
-        seen = starts.select(
-            F.col("source"), F.col("source").alias("node"), F.lit(0).alias("hops")
-        ).limit(0)
-    return seen
+        levels = levels.unionByName(fresh.select("_block", "node", "_fresh", F.lit(hop).alias("hops")))
+    members = numbered.groupBy("_block").agg(F.collect_list(F.struct("_bit", "source")).alias("_members"))
+    here = F.filter("_members", lambda m: F.getbit(F.col("_fresh"), m["_bit"]) == 1)
+    return levels.join(members, "_block").select(F.explode(F.transform(here, lambda m: m["source"])).alias("source"), "node", "hops")
 
 
 def children_by_depth(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:

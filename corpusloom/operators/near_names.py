@@ -150,8 +150,8 @@ def _nearest(candidates: DataFrame, k: int) -> DataFrame:
 def nearest_names(known: DataFrame, asked: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """The k nearest of the ``known`` names (_name, _first, _n) for each ``_asked`` one, as (_asked, _name, distance).
 
-    Ties go to the smaller ``_first``. The radius grows from 1 to a fourth of a name's length; a name that has k rows within it
-    is done, as all names within the radius are found. Names that are not done are compared with all names of the
+    Ties go to the smaller ``_first``. The radius grows fourfold from 1 to a fourth of a name's length; a name that has k rows within
+    it is done, as all names within the radius are found. Names that are not done are compared with all names of the
     lengths in question, in blocks, up to the distance that some of these have. A null asked name has no answer.
     """
     index = NameIndex(known, block)
@@ -167,6 +167,6 @@ def nearest_names(known: DataFrame, asked: DataFrame, k: int, block: int = BLOCK
         answered = near.join(whole, "_asked", "left_semi")
         found = answered if found is None else found.unionByName(answered)
         todo = cut_lineage(todo.join(whole, "_asked", "left_anti"))
-        done, radius = radius, 2 * radius + 1
+        done, radius = radius, 4 * radius
     rest = _nearest(index.candidates(index.probes_by_length(todo, k)), k)
     return (rest if found is None else found.unionByName(rest)).select("_asked", "_name", "distance")

@@ -46,6 +46,32 @@ def test_depth(spark):
         g.children(e, names(spark, "zz"), names(spark, "a")).collect()
 
 
+def test_depth_of_many_sources(spark):
+    """More sources than a block holds, on a graph with a hub that is split, loops and repeated edges."""
+    rng = random.Random(11)
+    pairs = [(f"n{rng.randrange(250)}", f"n{rng.randrange(250)}") for _ in range(260)]
+    pairs += [("hub", f"n{i}") for i in range(0, 250, 2)] + [(f"n{i}", "hub") for i in range(0, 250, 40)] + pairs[:9]
+    pairs += [("n1", "n1"), ("n3", None), (None, "n4")]
+    follow = {}
+    for a, b in pairs:
+        follow.setdefault(a, set()).add(b)
+    sources = [f"n{i}" for i in range(250)] + ["hub", "unknown", "hub"]
+    start = names(spark, *sources, column="source")
+    for depth in (2, None):
+        want = set()
+        for source in set(sources):
+            seen, front, hops = set(), {source}, 0
+            while front and (depth is None or hops < depth):
+                hops += 1
+                front = {b for a in front if a is not None for b in follow.get(a, ())} - seen
+                seen |= front
+                want |= {(source, b, hops) for b in front}
+        for span in (10_000, 7):
+            got = [tuple(r) for r in g.within_depth(edges(spark, *pairs), start, depth, span).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+    assert g.within_depth(edges(spark, *pairs), start.limit(0), None).collect() == []
+
+
 def test_hierarchy(spark):
     e = edges(spark, *RING)
     rows = g.node_hierarchy(e, names(spark, "a"), child_levels=9).collect()
