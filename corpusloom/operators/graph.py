@@ -46,8 +46,11 @@ def parents(edges: DataFrame, asked: DataFrame, nodes: DataFrame | None = None)
 
 
 def _steps(edges: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct edges with ``_part``, and (src, _parts) of hubs: nodes with more than ``span`` edges, split by edge."""
-    steps = edges.select("src", "dst").distinct()
+    """Distinct edges with ``_part``, and (src, _parts) of hubs: nodes with more than ``span`` edges, split by edge.
+
+    The edges are written once, as every hop reads them.
+    """
+    steps = cut_lineage(edges.select("src", "dst").distinct())
     degrees = steps.groupBy("src").agg(F.count(F.lit(1)).alias("_edges")).where(F.col("_edges") > span)
     hubs = listed(degrees.select("src", F.ceil(F.col("_edges") / span).cast("int").alias("_parts")))
     parted = steps.join(hubs, "src", "left").withColumn(
@@ -107,7 +110,7 @@ def within_depth(edges: DataFrame, starts: DataFrame, depth: int | None, span: i
             ).where(F.col("_seen") != 0)
         )
         fresh = state.where(F.col("_fresh") != 0)
-        if fresh.isEmpty():
+        if hop != depth and fresh.isEmpty():
             break
         levels = levels.unionByName(fresh.select("_block", "node", "_fresh", F.lit(hop).alias("hops")))
     members = numbered.groupBy("_block").agg(F.collect_list(F.struct("_bit", "source")).alias("_members"))
