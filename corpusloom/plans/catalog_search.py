@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from corpusloom.functions.rows import explode_once
+from corpusloom.operators import byte_tokens
 from corpusloom.operators import files as file_ops
 from corpusloom.operators import search as ops
 from corpusloom.operators import tokens as tok
 from corpusloom.operators import vectors as vec
+from corpusloom.operators.byte_tokens import BytePairs
 from corpusloom.plans.catalog_files import repo_blocks
 from corpusloom.plans.derived import TOKEN_RE, with_views
 from corpusloom.plans.registry import query, table
@@ -33,6 +35,24 @@ def token_chunks(spark, sf_dir):
     return tok.token_chunks(docs, CHUNK).withColumn("tokens", F.array_join("tokens", " "))
 
 
+def byte_pairs(spark):
+    import public_tokenizers
+
+    return BytePairs(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query()  # merges have no SQL; tests compare ids with the library's
+def byte_pair_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_tokens.byte_pair_counts(docs, byte_pairs(spark)).select("doc_id", "n_tokens")
+
+
+@query()  # merges have no SQL; tests compare ids with the library's
+def byte_pair_chunks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_tokens.byte_pair_chunks(docs, byte_pairs(spark), CHUNK)
+
+
 @query(
     """with m as (select label, i as dim, sum((vec_id + 1) * embedding[i]::double) / sum(vec_id + 1) as x
     from embeddings, (select unnest(range(1, 65)) as i) r group by 1, 2),
