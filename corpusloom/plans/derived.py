@@ -7,6 +7,7 @@ a SQL text as common table expressions.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.rows import spread
 from corpusloom.plans.registry import table
 
 K = "cast(p_partkey as string)"
@@ -159,7 +160,9 @@ def _columns(columns: dict[str, str]) -> list[str]:
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr(*_columns(CODE_FILES))
+    """Cutting a file costs far more than its row, so the rows of ``part`` are dealt to all cores first."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    return spread(part).selectExpr(*_columns(CODE_FILES))
 
 
 def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +187,7 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("a")
     targets = F.array(a * 2, a * 2 + 1, F.when(a % 64 == 0, F.floor(a / 4)))
     pairs = part.filter(a > 0).select("a", F.explode(targets).alias("b")).filter(F.col("b").isNotNull())
-    known = part.select(a.alias("b"))
+    known = part.select(a.alias("b")).hint("merge")  # all keys: a broadcast would pass the driver
     return (
         pairs.join(known, "b", "left_semi")
         .select(F.concat(F.lit("f_"), F.col("a").cast("string")).alias("src"), F.concat(F.lit("f_"), F.col("b").cast("string")).alias("dst"))
