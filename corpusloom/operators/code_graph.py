@@ -8,6 +8,7 @@ from corpusloom.functions.rows import explode_once
 from corpusloom.functions.text import bind
 from corpusloom.operators.extract import mask
 from corpusloom.operators.languages import DEFAULT_LANGUAGES, language_of
+from corpusloom.session import cut_lineage
 
 # fixed values: words that may stand before a parenthesis without being a call
 NOT_CALLS = (
@@ -29,35 +30,42 @@ def call_graph(blocks: DataFrame, scope: tuple[str, ...] = (), languages=DEFAULT
 
     Calls are reduced to distinct names per function in the row and to distinct pairs before the join.
     """
-    functions = blocks.filter((F.col("code_type") == "function") & F.col("function_name").isNotNull())
-    calls = _called_names(functions, scope, languages)
-    known = functions.select(*scope, F.col("function_name").alias("dst")).distinct()
+    functions = _functions(blocks, scope, languages)
+    calls = _called_names(functions, scope)
+    known = functions.select(*scope, F.col("src").alias("dst")).distinct()
     return calls.join(known, [*scope, "dst"], "left_semi").select(*scope, "src", "dst")
 
 
-def _called_names(functions: DataFrame, scope: tuple[str, ...], languages) -> DataFrame:
-    """(scope, src, dst): names that a function calls, known or not, each once."""
+def _functions(blocks: DataFrame, scope: tuple[str, ...], languages) -> DataFrame:
+    """(scope, src, names): every function with the names that it calls, known or not.
+
+    Written once, as callers and known names both come from it and the blocks would be cut again for each.
+    """
 
     def called(text: Column) -> Column:
         body = F.regexp_replace(text, r"^[^(]*\(", "(")
         names = F.array_distinct(F.regexp_extract_all(body, F.lit(r"([A-Za-z_$][\w$]*)\s*\("), F.lit(1)))
         return F.filter(names, lambda n: ~n.isin(*NOT_CALLS))
 
+    functions = blocks.filter((F.col("code_type") == "function") & F.col("function_name").isNotNull())
     names = bind(_masked(F.col("code"), F.col("language"), languages), called)
-    return (
-        explode_once(functions, [*scope, F.col("function_name").alias("src")], names, "_at", "dst")
-        .drop("_at")
-        .distinct()
-    )
+    return cut_lineage(functions.select(*scope, F.col("function_name").alias("src"), names.alias("names")))
+
+
+def _called_names(functions: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    """(scope, src, dst): names that a function calls, known or not, each once."""
+    return functions.select(*scope, "src", F.explode("names").alias("dst")).distinct()
 
 
 def class_graph(blocks: DataFrame, scope: tuple[str, ...] = (), known_only: bool = True) -> DataFrame:
     """(src, dst) from a class to its parents; with ``known_only`` parents must be classes of the table."""
-    classes = blocks.filter(F.col("code_type") == "class")
-    edges = classes.select(*scope, F.col("class_name").alias("src"), F.explode("all_bases").alias("dst")).distinct()
+    classes = blocks.filter(F.col("code_type") == "class").select(*scope, F.col("class_name").alias("src"), "all_bases")
+    if known_only:
+        classes = cut_lineage(classes)  # read twice, and the blocks would be cut again
+    edges = classes.select(*scope, "src", F.explode("all_bases").alias("dst")).distinct()
     if not known_only:
         return edges
-    known = classes.select(*scope, F.col("class_name").alias("dst")).distinct()
+    known = classes.select(*scope, F.col("src").alias("dst")).distinct()
     return edges.join(known, [*scope, "dst"], "left_semi").select(*scope, "src", "dst")
 
 
@@ -187,7 +195,7 @@ def resolved_imports(files: DataFrame, scope: tuple[str, ...] = (), languages=DE
     """
     listed = files.filter(F.col("filepath").isNotNull()).withColumn("language", language_of(F.col("filepath"), languages))
     modules = imported_modules(F.col("content"), F.col("language"), languages)
-    imports = (
+    imports = cut_lineage(  # read twice, and the texts would be masked again
         explode_once(listed, [*scope, "filepath", "language"], modules, "_at", "module")
         .drop("_at")
         .distinct()
@@ -226,9 +234,9 @@ def resolved_calls(
     ``imports`` are rows of ``resolved_imports``. A name means the function of the same file if there is one, else that
     of every directly imported file that has one; other names give no row, so equal names of two files stay apart.
     """
-    functions = blocks.filter((F.col("code_type") == "function") & F.col("function_name").isNotNull())
-    calls = _called_names(functions, (*scope, "filepath"), languages)
-    known = functions.select(*scope, F.col("filepath").alias("target"), F.col("function_name").alias("dst")).distinct()
+    functions = _functions(blocks, (*scope, "filepath"), languages)
+    calls = _called_names(functions, (*scope, "filepath"))
+    known = functions.select(*scope, F.col("filepath").alias("target"), F.col("src").alias("dst")).distinct()
     here = known.select(*scope, F.col("target").alias("filepath"), "dst")
     own = [*scope, "filepath", "dst"]
     near = calls.join(here, own, "left_semi").withColumn("target", F.col("filepath"))

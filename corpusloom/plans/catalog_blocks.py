@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions.rows import explode_once
 from corpusloom.operators import code_graph as graphs
 from corpusloom.operators import extract as ops
 from corpusloom.operators.languages import language_of
@@ -77,11 +78,14 @@ def sql_statements(spark, sf_dir):
 )
 def function_parameters(spark, sf_dir):
     blocks = ops.function_blocks(repo_blocks(spark, sf_dir))
-    sides = [
-        blocks.select("filepath", "ordinal", F.explode(c).alias("name"), F.lit(side).alias("side"))
-        for c, side in (("inputs", "input"), ("outputs", "output"))
-    ]
-    return sides[0].unionByName(sides[1])
+
+    def of_side(column: str, side: str):
+        names = F.coalesce(column, F.array().cast("array<string>"))
+        return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(side).alias("side")))
+
+    both = F.concat(of_side("inputs", "input"), of_side("outputs", "output"))
+    both = explode_once(blocks, ["filepath", "ordinal"], both, "_at", "p")  # blocks are cut once for both sides
+    return both.select("filepath", "ordinal", "p.name", "p.side")
 
 
 @query(

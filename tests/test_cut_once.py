@@ -26,3 +26,27 @@ def test_files_are_dealt_to_all_cores(spark, parts):
     dealt = files.rdd.glom().map(len).collect()
     assert sum(n > 0 for n in dealt) >= spark.sparkContext.defaultParallelism
     assert sorted(r.file_id for r in files.collect()) == list(range(1, 41))
+
+
+@pytest.mark.parametrize(("name", "times"), [("function_parameters", 1), ("call_graph", 0), ("class_graph", 0)])
+def test_files_are_cut_once(spark, parts, name, times):
+    """What is left to do when a query is returned; what was written before is read from there."""
+    assert _plan(QUERIES[name](spark, parts)).count("FileScan parquet") == times
+
+
+def test_calls_down_to_files_cut_files_once(spark, parts):
+    plan = _plan(QUERIES["resolved_calls"](spark, parts))
+    # one scan lists the paths that imports may name
+    assert plan.count("FileScan parquet") == 1 and "array_distinct" not in plan
+
+
+def test_parameters_of_both_sides(spark, parts):
+    rows = QUERIES["function_parameters"](spark, parts).where("filepath like '%/m_5.py'").collect()
+    assert sorted((r.name, r.side) for r in rows) == [("a", "input"), ("b=5", "input"), ("int", "output"), ("self", "input")]
+
+
+def test_calls_of_a_repeated_and_a_nameless_function(spark):
+    schema = "filepath string, language string, code_type string, function_name string, code string"
+    f, g = "def f(x):\n    return g(x) + h(x)", "def g(x):\n    return x"
+    rows = [("a.py", "python", "function", "f", f)] * 2 + [("a.py", "python", "function", "g", g), ("a.py", "python", "function", None, f)]
+    assert [tuple(r) for r in code_graph.call_graph(spark.createDataFrame(rows, schema)).collect()] == [("f", "g")]
