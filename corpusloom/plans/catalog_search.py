@@ -12,6 +12,7 @@ from corpusloom.operators.byte_tokens import BytePairs
 from corpusloom.plans.catalog_files import repo_blocks
 from corpusloom.plans.derived import TOKEN_RE, with_views
 from corpusloom.plans.registry import query, table
+from corpusloom.session import scratch_path
 
 _COUNT = f"len(regexp_extract_all(text, '{TOKEN_RE}'))"
 
@@ -215,7 +216,10 @@ def best_match_code(spark, sf_dir):
 )
 def view_function_code(spark, sf_dir):
     asked = table(spark, sf_dir, "part").select(F.concat(F.lit("m_"), F.col("p_size").cast("string")).alias("asked"))
-    return ops.view_function_code(keyed_blocks(spark, sf_dir), asked)
+    # read twice, by name and for the codes of the hits, as a stored index is
+    index = scratch_path(spark, "named-blocks")
+    keyed_blocks(spark, sf_dir).select("block_id", "class_name", "function_name", "code").write.parquet(index)
+    return ops.view_function_code(spark.read.parquet(index), asked)
 
 
 @query(

@@ -40,6 +40,10 @@ def test_calls_down_to_files_cut_files_once(spark, parts):
     assert plan.count("FileScan parquet") == 1 and "array_distinct" not in plan
 
 
+def test_blocks_are_stored_before_they_are_searched(spark, parts):
+    assert "posexplode" not in _plan(QUERIES["view_function_code"](spark, parts))
+
+
 def test_parameters_of_both_sides(spark, parts):
     rows = QUERIES["function_parameters"](spark, parts).where("filepath like '%/m_5.py'").collect()
     assert sorted((r.name, r.side) for r in rows) == [("a", "input"), ("b=5", "input"), ("int", "output"), ("self", "input")]
