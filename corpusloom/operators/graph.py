@@ -158,11 +158,18 @@ def fuzzy_nodes(
 def _expand_paths(
     edges: DataFrame, starts: DataFrame, levels: int | None, direction: str
 ) -> DataFrame:
-    """(root, path, node, depth, direction, is_cycle): every walk from a root until a node repeats on it.
+    """(root, path, node, depth, direction, is_cycle): every walk from a root until a node repeats on it."""
+    steps = (edges if direction == "children" else _reversed(edges)).select("src", "dst").distinct()
+    return _walks(cut_lineage(steps), starts, levels, direction)
+
 
-    Walks are as many as the graph has, by definition of the result; every hop is one join and is checkpointed.
+def _walks(steps: DataFrame, starts: DataFrame, levels: int | None, direction: str) -> DataFrame:
+    """``_expand_paths`` over written distinct edges.
+
+    Walks are as many as the graph has, by definition of the result; every hop is one join and is checkpointed. A hop is a
+    join by shuffle: what the engine may broadcast passes the driver, with every hop anew.
     """
-    steps = (edges if direction == "children" else _reversed(edges)).select("src", "dst").distinct()
+    steps = steps.hint("merge")
     walk = starts.select(
         F.col("name").alias("root"), F.array("name").alias("path"), F.col("name").alias("node")
     )
@@ -213,7 +220,7 @@ def node_hierarchy(
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes no edge leads to."""
     return nodes.select("name").distinct().join(
-        edges.select(F.col("dst").alias("name")).distinct(), "name", "left_anti"
+        edges.select(F.col("dst").alias("name")).distinct().hint("merge"), "name", "left_anti"
     )
 
 
@@ -225,7 +232,8 @@ def drop_node(nodes: DataFrame, edges: DataFrame, name: str) -> tuple[DataFrame,
 
 def hierarchy_from_roots(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Full expansion from every root, to ``max_depth`` levels if one is given. Walks end at a repeated node."""
-    return _expand_paths(edges, roots(nodes, edges), max_depth, "children")
+    steps = cut_lineage(edges.select("src", "dst").distinct())  # every hop and the roots read them
+    return _walks(steps, roots(nodes, steps), max_depth, "children")
 
 
 def quotient_nodes(nodes: DataFrame, attribute: str) -> DataFrame:

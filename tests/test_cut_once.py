@@ -54,3 +54,19 @@ def test_calls_of_a_repeated_and_a_nameless_function(spark):
     f, g = "def f(x):\n    return g(x) + h(x)", "def g(x):\n    return x"
     rows = [("a.py", "python", "function", "f", f)] * 2 + [("a.py", "python", "function", "g", g), ("a.py", "python", "function", None, f)]
     assert [tuple(r) for r in code_graph.call_graph(spark.createDataFrame(rows, schema)).collect()] == [("f", "g")]
+
+
+def test_walks_read_written_edges(spark, parts, monkeypatch):
+    plans = []
+
+    def kept(df, inner=graph.cut_lineage):
+        plans.append(_plan(df))
+        return inner(df)
+
+    monkeypatch.setattr(graph, "cut_lineage", kept)
+    edges = graph_edges(spark, parts)
+    rows = graph.hierarchy_from_roots(spark.createDataFrame([("f_1",)], "name string"), edges)
+    assert rows.count() >= edges.count()
+    # the first plan makes the edges; the first hop looks for the roots too
+    assert len(plans) > 4
+    assert not any("FileScan" in plan or "Broadcast" in plan for plan in plans[1:])
