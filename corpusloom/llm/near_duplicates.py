@@ -113,23 +113,34 @@ def _write(df: DataFrame, name: str) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the edges (a, b): the least node of its component.
 
-    Each step takes the least label among neighbours and then the label of that label; paths shorten by halves.
+    A round gives each node the least of itself and its neighbours and follows these to their ends, by halves. Edges go on
+    between the ends; those within one are done with, so later rounds read what few edges are left.
     """
-    both = _write(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = _write(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels")
+    ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    live = _write(edges.select(*ends).distinct(), "edges")
+    labels = None
     while True:
-        near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
-        lower = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = _write(
-            lower.join(jump, "label").select("node", F.least("label", "next").alias("label"), "old"), "labels"
+        both = live.union(live.select("b", "a"))
+        led = _write(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("end")), "ends")
+        while True:
+            jump = led.select(F.col("node").alias("end"), F.col("end").alias("next"))
+            new = _write(led.join(jump, "end").select("node", F.col("next").alias("end"), F.col("end").alias("old")), "ends")
+            led = new.select("node", "end")
+            if new.where("end <> old").isEmpty():
+                break
+        if labels is None:
+            labels = led.withColumnRenamed("end", "label")
+        else:
+            further = led.select(F.col("node").alias("label"), "end")
+            labels = _write(
+                labels.join(further, "label", "left").select("node", F.coalesce("end", "label").alias("label")), "labels"
+            )
+        moved = live.join(led.select(F.col("node").alias("a"), F.col("end").alias("to_a")), "a").join(
+            led.select(F.col("node").alias("b"), F.col("end").alias("to_b")), "b"
         )
-        labels = new.select("node", "label")
-        if new.where("label <> old").isEmpty():
+        moved = moved.where("to_a <> to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+        live = _write(moved.select(*ends).distinct(), "edges")
+        if live.isEmpty():
             return labels
 
 
@@ -318,7 +329,7 @@ def near_duplicates(
     members = _write(exploded.join(shared, "key"), "bucket-members")
     compared = _Bags(runs, members.select("row", "run").distinct(), shingle)
 
-    labels, links = None, None
+    labels = None
     for turn in range(HUB_ROUNDS + 1):
         own = members.withColumn("label", F.col("row"))
         if labels is not None:
@@ -334,8 +345,8 @@ def near_duplicates(
             found = _write(compared.compare(pairs, threshold), "links")
         else:
             found = _write(compared.compare_strays(own, threshold), "links")
-        links = found if links is None else links.union(found)
-        labels = components(links)
+        # an edge to its label stands for all earlier links of a node
+        labels = components(found if labels is None else found.union(labels.select("node", "label")))
 
     labelled = nodes.select("digest", "no_id", "doc_id", "row")
     if labels is not None:

@@ -95,3 +95,27 @@ def test_signatures_estimate_weighted_similarity():
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "a long, b long")
     assert {r.node: r.label for r in components(edges).collect()} == {k: 0 for k in range(61)} | {100: 100, 101: 100}
+
+
+def test_components_of_chains_stars_and_loops(spark, monkeypatch):
+    """Labels are least nodes; edges of one round are not read by the next."""
+    from corpusloom.llm import near_duplicates as module
+
+    n = 400
+    star = [(n, k) for k in range(2 * n, 3 * n)] + [(k, n) for k in range(2 * n, 2 * n + 9)]
+    chain = [(k, k + 1) for k in range(4 * n, 5 * n)]
+    far = [(9 * n + k, 6 * n + k) for k in range(9)] + [(9 * n + k, 6 * n + k + 1) for k in range(9)]
+    edges = [*star, *chain, *far, (7, 7)]
+    sizes = []
+
+    def write(df, name, inner=module._write):
+        out = inner(df, name)
+        sizes.extend([out.count()] if name == "edges" else [])
+        return out
+
+    monkeypatch.setattr(module, "_write", write)
+    got = {r["node"]: r["label"] for r in module.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    expected = {k: n for k in [n, *range(2 * n, 3 * n)]} | {k: 4 * n for k in range(4 * n, 5 * n + 1)} | {7: 7}
+    expected |= {k: 6 * n for pair in far for k in pair}
+    assert got == expected
+    assert sizes[0] == len({tuple(sorted(e)) for e in edges}) and sum(sizes[1:]) < sizes[0] / 10
