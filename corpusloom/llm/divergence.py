@@ -2,7 +2,7 @@
 
 A first pass sums digests of terms alone and leaves a filter of fixed size, so rare terms don't leave their task in the
 second. That one writes counts by 64-bit digests, which are summed without the terms' texts. The least and the greatest text
-of a digest are compared: where they differ, the digest is split by text. Texts come back only for the rows of the result.
+of a digest are compared: where they differ, the texts are counted again, and the digest is split. Texts come back only for the rows of the result.
 All arithmetic is exact.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.rows import join_few
 from corpusloom.llm.registry import query, table
-from corpusloom.llm.words import buffer_of
+from corpusloom.llm.words import buffer_of, digests
 from corpusloom.session import scratch_path
 
 #: In UTF-8 these bytes are a longest run of ASCII letters and of characters from U+0080 on.
@@ -102,7 +102,8 @@ def _occurrences(batches, by: list[str]):
 
 
 def _digests(terms: pa.Array) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(t) for t in terms.to_pylist()], np.uint64)
+    data, offsets = buffer_of(terms)
+    return digests(data, offsets[:-1], offsets[1:])[0]
 
 
 def _documents_of_terms(batches):
@@ -138,20 +139,23 @@ def _frequent(rows: DataFrame, least: int) -> np.ndarray:
     return found.view(np.uint64)
 
 
-def _counted(frequent, digest_bits: int):
-    """Terms with their occurrences and documents in a part, by lang and source."""
+def _counted(frequent, digest_bits: int, spelled: bool):
+    """Terms with their occurrences and documents in a part, by lang and source; unless ``spelled``, the text of a term is
+    only in the first of its rows."""
 
     def count(batches):
         for rows, group, terms, term, tf, df in _occurrences(batches, ["lang", "source"]):
-            digests = _digests(terms)
-            keys = (digests[term] ^ _salts(rows)[group]) & np.uint64((1 << FILTER_BITS) - 1)
+            whole = _digests(terms)
+            keys = (whole[term] ^ _salts(rows)[group]) & np.uint64((1 << FILTER_BITS) - 1)
             may = np.flatnonzero(frequent.value[keys >> np.uint64(6)] >> (keys & np.uint64(63)) & np.uint64(1))
-            digests = digests >> np.uint64(64 - digest_bits)
+            short = whole >> np.uint64(64 - digest_bits)
+            again = np.full(len(may), not spelled)
+            again[np.unique(term[may], return_index=True)[1]] = False
             yield pa.record_batch(
                 [
                     *(rows.column(c).combine_chunks().take(pa.array(group[may])) for c in ("lang", "source")),
-                    pa.array(digests[term[may]].view(np.int64)),
-                    terms.take(pa.array(term[may])).cast(pa.string()),
+                    pa.array(short[term[may]].view(np.int64)),
+                    terms.take(pa.array(term[may], mask=again)).cast(pa.string()),
                     pa.array(tf[may], pa.int64()),
                     pa.array(df[may], pa.int64()),
                 ],
@@ -258,17 +262,23 @@ def source_divergence(
         "groups", rows.select("lang", "source").distinct().withColumn("no", F.row_number().over(by_source) - 1)
     )
     frequent = spark.sparkContext.broadcast(_frequent(rows, least))
-    written = kept_at("counts", rows.mapInArrow(_counted(frequent, digest_bits), COUNTS))
+    written = kept_at("counts", rows.mapInArrow(_counted(frequent, digest_bits, False), COUNTS))
     counts = join_few(written, numbered, ["lang", "source"]).drop("source")
 
     whole = kept_at("terms", _by_lang(counts.withColumn("split", F.lit("")), least))
     names = kept_at(
         "names",
-        written.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high"))
+        written.where(F.col("term").isNotNull())
+        .groupBy("digest")
+        .agg(F.min("term").alias("low"), F.max("term").alias("high")),
     )
     clashes = names.where(F.col("low") < F.col("high")).select("digest")
-    apart = _by_lang(join_few(counts, clashes, ["digest"], "left_semi").withColumn("split", F.col("term")), least)
-    kept = kept_at("kept", join_few(whole, clashes, ["digest"], "left_anti").unionByName(apart))
+    kept = whole
+    if not clashes.isEmpty():  # only then are the texts counted again, with a text in every row
+        spelled = rows.mapInArrow(_counted(frequent, digest_bits, True), COUNTS)
+        spelled = join_few(join_few(spelled, clashes, ["digest"], "left_semi"), numbered, ["lang", "source"])
+        apart = _by_lang(spelled.withColumn("split", F.col("term")), least)
+        kept = kept_at("kept", join_few(whole, clashes, ["digest"], "left_anti").unionByName(apart))
 
     # One row for each language: how many terms it keeps, how often they occur there and in each of its groups.
     within = kept.select("lang", F.explode("held").alias("h")).groupBy("lang", F.col("h.no").alias("no")).agg(

@@ -104,11 +104,11 @@ def words_of(column: pa.Array) -> Words:
     edges = offsets[1:][np.diff(offsets) > 0] - 1
     ends[edges] = inside[edges]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    low, high = _digests(data, start, end)
+    low, high = digests(data, start, end)
     return Words(data, offsets, start, end, np.searchsorted(start, offsets), low, high)
 
 
-def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two digests of 64 bits of each word: of the two 8-byte halves of a word of up to 16 bytes and its length, each half
     scrambled into the other, and of a longer word those of a hash of 128 bits."""
     size = end - start

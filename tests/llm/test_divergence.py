@@ -117,3 +117,17 @@ def test_digests_only_are_counted(spark):
     counts = spark.createDataFrame([(0, 1, "", "t", 1, 1, "en")], "no int, digest long, split string, term string, tf long, df long, lang string")
     plan = divergence._by_lang(counts, 1)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") >= 2 and "min(term" not in plan and "term#" not in "".join(re.findall(r"Exchange [^\n]*", plan))
+
+
+def test_a_term_is_spelled_once_in_a_part():
+    """Its other rows have the digest alone; when digests clash, every row has the text."""
+    import numpy as np
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    every = SimpleNamespace(value=np.full(1 << (divergence.FILTER_BITS - 6), -1, np.int64).view(np.uint64))
+    batch = pa.record_batch([["l"] * 3, ["a", "b", "c"], ["x y", "y Z", "z x"]], names=["lang", "source", "text"])
+    for spelled, texts in ((False, 3), (True, 6)):
+        rows = [r for b in divergence._counted(every, 64, spelled)([batch]) for r in b.to_pylist()]
+        assert len(rows) == 6 and sum(r["term"] is not None for r in rows) == texts
+        assert len({r["digest"] for r in rows}) == 3 and {r["term"] for r in rows} - {None} == {"x", "y", "z"}
