@@ -25,17 +25,20 @@ def collecting_fold(
     """Fold with the fields of ``zero`` plus ``done``, an array of type ``kind`` that ``step`` may append to.
 
     The engine copies the state of a fold at every element, so a long ``done`` would make it quadratic. The items are
-    folded in stretches that start with an empty ``done``; what a stretch collected joins the rest once.
+    folded in stretches that start with an empty ``done``; what a stretch collected joins the rest once. Few items are
+    one stretch as they are.
     ``finish`` gets the last state and all that was collected.
     """
     names = [*zero, "done"]
     none = F.array().cast(kind)
-    stretches = F.transform(
-        F.filter(
-            F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(STRETCH)),
-            lambda i: i < F.size(items),
-        ),
-        lambda i: F.slice(items, i + 1, F.lit(STRETCH)),
+    stretches = F.when((F.size(items) >= 0) & (F.size(items) <= STRETCH), F.array(items)).otherwise(
+        F.transform(
+            F.filter(
+                F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(STRETCH)),
+                lambda i: i < F.size(items),
+            ),
+            lambda i: F.slice(items, i + 1, F.lit(STRETCH)),
+        )
     )
     start = F.struct(
         F.struct(*[c.alias(n) for n, c in zero.items()], none.alias("done")).alias("state"), none.alias("all")

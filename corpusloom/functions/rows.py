@@ -17,18 +17,21 @@ def explode_once(df: DataFrame, carried: list, items: Column, position: str, val
     return rows.filter(F.col(position).isNotNull())
 
 
-#: Tasks for each core that rows are dealt to, see ``spread``.
+#: Least number of tasks for each core that rows are dealt to, and rows that a task gets at most, see ``spread``.
 TASKS_PER_CORE = 2
+ROWS_PER_TASK = 20_000
 
 
 def spread(rows: DataFrame) -> DataFrame:
     """Short rows that cost much work each, dealt evenly to tasks for all cores, in turn and not by a key.
 
     A file is split where it has groups of rows, so a table of short rows comes in few tasks, or in one. ``rows`` are those
-    of a scan; a scan of more tasks than cores keeps their number.
+    of a scan; a scan of more tasks than cores keeps their number. Cores are those of the executors that have come by now,
+    so the number of rows, which a scan of columnar files counts without reading them, asks for tasks too.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(max(rows.rdd.getNumPartitions(), TASKS_PER_CORE * cores))
+    by_rows = -(-rows.count() // ROWS_PER_TASK)
+    return rows.repartition(max(rows.rdd.getNumPartitions(), TASKS_PER_CORE * cores, by_rows))
 
 
 #: Rows of keys that a broadcast may hold; more are joined by a shuffle.

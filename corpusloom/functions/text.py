@@ -11,10 +11,10 @@ def bind(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body``.
 
     Referring to a costly column inside a lambda would let the optimizer inline it there and evaluate it per
-    element; a lambda variable is evaluated once. The value is the start of a fold that changes nothing and the body
-    is its last step, which unlike the result of a transform is not copied.
+    element; a lambda variable is evaluated once. The value is the start of a fold over nothing and the body is its last
+    step: neither is copied, while a fold copies its state at every element and a transform its results.
     """
-    return F.aggregate(F.array(F.lit(0)), value, lambda held, _: held, body)
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
 
 
 def strip_space(text: Column) -> Column:

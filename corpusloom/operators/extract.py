@@ -50,6 +50,12 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def _breaks(text: Column) -> Column:
+    """Number of line breaks; most texts asked have none, and no pattern is matched for them."""
+    count = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.when(F.contains(text, F.lit("\n")), count).otherwise(F.lit(0))
+
+
 def _extent(start, stop, start_line, end_line, col, kind, level, parens, body, owner) -> Column:
     return F.struct(
         start.cast("int").alias("start"),
@@ -98,7 +104,12 @@ def _indent_extents(masked: Column, spec: LanguageSpec) -> Column:
         return F.when(text.rlike(r"^\s*$"), blank).otherwise(
             bind(
                 F.struct(
-                    (acc["depth"] + _count(text, r"[(\[{]") - _count(text, r"[)\]}]")).alias("depth"),
+                    F.when(
+                        text.rlike(r"[()\[\]{}]"),
+                        acc["depth"] + _count(text, r"[(\[{]") - _count(text, r"[)\]}]"),
+                    )
+                    .otherwise(acc["depth"])
+                    .alias("depth"),
                     (acc["pos"] + F.length(F.regexp_replace(text, r"\s+$", ""))).alias("stop"),
                     F.length(F.regexp_extract(text, r"^\s*", 0)).alias("indent"),
                     text.rlike(r"\\\s*$").alias("joined"),
@@ -174,7 +185,7 @@ def _indent_extents(masked: Column, spec: LanguageSpec) -> Column:
         return F.concat(done, F.transform(acc["open"], lambda o: _close(o, acc["stop"], acc["end_line"])))
 
     lines = F.split(masked, "\n")
-    return bind(lines, lambda t: F.array_sort(collecting_fold(t, zero, _EXTENTS, step, finish)))
+    return bind(lines, lambda t: F.sort_array(collecting_fold(t, zero, _EXTENTS, step, finish)))
 
 
 def _brace_extents(masked: Column, spec: LanguageSpec) -> Column:
@@ -193,7 +204,7 @@ def _brace_extents(masked: Column, spec: LanguageSpec) -> Column:
     def step(acc: Column, text: Column) -> Column:
         sign = F.right(text, F.lit(1))
         pos = acc["pos"] + F.length(text)
-        line = acc["line"] + _count(text, r"\n")
+        line = acc["line"] + _breaks(text)
         line_pos = F.when(F.contains(text, F.lit("\n")), pos - F.length(F.substring_index(text, "\n", -1))).otherwise(
             acc["line_pos"]
         )
@@ -263,7 +274,7 @@ def _brace_extents(masked: Column, spec: LanguageSpec) -> Column:
                     .when(inside, F.lit("method"))
                 )
                 # a header over several lines starts in the line it began in, so its column is counted from there
-                breaks = _count(found, r"\n")
+                breaks = _breaks(found)
                 before = F.substr(text, F.lit(1), F.length(text) - F.length(found))
                 col = F.when(breaks == 0, pos - F.length(found) - line_pos).otherwise(
                     F.when(
@@ -305,7 +316,7 @@ def _brace_extents(masked: Column, spec: LanguageSpec) -> Column:
         )
 
     return bind(
-        events, lambda e: F.array_sort(collecting_fold(e, zero, _EXTENTS, step, lambda _, done: done))
+        events, lambda e: F.sort_array(collecting_fold(e, zero, _EXTENTS, step, lambda _, done: done))
     )
 
 
@@ -320,23 +331,31 @@ def _signature_cuts(signature: Column, spec: LanguageSpec) -> Column:
         F.array().cast("array<int>").alias("cuts"),
         F.lit(False).alias("closed"),
     )
-    opening = r"^[(\[{<]$" if "<" in spec.brackets else r"^[(\[{]$"
-    shutting = r"^[)\]}>]$" if ">" in spec.brackets else r"^[)\]}]$"
+    opening = "([{<" if "<" in spec.brackets else "([{"
+    shutting = ")]}>" if ">" in spec.brackets else ")]}"
+    order = ["pos", "depth", "cuts", "closed"]
 
     def step(acc: Column, piece: Column) -> Column:
-        is_open, is_shut = piece.rlike(opening), piece.rlike(shutting)
-        depth = acc["depth"] + F.when(is_open, 1).when(is_shut, -1).otherwise(0)
-        starts = (piece == "(") & (acc["depth"] == 0) & (F.size(acc["cuts"]) == 0)
-        inside = (F.size(acc["cuts"]) > 0) & ~acc["closed"]
-        ends = inside & is_shut & (acc["depth"] == 1)
-        comma = inside & (piece == ",") & (acc["depth"] == 1)
-        return F.struct(
-            (acc["pos"] + F.length(piece)).alias("pos"),
-            depth.alias("depth"),
-            F.when(starts | ends | comma, F.concat(acc["cuts"], F.array(acc["pos"])))
-            .otherwise(acc["cuts"])
-            .alias("cuts"),
-            (acc["closed"] | ends).alias("closed"),
+        moved = acc["pos"] + F.length(piece)
+        cut = F.concat(acc["cuts"], F.array(acc["pos"]))
+        inner = (F.size(acc["cuts"]) > 0) & (acc["depth"] == 1)
+        opened = record(
+            acc,
+            order,
+            pos=moved,
+            depth=acc["depth"] + 1,
+            cuts=F.when((piece == "(") & (acc["depth"] == 0) & (F.size(acc["cuts"]) == 0), cut).otherwise(acc["cuts"]),
+        )
+        shut = F.when(
+            inner, record(acc, order, pos=moved, depth=acc["depth"] - 1, cuts=cut, closed=F.lit(True))
+        ).otherwise(record(acc, order, pos=moved, depth=acc["depth"] - 1))
+        # nothing behind the closing parenthesis makes a cut
+        return (
+            F.when(acc["closed"], acc)
+            .when(piece.isin(*opening), opened)
+            .when(piece.isin(*shutting), shut)
+            .when((piece == ",") & inner, record(acc, order, pos=moved, cuts=cut))
+            .otherwise(record(acc, order, pos=moved))
         )
 
     return F.aggregate(pieces, zero, step, lambda acc: acc["cuts"])
@@ -621,7 +640,7 @@ def _statement_blocks(text: Column, spec: LanguageSpec) -> Column:
             lambda p: record(
                 acc,
                 ["line", "col", "done"],
-                line=acc["line"] + _count(piece, r"\n"),
+                line=acc["line"] + _breaks(piece),
                 col=column_after(piece, acc["col"]),
                 **append_if(
                     p["kind"].isNotNull(),
@@ -630,8 +649,8 @@ def _statement_blocks(text: Column, spec: LanguageSpec) -> Column:
                         F.struct(
                             column_after(p["lead"], acc["col"]).alias("col"),
                             F.length(p["body"]).alias("length"),
-                            (acc["line"] + _count(p["lead"], r"\n")).alias("line"),
-                            _count(p["body"], r"\n").alias("breaks"),
+                            (acc["line"] + _breaks(p["lead"])).alias("line"),
+                            _breaks(p["body"]).alias("breaks"),
                             p["kind"].alias("kind"),
                         )
                     ),

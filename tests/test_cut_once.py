@@ -2,6 +2,7 @@
 
 import pytest
 
+from corpusloom.functions import rows as row_functions
 from corpusloom.operators import code_graph, graph
 from corpusloom.plans.catalog import QUERIES
 from corpusloom.plans.derived import code_files, graph_edges
@@ -28,6 +29,14 @@ def test_files_are_dealt_to_all_cores(spark, parts):
     assert sorted(r.file_id for r in files.collect()) == list(range(1, 41))
 
 
+def test_many_rows_ask_for_more_tasks_than_the_known_cores(spark):
+    """Executors may come after the query is made, so cores alone don't say how many tasks there must be."""
+    tasks = 3 * spark.sparkContext.defaultParallelism
+    rows = spark.range(0, (tasks - 1) * row_functions.ROWS_PER_TASK + 1, 1, 1)
+    dealt = row_functions.spread(rows).rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert len(dealt) == tasks and 0 < max(dealt) <= row_functions.ROWS_PER_TASK + 1
+
+
 @pytest.mark.parametrize(("name", "times"), [("function_parameters", 1), ("call_graph", 0), ("class_graph", 0)])
 def test_files_are_cut_once(spark, parts, name, times):
     """What is left to do when a query is returned; what was written before is read from there."""
