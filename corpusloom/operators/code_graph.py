@@ -191,7 +191,8 @@ def resolved_imports(files: DataFrame, scope: tuple[str, ...] = (), languages=DE
 
     A name is resolved once for each folder that uses it. Every path is known under its whole stem and under the ends
     of it; of the files with one end the one with the fewest folders, then the least path, is meant, so no key of the
-    join has two files. Names found nowhere (libraries) give no row.
+    join has two files. Names found nowhere (libraries) give no row. Both sides of each join grow with the files, and the
+    engine estimates them far too small, so joins are by shuffle: a broadcast would pass the driver.
     """
     listed = files.filter(F.col("filepath").isNotNull()).withColumn("language", language_of(F.col("filepath"), languages))
     modules = imported_modules(F.col("content"), F.col("language"), languages)
@@ -212,6 +213,7 @@ def resolved_imports(files: DataFrame, scope: tuple[str, ...] = (), languages=DE
         )
         .groupBy(*scope, "language", "key")
         .agg(F.min("file")["target"].alias("target"))
+        .hint("merge")
     )
     asked = [*scope, "language", "folder", "module"]
     keys = _wanted_paths(F.col("folder"), F.col("language"), F.col("module"))
@@ -220,6 +222,7 @@ def resolved_imports(files: DataFrame, scope: tuple[str, ...] = (), languages=DE
         wanted.join(known, [*scope, "language", "key"])
         .groupBy(*asked)
         .agg(F.min(F.struct("nearness", "target"))["target"].alias("target"))
+        .hint("merge")
     )
     return imports.join(best, asked).filter(F.col("filepath") != F.col("target")).select(
         *scope, "filepath", "module", "target"
@@ -232,17 +235,18 @@ def resolved_calls(
     """G14 down to files: (filepath, src, target, dst) from a function to the functions that its calls can mean.
 
     ``imports`` are rows of ``resolved_imports``. A name means the function of the same file if there is one, else that
-    of every directly imported file that has one; other names give no row, so equal names of two files stay apart.
+    of every directly imported file that has one; other names give no row, so equal names of two files stay apart. Joins
+    are by shuffle, as in ``resolved_imports``.
     """
     functions = _functions(blocks, (*scope, "filepath"), languages)
     calls = _called_names(functions, (*scope, "filepath"))
-    known = functions.select(*scope, F.col("filepath").alias("target"), F.col("src").alias("dst")).distinct()
+    known = functions.select(*scope, F.col("filepath").alias("target"), F.col("src").alias("dst")).distinct().hint("merge")
     here = known.select(*scope, F.col("target").alias("filepath"), "dst")
     own = [*scope, "filepath", "dst"]
     near = calls.join(here, own, "left_semi").withColumn("target", F.col("filepath"))
     far = (
         calls.join(here, own, "left_anti")
-        .join(imports.select(*scope, "filepath", "target").distinct(), [*scope, "filepath"])
+        .join(imports.select(*scope, "filepath", "target").distinct().hint("merge"), [*scope, "filepath"])
         .join(known, [*scope, "target", "dst"], "left_semi")
     )
     columns = [*scope, "filepath", "src", "target", "dst"]

@@ -49,6 +49,14 @@ def test_calls_down_to_files_cut_files_once(spark, parts):
     assert plan.count("FileScan parquet") == 1 and "array_distinct" not in plan
 
 
+@pytest.mark.parametrize("name", ["resolved_calls", "resolved_imports"])
+def test_joins_down_to_files_do_not_pass_the_driver(spark, parts, name):
+    frame = QUERIES[name](spark, parts)
+    assert frame.collect()
+    plan = _plan(frame)  # the one that ran
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_blocks_are_stored_before_they_are_searched(spark, parts):
     assert "posexplode" not in _plan(QUERIES["view_function_code"](spark, parts))
 
